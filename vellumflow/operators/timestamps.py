@@ -52,8 +52,8 @@ DATE = (
 )
 TIME = (
     r"(?:"
-    r"(?<h1>\d{1,2})[:.](?<i1>\d{2})(?:[:.](?<s1>\d{2})(?:[.,](?<f1>\d+))?)?(?:\s*(?<p1>[ap])\.?m\.?)?"
-    r"|(?<h2>\d{1,2})\s*(?<p2>[ap])\.?m\.?"
+    r"(?<h1>\d{1,2})[:.](?<i1>\d{2})(?:[:.](?<s1>\d{2})(?:[.,](?<f1>\d+))?)?(?:\s*(?<p1>[ap])\.?m\.?(?![A-Za-z]))?"
+    r"|(?<h2>\d{1,2})\s*(?<p2>[ap])\.?m\.?(?![A-Za-z])"
     r"|(?<=\d{8}T)(?<h3>\d{2})(?<i3>\d{2})(?:(?<s3>\d{2})(?:[.,](?<f3>\d+))?)?"
     r")"
 )
