@@ -7,11 +7,30 @@ from pyspark.sql import functions as F
 
 from ..session import saved, table
 from .canonical import canonical_ids, unmatched
+from .neardup import expanded_pairs, near_duplicates
 from .mixing import mix, mix_shares, source_name
 from .splitting import split_texts
 from .tokens import counted, decoded, encoded
 
 
+def chunk_duplicates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, sf, "markdown_chunks").select(F.col("chunk_no").alias("doc"), F.col("content").alias("text"))
+    links, members = near_duplicates(chunks, t=0.6, words=3, least_words=20)
+    return saved(links, "p2_links"), members
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    links, members = chunk_duplicates(spark, sf)
+    return expanded_pairs(links, members).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per chunk that counts: the lowest chunk of the same shingles and how many other texts that class is linked to."""
+    links, members = chunk_duplicates(spark, sf)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    return members.join(degree, "rep", "left").select(F.col("doc").alias("chunk_no"), F.col("rep").alias("class_chunk"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def free_values(spark: SparkSession, sf: str) -> DataFrame:
     """All free-typed values as ``(source_table, record_key, field, value)``, once per row and field."""
     chunks = table(spark, sf, "markdown_chunks").select(
@@ -86,5 +105,15 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces, p8_report)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_unmatched, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces, p8_report)}
+_SHINGLES = r"""
+with words as (
+  select chunk_no, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') as w from markdown_chunks
+), counted as (select * from words where len(w) >= 20),
+shingles as (select distinct chunk_no, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select chunk_no, w, unnest(range(1, len(w) - 1)) as i from counted)),
+sizes as (select chunk_no, count(*) as n from shingles group by chunk_no),
+pairs as (
+  select x.chunk_no as a, y.chunk_no as b, count(*) as o from shingles x join shingles y on x.g = y.g and x.chunk_no < y.chunk_no group by all),
+alike as (select a, b from pairs join sizes s on s.chunk_no = a join sizes t on t.chunk_no = b where o >= 0.6 * (s.n + t.n - o))
+"""
+SQL: dict[str, str] = {"p2_found": _SHINGLES + "select a as chunk_a, b as chunk_b from alike"}
