@@ -108,7 +108,7 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_unmatched, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces, p8_report)}
 _SHINGLES = r"""
 with words as (
-  select chunk_no, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') as w from markdown_chunks
+  select chunk_no, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from markdown_chunks
 ), counted as (select * from words where len(w) >= 20),
 shingles as (select distinct chunk_no, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select chunk_no, w, unnest(range(1, len(w) - 1)) as i from counted)),
 sizes as (select chunk_no, count(*) as n from shingles group by chunk_no),
