@@ -67,7 +67,7 @@ class NoteEngine:
             pool = pool.where(F.col(column) == value)
         asked = retrieval.hashed_vectors(questions, "qid", "text").withColumnRenamed("id", "qid") if not self.encode else retrieval.encode_with(questions, "text", self.encode).select("qid", "vector")
         numbered = pool.select("id", "vector", "content", "title", "path", "created")
-        dense = retrieval.dense_topk(numbered.select("id", "vector"), asked)
+        dense = retrieval.dense_topk(numbered.select("id", "vector"), asked, skip_self=False)
         sparse = retrieval.bm25_topk(retrieval.postings(numbered, "id", "content"), questions)
         fused = retrieval.rrf(dense, sparse).join(numbered.select("id", "path", "created"), "id")
         when = questions.select("qid", temporal_filter(F.col("text"), F.lit(as_of).cast("date")).alias("when"))

@@ -67,11 +67,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 30, same: list[str] | None = None, threshold: float | None = None) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 30, same: list[str] | None = None, threshold: float | None = None, skip_self: bool = True) -> DataFrame:
     """Cosine top ``k`` ``(qid, id, score, rank)`` of ``queries (qid, vector)`` among ``vectors (id, vector, ...)``.
 
     Exact: a stated query set against all rows. Norms are taken once per side; the queries are broadcast if Spark finds
-    them small. ``same``: columns that must be equal on both sides (payload filter, an equality join). A vector is not
+    them small. ``same``: columns that must be equal on both sides (payload filter, an equality join). With ``skip_self`` a vector is not
     its own neighbour. Null or zero vectors and other lengths score null and don't rank.
     """
     norm = lambda c: F.sqrt(dot(c, c))
@@ -80,7 +80,9 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 30, same: list[s
     on = F.lit(True)
     for c in same or []:
         on = on & (F.col(c) == F.col(f"q_{c}"))
-    scored = v.join(q, on & (F.col("id") != F.col("qid")) & (F.size("vector") == F.size("qv")), "inner")
+    if skip_self:
+        on = on & (F.col("id") != F.col("qid"))
+    scored = v.join(q, on & (F.size("vector") == F.size("qv")), "inner")
     scored = scored.select("qid", "id", F.round(dot(F.col("vector"), F.col("qv")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0)), 9).alias("score")).where("score is not null")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
