@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ U = np.uint64
 CELLS = 1 << 18
 BASE_SIZE = 8
 SEGMENTS_PER_SIZE = 0.85
+BLOCK = 8192
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -149,9 +151,9 @@ class Scheme:
 
 
 def sketches(shingles: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """128-bit parity sketches: bit b of a set is the parity of its shingles that hash to b."""
-    bit = (mixed(shingles + U(5)) >> U(57)).astype(np.int64)
-    odd = (np.bincount(doc * 128 + bit, minlength=n * 128) & 1).astype(np.uint8).reshape(n, 128)
+    """256-bit parity sketches: bit b of a set is the parity of its shingles that hash to b."""
+    bit = (mixed(shingles + U(5)) >> U(56)).astype(np.int64)
+    odd = (np.bincount(doc * 256 + bit, minlength=n * 256) & 1).astype(np.uint8).reshape(n, 256)
     return np.packbits(odd, axis=1).view(np.uint64)
 
 
@@ -204,14 +206,14 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, size: np.ndarray, counts:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents, sizes and shingles of some 30 000 sets at a time."""
+    """Documents, sizes and shingles of up to 8192 sets at a time: a document's place in its block and three flags fit 16 bits."""
     docs, sizes, packed, held = [], [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
             docs.append(part.column(0).to_numpy()), sizes.append(part.column(1).to_numpy()), packed.extend(part.column(2).to_pylist())
             held += int(sizes[-1].sum())
-            if held >= most or sum(map(len, docs)) >= 30_000:
+            if held >= most or sum(map(len, docs)) > BLOCK - 1024:
                 yield np.concatenate(docs), np.concatenate(sizes).astype(np.int64), unpacked(packed, None)
                 docs, sizes, packed, held = [], [], [], 0
     if docs:
@@ -221,7 +223,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterato
 def signature_blocks(sets: DataFrame, counts: np.ndarray, total: int, t: float, ranges: int) -> DataFrame:
     """Packed signatures ``(range, docs, sizes, sketch, deltas, entries)``; range -1 holds the documents of :func:`signatures`' ``short``.
 
-    ``deltas``: differences of the sorted 40-bit signatures, as byte planes; ``entries``: ``local document * 8 + deletion * 4 + role``,
+    ``deltas``: differences of the sorted 40-bit signatures; ``entries``: ``local document * 8 + deletion * 4 + role``,
     role 0 indexed only, 1 indexed and probed, 2 probed in the band below.
     """
     scheme = Scheme(t)
@@ -248,33 +250,37 @@ def signature_blocks(sets: DataFrame, counts: np.ndarray, total: int, t: float,
                     continue
                 there, local = np.unique(entry[a:b] >> 3, return_inverse=True)
                 delta = np.diff(low[a:b], prepend=U(0))
-                code = (local.astype(np.uint32) << 3) | (entry[a:b] & 7)
-                rows.append((k, ids[there].astype(np.int64).tobytes(), size[there].astype(np.int32).tobytes(), sketch[there].tobytes(), delta.view(np.uint8).reshape(-1, 8).T[:5].tobytes(), code.view(np.uint8).reshape(-1, 4).T.tobytes()))
+                code = (local << 3) | (entry[a:b] & 7)
+                rows.append((k, packed(np.diff(ids[there], prepend=0), np.int64), packed(size[there], np.int32), sketch[there].tobytes(), packed(delta, np.uint64), packed(code, np.uint16)))
             short = np.unique(np.concatenate(shorts))
             if len(short):
-                rows.append((-1, ids[short].astype(np.int64).tobytes(), b"", b"", b"", b""))
+                rows.append((-1, packed(np.diff(ids[short], prepend=0), np.int64), b"", b"", b"", b""))
             for row in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["range", "docs", "sizes", "sketch", "deltas", "entries"])
 
     return sets.select("doc", "size", "shingles").mapInArrow(run, "range int, docs binary, sizes binary, sketch binary, deltas binary, entries binary")
 
 
-def _planes(raw: bytes, kept: int, kind: type) -> np.ndarray:
+def packed(values: np.ndarray, kind: type) -> bytes:
+    """Numbers as compressed byte planes: the upper bytes, mostly zero, take next to no room."""
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def loose(raw: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(kept, -1)
-    wide = np.zeros((planes.shape[1], width), dtype=np.uint8)
-    wide[:, :kept] = planes.T
-    return wide.view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def match_blocks(blocks: list[tuple], scheme: Scheme, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of documents within one signature range that agree on a probe and that size and sketch don't rule out."""
-    docs = np.concatenate([np.frombuffer(b[0], np.int64) for b in blocks])
-    size = np.concatenate([np.frombuffer(b[1], np.int32) for b in blocks])
-    sketch = np.concatenate([np.frombuffer(b[2], np.uint64).reshape(-1, 2) for b in blocks])
-    start = np.cumsum([0] + [len(b[1]) // 4 for b in blocks])
-    sig = np.concatenate([np.cumsum(_planes(b[3], 5, np.uint64), dtype=np.uint64) for b in blocks])
-    codes = [_planes(b[4], 4, np.uint32) for b in blocks]
+    sizes = [loose(b[1], np.int32) for b in blocks]
+    docs, size = np.concatenate([np.cumsum(loose(b[0], np.int64)) for b in blocks]), np.concatenate(sizes)
+    sketch = np.concatenate([np.frombuffer(b[2], np.uint64).reshape(-1, 4) for b in blocks])
+    start = np.cumsum([0, *map(len, sizes)])
+    sig = np.concatenate([np.cumsum(loose(b[3], np.uint64), dtype=np.uint64) for b in blocks])
+    codes = [loose(b[4], np.uint16) for b in blocks]
     who = np.concatenate([(c >> 3).astype(np.int32) + s for c, s in zip(codes, start.astype(np.int32))])
     flag = np.concatenate([(c & 7).astype(np.uint8) for c in codes])
     order = np.argsort(sig, kind="stable")
@@ -308,13 +314,17 @@ def match_blocks(blocks: list[tuple], scheme: Scheme, chunk: int = 4_000_000) ->
 
 
 def candidate_pairs(blocks: DataFrame, t: float) -> DataFrame:
+    """``(a, b)`` of each signature range; ``(doc, null)`` for the documents that need the exact pass."""
     scheme = Scheme(t)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        if group["range"].iloc[0] < 0:
+            ids = np.concatenate([np.cumsum(loose(x, np.int64)) for x in group["docs"]])
+            return pd.DataFrame({"a": ids, "b": pd.array([None] * len(ids), dtype="Int64")})
         a, b = match_blocks(list(group[["docs", "sizes", "sketch", "deltas", "entries"]].itertuples(index=False, name=None)), scheme)
         return pd.DataFrame({"a": a, "b": b})
 
-    return blocks.where("range >= 0").groupBy("range").applyInPandas(run, "a long, b long").distinct()
+    return blocks.groupBy("range").applyInPandas(run, "a long, b long")
 
 
 def scanned_pairs(sets: DataFrame, ids: np.ndarray, t: float) -> DataFrame:
@@ -368,7 +378,7 @@ def verified(pairs: DataFrame, docs: DataFrame, t: float, words: int) -> DataFra
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, t: float = 0.8, words: int = 5, least_words: int = 5, per_range: int = 6_000_000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, t: float = 0.8, words: int = 5, least_words: int = 5, per_range: int = 10_000_000) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates among ``docs (doc, text)`` as ``(links, members)``.
 
     ``members (doc, rep)``: every text that counts (at least ``least_words`` words) with the lowest ``doc`` that has the
@@ -386,10 +396,10 @@ def near_duplicates(docs: DataFrame, t: float = 0.8, words: int = 5, least_words
     stat = sets.agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).first()
     total = stat["n"] or 1
     counts = shingle_counts(reps)
-    blocks = saved(signature_blocks(reps, counts, total, t, max(6, int((stat["shingles"] or 0) * 2.5) // per_range)), "p2_blocks")
-    pairs = candidate_pairs(blocks, t)
-    hard = [np.frombuffer(r["docs"], np.int64) for r in blocks.where("range < 0").select("docs").toLocalIterator()]
-    hard = np.unique(np.concatenate(hard)) if hard else np.zeros(0, np.int64)
+    ranges = max(6, int((stat["shingles"] or 0) * 2.5) // per_range)
+    found = saved(candidate_pairs(signature_blocks(reps, counts, total, t, ranges), t), "p2_candidates")
+    pairs = found.where("b is not null")
+    hard = np.array([r["a"] for r in found.where("b is null").select("a").distinct().toLocalIterator()], dtype=np.int64)
     for at in range(0, len(hard), 2000):
         pairs = pairs.unionByName(scanned_pairs(reps, hard[at : at + 2000], t))
     pairs = saved(pairs.distinct(), "p2_pairs")
