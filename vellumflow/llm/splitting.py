@@ -13,88 +13,84 @@ pre-token, is marked so that it can't add tokens. Limits therefore hold when a p
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import TOKENIZERS, VOCABULARY, Encoder, model_bytes, vocabulary
+from .tokens import TOKENIZERS, VOCABULARY, Encoder, in_groups, model_bytes, vocabulary
 
 #: Tokens per stored part of a text; a piece is cut from the few parts it touches, so long texts cost no more per piece.
-PART = 4096
+PART = 512
 _BREAK = re.compile("[\n\r\x0b\x0c\x85  ]\\s*")
 _LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 _SENTENCE = re.compile("[.!?…؟।]+[\"'”’»)\\]]*(?=\\s)|[。！？｡]+[」』”’）]*")
 _SECTION = re.compile("#{1,6}\\s|```|~~~|---|\\* \\* \\*")
-_MARKS = np.frombuffer(b"hplswcx", dtype=np.uint8)
+_SECTION_STARTS = "#`~-*"
 
 
 class _Marker(Encoder):
-    """Remembers of each pre-token its marks (a leading ``_`` says that it begins with white space) and the characters each token completes."""
+    """Remembers of each pre-token its marks (a leading ``_`` says that it begins with white space) and the characters each token completes, as bytes."""
 
     def __init__(self, model: bytes, pieces: list[bytes]):
         super().__init__(model)
-        self.pieces = pieces
-        self.marks: dict[str, str] = {}
-        self.chars: dict[str, list[int]] = {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.seen) > 400_000:
-            self.marks.clear(), self.chars.clear()
-        super().learn(words)
-        for w in {w for w in words if w not in self.marks}:
-            marks, chars, rest = [], [], b""
-            for i in self.seen[w]:
-                rest += self.pieces[i]
-                try:
-                    done, rest, mark = rest.decode(), b"", "c"
-                except UnicodeDecodeError as e:
-                    done, rest, mark = rest[: e.start].decode(), rest[e.start :], "x"
-                marks.append(mark)
-                chars.append(len(done))
-            self.marks[w] = "_" * w[0].isspace() + "".join(marks)
-            self.chars[w] = chars
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Marks (as bytes) and end offsets in characters of all tokens."""
-        words, _ = self.pretokens(text)
-        marks = "".join(map(self.marks.__getitem__, words)).replace("c_", "w").replace("_", "")
-        marks = np.frombuffer(marks.encode(), dtype=np.uint8).copy()
-        ends = np.cumsum(np.fromiter((n for w in map(self.chars.__getitem__, words) for n in w), dtype=np.int32, count=len(marks)), dtype=np.int32)
-        stops = [m.end() for m in _SENTENCE.finditer(text)]
-        if stops:
-            at = np.searchsorted(ends, stops)
-            at = at[(at < len(ends)) & (ends[np.minimum(at, len(ends) - 1)] == stops)]
-            marks[at[marks[at] != 120]] = 115
-        for m in _BREAK.finditer(text):
-            k = int(np.searchsorted(ends, m.end(), side="right")) - 1
+        self.lengths = np.array([len(p) for p in pieces])
+        self.marks: dict[str, bytes] = {}
+        self.chars: dict[str, bytes] = {}
+        self.growing: dict[str, bool] = {}
+
+    def forget(self) -> None:
+        super().forget()
+        self.marks.clear(), self.chars.clear(), self.growing.clear()
+
+    def learn(self, new: list[str]) -> None:
+        super().learn(new)
+        raw = np.frombuffer("".join(new).encode(), dtype=np.uint8)
+        closes = np.append((raw[1:] & 0xC0) != 0x80, True)  # does a character end with this byte?
+        ids = [self.seen[w] for w in new]
+        stops = np.cumsum(self.lengths[np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int64)]) - 1
+        marks = np.where(closes[stops], 99, 120).astype(np.uint8).tobytes()
+        chars = np.diff(np.cumsum(closes)[stops], prepend=0).astype(np.uint8).tobytes()
+        at = 0
+        for w, n in zip(new, map(len, ids)):
+            self.marks[w] = b"_" * w[0].isspace() + marks[at : at + n]
+            self.chars[w] = chars[at : at + n]
+            at += n
+
+    def of(self, text: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Marks (as bytes) and end offsets in characters of all tokens of a text of known pre-tokens."""
+        joined = b"".join(map(self.marks.__getitem__, words))
+        marks = np.frombuffer(joined.replace(b"c_", b"w").replace(b"_", b""), dtype=np.uint8).copy()
+        ends = np.cumsum(np.frombuffer(b"".join(map(self.chars.__getitem__, words)), dtype=np.uint8), dtype=np.int32)
+        stops = np.array([m.end() for m in _SENTENCE.finditer(text)], dtype=np.int32)
+        at = np.searchsorted(ends, stops)
+        at = at[ends[np.minimum(at, len(ends) - 1)] == stops]
+        marks[at[marks[at] != 120]] = 115
+        breaks = [(m.start(), m.end(), m.group()) for m in _BREAK.finditer(text)]
+        last = np.searchsorted(ends, np.array([b[1] for b in breaks], dtype=np.int32), side="right") - 1
+        for (begin, end, run), k in zip(breaks, last.tolist()):
             while k >= 0 and marks[k] == 120:
                 k -= 1
-            if k < 0 or ends[k] <= m.start():
+            if k < 0 or ends[k] <= begin or (len(run) > 1 or text[begin - 1 : begin].isspace()) and self.grows(text, begin, int(ends[k])):
                 continue
-            begin = m.start()
-            while begin and text[begin - 1].isspace() and m.start() - begin < 64:
-                begin -= 1
-            run = text[begin : ends[k]]
-            if len(run) > 1 and self.grows(run):
-                continue
-            if _SECTION.match(text, m.end()):
-                marks[k] = 104
-            else:
-                marks[k] = 112 if len(_LINE.findall(m.group())) > 1 else 108
+            marks[k] = 104 if text[end : end + 1] in _SECTION_STARTS and _SECTION.match(text, end) else 112 if len(run) > 1 and len(_LINE.findall(run)) > 1 else 108
         return marks, ends
 
-    def grows(self, run: str) -> bool:
-        """Would white space at the end of a piece take more tokens as one pre-token than it takes in the whole text?"""
-        if run not in self.seen:
-            self.learn([run, run[:-1], run[-1]])
-        for part in (run[:-1], run[-1]):
-            if part not in self.seen:
-                self.learn([part])
-        return len(self.seen[run]) > len(self.seen[run[:-1]]) + len(self.seen[run[-1]])
+    def grows(self, text: str, begin: int, end: int) -> bool:
+        """Would the white space that ends at ``end`` take more tokens as one pre-token, at the end of a piece, than it takes in the whole text?"""
+        while begin and text[begin - 1].isspace() and end - begin < 64:
+            begin -= 1
+        run = text[begin:end]
+        if len(run) < 2:
+            return False
+        if run not in self.growing:
+            self.learn([w for w in {run, run[:-1], run[-1]} if w not in self.seen])
+            self.growing[run] = len(self.seen[run]) > len(self.seen[run[:-1]]) + len(self.seen[run[-1]])
+        return self.growing[run]
 
 
 def piece_pattern(limit: int, overlap: int) -> str:
@@ -129,19 +125,17 @@ def marked(docs: DataFrame, least: int, tokenizers: str = TOKENIZERS, vocabulary
         marker = _Marker(model, pieces)
         for batch in batches:
             ids, marks, ends, parts = [], [], [], []
-            for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                if not text or len(text) * 4 <= least:
-                    continue
-                m, e = marker.of(text)
-                if len(m) <= least:
-                    continue
-                cuts = [0, *e[PART - 1 : -1 : PART].tolist(), len(text)]
-                ids.append(key), marks.append(m.tobytes().decode()), ends.append(e), parts.append([text[a:b] for a, b in zip(cuts, cuts[1:])])
+            for group in in_groups([(k, t) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and len(t) * 4 > least]):
+                for (key, text), words in zip(group, marker.pretokens([t for _, t in group])):
+                    m, e = marker.of(text, words)
+                    if len(m) > least:
+                        cuts = [0, *e[PART - 1 : -1 : PART].tolist(), len(text)]
+                        ids.append(key), marks.append(m.tobytes()), ends.append(e), parts.append([text[a:b] for a, b in zip(cuts, cuts[1:])])
             offsets = np.zeros(len(ends) + 1, dtype=np.int32)
             np.cumsum([len(e) for e in ends], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ends) if ends else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i.as_py() for i in ids], batch.column(0).type), pa.array(marks, pa.string()), lists, pa.array(parts, pa.list_(pa.string()))], names=["doc_id", "marks", "ends", "parts"]
+                [pa.array(ids, batch.column(0).type), pa.array(marks, pa.binary()).cast(pa.string()), lists, pa.array(parts, pa.list_(pa.string()))], names=["doc_id", "marks", "ends", "parts"]
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, marks string, ends array<int>, parts array<string>")
@@ -163,30 +157,36 @@ def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizer
         profiles = [("", 2**31 - 1, 0)]
     text_marks = marked(docs, min(p[1] for p in profiles), tokenizers, vocabulary_name)
     n = F.length("marks")
-    cut = [
-        F.when(n > most, F.struct(F.lit(name).alias("profile"), F.lit(shared).alias("shared"), F.regexp_extract_all("marks", F.lit("(?s)" + piece_pattern(most, shared)), F.lit(0)).alias("runs")))
-        for name, most, shared in profiles
-    ]
-    rows = text_marks.select("*", F.explode(F.filter(F.array(*cut), lambda x: x.isNotNull())).alias("p"))
-    stops = F.aggregate(
-        F.transform("p.runs", lambda r: F.length(r)),
-        F.array(F.lit(0)),
-        lambda seen, k: F.concat(seen, F.array(F.element_at(seen, -1) + k)),
-    )
-    rows = rows.select("doc_id", "marks", "ends", "parts", "p.profile", "p.shared", stops.alias("stops"))
-    back = F.expr("greatest(stops[piece_no] - shared, 0)")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("stops") - 2)).alias("piece_no"))
-    rows = rows.withColumn("back", F.when(F.col("piece_no") == 0, F.lit(0)).otherwise(back)).withColumn("stop", F.expr("stops[piece_no + 1]"))
-    # a start inside a character moves behind it: skip while the token before is marked x
-    inside = F.expr("if(back = 0, 0, length(regexp_extract(substring(marks, back, 4), '^x*', 0)))")
-    rows = rows.withColumn("start", F.least(F.col("back") + inside, F.expr("stops[piece_no]")))
-    rows = rows.withColumn("from_", F.expr("if(start = 0, 0, ends[start - 1])")).withColumn("to_", F.expr("ends[stop - 1]"))
-    first = F.expr(f"start div {PART}")
-    rows = rows.withColumn("base", F.expr(f"if(start < {PART}, 0, ends[(start div {PART}) * {PART} - 1])"))
-    near = F.array_join(F.slice("parts", first + 1, F.expr(f"(stop - 1) div {PART} - start div {PART} + 1")), "")
-    return rows.select(
-        "doc_id", "profile", "piece_no", F.col("start").alias("start_token"), (F.col("stop") - F.col("start")).alias("n_tokens"),
-        F.when(F.col("piece_no") == 0, F.lit(0)).otherwise(F.expr("stops[piece_no] - start")).alias("overlap_tokens"),
-        F.when(F.col("stop") == F.length("marks"), F.lit("e")).otherwise(F.expr("substring(marks, stop, 1)")).alias("boundary"),
-        F.substring(near, F.col("from_") - F.col("base") + 1, F.col("to_") - F.col("from_")).alias("piece"),
-    )
+    element = lambda array, at: F.get(array, at)
+
+    def pieces(name: str, most: int, shared: int) -> Column:
+        runs = F.regexp_extract_all("marks", F.lit("(?s)" + piece_pattern(most, shared)), F.lit(0))
+        stops = F.aggregate(F.transform(runs, lambda r: F.length(r)), F.array(F.lit(0)), lambda seen, k: F.concat(seen, F.array(F.element_at(seen, -1) + k)))
+
+        def bounds(stop: Column) -> Column:
+            def one(i: Column) -> Column:
+                back = F.greatest(element(stop, i) - shared, F.lit(0))
+                inside = lambda k: F.substr("marks", back + k, F.lit(1)) == "x"  # noqa: E731  of the k-th token from the one before
+                # a start inside a character moves behind it
+                skip = F.when((i == 0) | (back == 0) | ~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+                start = F.when(i == 0, 0).otherwise(F.least(back + skip, element(stop, i)))
+                return F.struct(i.alias("n"), start.alias("start"), element(stop, i).alias("new"), element(stop, i + 1).alias("stop"))
+
+            return F.transform(F.sequence(F.lit(0), F.size(stop) - 2), one)
+
+        def piece(p: Column) -> Column:
+            first, last = F.floor(p["start"] / PART).cast("int"), F.floor((p["stop"] - 1) / PART).cast("int")
+            base = F.when(first == 0, 0).otherwise(element("ends", first * PART - 1))
+            begin = F.when(p["start"] == 0, 0).otherwise(element("ends", p["start"] - 1))
+            return F.struct(
+                F.lit(name).alias("profile"), p["n"].alias("piece_no"), p["start"].alias("start_token"), (p["stop"] - p["start"]).alias("n_tokens"), (p["new"] - p["start"]).alias("overlap_tokens"),
+                F.when(p["stop"] == n, F.lit("e")).otherwise(F.substr("marks", p["stop"], F.lit(1))).alias("boundary"),
+                F.substr(F.array_join(F.slice("parts", first + 1, last - first + 1), ""), begin - base + 1, element("ends", p["stop"] - 1) - begin).alias("piece"),
+            )
+
+        cut = F.flatten(F.transform(F.array(stops), lambda stop: F.transform(bounds(stop), piece)))
+        return F.when(n > most, cut)
+
+    # the marks, offsets and parts of a text stay in its one row: only finished pieces are spread over rows
+    every = F.flatten(F.filter(F.array(*[pieces(*p) for p in profiles]), lambda x: x.isNotNull()))
+    return text_marks.select("doc_id", F.explode(every).alias("p")).select("doc_id", "p.*")

@@ -83,26 +83,33 @@ class Encoder:
         self.table = {b: c for b, c in enumerate(byte_characters())}
         self.seen: dict[str, list[int]] = {}
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = list({w for w in words if w not in self.seen})
+    def learn(self, new: list[str]) -> None:
+        mapped = [w.encode().decode("latin-1").translate(self.table) for w in new]
+        self.seen.update(zip(new, self.sp.encode(mapped, num_threads=1)))
+
+    def pretokens(self, texts: list[str | None]) -> list[list[str]]:
+        """Pre-tokens of some texts, all of them known afterwards."""
+        words = [self.find(t) if t else [] for t in texts]
+        new = set(itertools.chain.from_iterable(words)).difference(self.seen)
         if new:
-            mapped = [w.encode().decode("latin-1").translate(self.table) for w in new]
-            self.seen.update(zip(new, self.sp.encode(mapped)))
+            if len(self.seen) > REMEMBERED:
+                self.forget()
+                new = set(itertools.chain.from_iterable(words))
+            self.learn(list(new))
+        return words
 
-    def pretokens(self, text: str) -> tuple[list[str], list[list[int]]]:
-        words = self.find(text)
-        try:
-            return words, list(map(self.seen.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return words, list(map(self.seen.__getitem__, words))
+    def forget(self) -> None:
+        self.seen.clear()
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        return list(itertools.chain.from_iterable(self.pretokens(text)[1]))
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        known = self.seen.__getitem__
+        return [list(itertools.chain.from_iterable(map(known, w))) for w in self.pretokens(texts)]
+
+
+def in_groups(items: list, size: int = 256) -> Iterator[list]:
+    """Runs of some texts: new pre-tokens are learnt once per run, and only a run's pre-tokens are held."""
+    for at in range(0, len(items), size):
+        yield items[at : at + size]
 
 
 def decode(ids: list[int], pieces: list[bytes]) -> str:
@@ -123,7 +130,7 @@ def encoded(df: DataFrame, text: str = "text", out: str = "ids", tokenizers: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            lists = [encoder.encode(t) for t in batch.column(at).to_pylist()]
+            lists = [x for group in in_groups(batch.column(at).to_pylist()) for x in encoder.encode(group)]
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
             flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1]))
@@ -143,7 +150,7 @@ def counted(df: DataFrame, text: str = "text", out: str = "n_tokens", tokenizers
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            n = [sum(map(len, encoder.pretokens(t)[1])) if t else 0 for t in batch.column(at).to_pylist()]
+            n = [sum(map(len, map(encoder.seen.__getitem__, w))) for group in in_groups(batch.column(at).to_pylist()) for w in encoder.pretokens(group)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(n, pa.int32())], names=[*(batch.schema.names[i] for i in kept), out])
 
     return df.mapInArrow(run, schema)
