@@ -55,6 +55,10 @@ def neighbours(links: DataFrame, seeds: DataFrame | None = None, hops: int = 1,
     if seeds is not None:
         own = own.join(seeds.select("scope", "title").distinct(), ["scope", "title"], "left_semi")
     if hops > 1:
+        if most is not None:
+            # of a note in between only its first titles can be among the first of all, so a hub passes on few
+            first = F.row_number().over(Window.partitionBy("scope", "src").orderBy("dst"))
+            near = near.withColumn("n", first).where(F.col("n") <= most + 1)
         second = own.join(near.select("scope", F.col("src").alias("neighbour"), F.col("dst").alias("next")), ["scope", "neighbour"])
         own = own.union(second.where("next <> title").select("scope", "title", F.col("next").alias("neighbour"))).distinct()
     own = own.withColumn("n", F.row_number().over(Window.partitionBy("scope", "title").orderBy("neighbour")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.python_udfs import chat_html, message_parts, yaml_fields
-from ..operators import chunking, graph, registry, resolve, retrieval, tasks
+from ..operators import chunking, graph, ingest, registry, resolve, retrieval, tasks
 from ..session import table
 from . import notes_sql
 
@@ -124,6 +124,20 @@ def daily_notes(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy("vault_id", "entry_date").agg(F.array_join(F.array_sort(F.collect_list(section)), "\n\n").alias("body"), F.sum(F.size("x")).alias("n_entries"))
 
 
+def captured_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries as the Markdown text each would be filed with."""
+    u = table(spark, sf, "telegram_updates").where("update_kind = 'message'")
+    kind = F.when(F.col("voice_file_id").isNotNull(), "voice").when(F.col("audio_file_name").isNotNull(), "document").when(F.col("text").rlike(r"^https?://\S+$"), "url").otherwise("text")
+    item = ingest.item_text(kind, F.col("text"), F.col("caption"), F.col("audio_file_name"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("text"))
+    return u.select("delivery_id", kind.alias("modality"), item.alias("item"))
+
+
+def filed_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries after task detection, normalisation and extraction."""
+    done = ingest.filed_entries(_entries(spark, sf).withColumn("raw_text", F.col("content")), today())
+    return done.select("entry_no", "category", "content", "due_date", F.size("extracted_wikilinks").alias("n_links"), "block_id")
+
+
 def message_split(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as chat messages of at most 4000 characters."""
     parts = _documents(spark, sf).select("doc_id", F.posexplode(message_parts(4000)("text")).alias("part", "message"))
@@ -431,7 +445,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         wikilinks, loose_links, tags, dataview_fields, entry_fields, block_ids, headings, frontmatter, frontmatter_yaml, term_stems, uuid5_ids, temporal_intent,
-        task_sentences, routes, section_headers, entry_lines, daily_notes, message_split, chat_rendering, citations, chunk_exact, sections_native, bm25_topk,
+        task_sentences, routes, section_headers, entry_lines, daily_notes, captured_items, filed_entries, message_split, chat_rendering, citations, chunk_exact, sections_native, bm25_topk,
         bm25_term_stats, bm25_filtered, dense_topk, dense_filtered, dense_threshold, rrf_fuse, rrf_weighted, temporal_boost, hybrid_topk, eval_recall_mrr, qa_sources,
         graph_edges, graph_backlinks, graph_neighbors_1hop, graph_neighbors_2hop, graph_expand, tasks_parse, tasks_all, tasks_buckets, tasks_report, tasks_briefing,
         mark_task_pick, registry_diff, registry_stats, registry_after, upsert_chunks, resolve_exact, resolve_fuzzy, grounded_links, note_lookup, dup_blocks,
