@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .tokens import TOKENIZERS, VOCABULARY, Encoder, in_groups, model_bytes, vocabulary
 
 #: Tokens per stored part of a text; a piece is cut from the few parts it touches, so long texts cost no more per piece.
-PART = 512
+PART = 128
 _BREAK = re.compile("[\n\r\x0b\x0c\x85  ]\\s*")
 _LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 _SENTENCE = re.compile("[.!?…؟।]+[\"'”’»)\\]]*(?=\\s)|[。！？｡]+[」』”’）]*")
@@ -116,7 +116,7 @@ def piece_pattern(limit: int, overlap: int) -> str:
 
 
 def marked(docs: DataFrame, least: int, tokenizers: str = TOKENIZERS, vocabulary_name: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, marks, ends, parts)`` of texts of more than ``least`` tokens; ``docs`` has ``doc_id`` and ``text``."""
+    """``(doc_id, marks, raw, ends, parts)``, ``raw`` the marks as bytes for access by place, of texts of more than ``least`` tokens; ``docs`` has ``doc_id`` and ``text``."""
     pieces = vocabulary(tokenizers, vocabulary_name)
     model = model_bytes(pieces)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -135,10 +135,10 @@ def marked(docs: DataFrame, least: int, tokenizers: str = TOKENIZERS, vocabulary
             np.cumsum([len(e) for e in ends], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ends) if ends else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.column(0).type), pa.array(marks, pa.binary()).cast(pa.string()), lists, pa.array(parts, pa.list_(pa.string()))], names=["doc_id", "marks", "ends", "parts"]
+                [pa.array(ids, batch.column(0).type), pa.array(marks, pa.binary()).cast(pa.string()), pa.array(marks, pa.binary()), lists, pa.array(parts, pa.list_(pa.string()))], names=["doc_id", "marks", "raw", "ends", "parts"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, marks string, ends array<int>, parts array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, marks string, raw binary, ends array<int>, parts array<string>")
 
 
 def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizers: str = TOKENIZERS, vocabulary_name: str = VOCABULARY) -> DataFrame:
@@ -156,7 +156,7 @@ def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizer
     if not profiles:
         profiles = [("", 2**31 - 1, 0)]
     text_marks = marked(docs, min(p[1] for p in profiles), tokenizers, vocabulary_name)
-    n = F.length("marks")
+    n = F.size("ends")
     element = lambda array, at: F.get(array, at)
 
     def pieces(name: str, most: int, shared: int) -> Column:
@@ -166,7 +166,7 @@ def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizer
         def bounds(stop: Column) -> Column:
             def one(i: Column) -> Column:
                 back = F.greatest(element(stop, i) - shared, F.lit(0))
-                inside = lambda k: F.substr("marks", back + k, F.lit(1)) == "x"  # noqa: E731  of the k-th token from the one before
+                inside = lambda k: F.substr("raw", back + k, F.lit(1)) == F.lit(bytearray(b"x"))  # noqa: E731  of the k-th token from the one before
                 # a start inside a character moves behind it
                 skip = F.when((i == 0) | (back == 0) | ~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
                 start = F.when(i == 0, 0).otherwise(F.least(back + skip, element(stop, i)))
@@ -180,7 +180,7 @@ def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizer
             begin = F.when(p["start"] == 0, 0).otherwise(element("ends", p["start"] - 1))
             return F.struct(
                 F.lit(name).alias("profile"), p["n"].alias("piece_no"), p["start"].alias("start_token"), (p["stop"] - p["start"]).alias("n_tokens"), (p["new"] - p["start"]).alias("overlap_tokens"),
-                F.when(p["stop"] == n, F.lit("e")).otherwise(F.substr("marks", p["stop"], F.lit(1))).alias("boundary"),
+                F.when(p["stop"] == n, F.lit("e")).otherwise(F.substr("raw", p["stop"], F.lit(1)).cast("string")).alias("boundary"),
                 F.substr(F.array_join(F.slice("parts", first + 1, last - first + 1), ""), begin - base + 1, element("ends", p["stop"] - 1) - begin).alias("piece"),
             )
 
