@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import HEADERS, LOG, STOPWORDS, TASK_PHRASES, WEEKDAYS
+from ..functions.text import HEADERS, LOG, STOPWORDS, TASK_COMMANDS, TASK_PHRASES, TASK_PREFIXES, TASK_QUESTIONS, WEEKDAYS
 
 TODAY = "date '2026-05-01'"
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -174,4 +174,27 @@ select scope, term, title, least(1.0, s)::double as score from (select *, row_nu
     "dql_open_tasks": f"with {_TASKS} select entry_no, line_number, path from identified where not completed",
     "dql_recent_daily": "select vault_id, file_name, n from (select *, row_number() over (partition by vault_id order by file_name desc) as n from (select distinct vault_id, file_name from note_nodes where rel_path like 'Daily Notes/%')) where n <= 7",
     "dql_tagged": "select vault_id, tag, count(*) as n_notes from (select vault_id, node_no, unnest(list_distinct(tags)) as tag from note_nodes) group by all",
+    "dataview_fields": f"""
+with f as (select doc_id, unnest(range(0, len(k))) as i, unnest(k) as k, unnest(v) as v from (
+  select doc_id, regexp_extract_all(text, '\\[([a-zA-Z0-9_\\-\\s]+)::\\s*([^\\]]+)\\]', 1) as k, regexp_extract_all(text, '\\[([a-zA-Z0-9_\\-\\s]+)::\\s*([^\\]]+)\\]', 2) as v from documents))
+select doc_id, {strip("k")} as field, arg_max({strip("v")}, i) as value from f group by 1, 2""",
+    "tasks_all": f"""
+with lines as (select doc_id, unnest(range(0, len(l)))::int as line_number, {strip("unnest(l)")} as line from (select doc_id, regexp_split_to_array(text, '\\r\\n|\\n') as l from documents where text is not null)),
+t as (select doc_id, line_number, lower(regexp_extract(line, '^[-*+]\\s*\\[([ xX])\\]', 1)) = 'x' as completed, {strip("regexp_extract(line, '(?s)^[-*+]" + chr(92) + "s*" + chr(92) + "[[ xX]" + chr(92) + "]" + chr(92) + "s*(.*)$', 1)")} as b
+  from lines where regexp_matches(line, '^[-*+]\\s*\\[([ xX])\\]\\s*(.*)$'))
+select doc_id, line_number, completed, coalesce(nullif(regexp_extract(b, '📅\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), ''), nullif(regexp_extract(b, '\\[due::\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})\\]', 1), '')) as due_date,
+  coalesce(nullif({strip("regexp_extract(b, '(?i)" + chr(92) + "[priority::" + chr(92) + "s*([^" + chr(92) + "]]+)" + chr(92) + "]', 1)")}, ''), case when regexp_matches(b, '(?i)#high\\b') or contains(b, '[#A]') then 'high'
+    when regexp_matches(b, '(?i)#medium\\b') or contains(b, '[#B]') then 'medium' when regexp_matches(b, '(?i)#low\\b') or contains(b, '[#C]') then 'low' end) as priority,
+  nullif(regexp_extract(b, '\\^([a-zA-Z0-9_-]+)\\s*$', 1), '') as block_id from t""",
+    "routes": f"""
+with q as (select callback_data as c, lower({strip("coalesce(text, caption)")}) as t from telegram_updates)
+select case when c is not null then case when c like 'done:%' then 'done' when c like 'view:%' then 'view' when c like 'create_atomic:%' then 'create_atomic' when c like 'ignore_atomic:%' then 'ignore_atomic' else 'unknown' end
+  when t is null or t = '' then 'none'
+  when t in ({quoted(TASK_COMMANDS)}) or {" or ".join(f"starts_with(t, '{x}')" for x in TASK_PREFIXES)} or regexp_matches(t, '{TASK_QUESTIONS.replace("'", "''")}') then 'tasks'
+  when regexp_matches(t, '^/(ask|query)\\b') then 'query' when regexp_matches(t, '^/consolidate\\b') then 'consolidate' when regexp_matches(t, '^/reindex\\b') then 'reindex' else 'capture' end as route, count(*) as n_updates
+from q group by 1""",
+    "mark_task_pick": f"""
+with {_TASKS}, asked as (select delivery_id as rid, vault_id, substr(callback_data, 6, 40) as id from telegram_updates where callback_data like 'done:%' union all select entry_no, vault_id, task_id from identified where not completed),
+hits as (select rid, path, line_number from asked a join identified t on t.vault_id = a.vault_id and not t.completed and (t.task_id = a.id or t.block_id = a.id))
+select rid, path, line_number from (select *, row_number() over (partition by rid order by path desc, line_number) as n from hits) where n = 1""",
 }
