@@ -116,4 +116,13 @@ pairs as (
   select x.chunk_no as a, y.chunk_no as b, count(*) as o from shingles x join shingles y on x.g = y.g and x.chunk_no < y.chunk_no group by all),
 alike as (select a, b from pairs join sizes s on s.chunk_no = a join sizes t on t.chunk_no = b where o >= 0.6 * (s.n + t.n - o))
 """
-SQL: dict[str, str] = {"p2_found": _SHINGLES + "select a as chunk_a, b as chunk_b from alike"}
+SQL: dict[str, str] = {
+    "p2_found": _SHINGLES + "select a as chunk_a, b as chunk_b from alike",
+    "p2_classes": _SHINGLES
+    + """,
+sets as (select chunk_no, list_sort(list(g)) as s from shingles group by chunk_no),
+members as (select chunk_no, min(chunk_no) over (partition by s) as class_chunk from sets),
+links as (select x.class_chunk as c, y.class_chunk as d from alike join members x on x.chunk_no = a join members y on y.chunk_no = b where x.class_chunk <> y.class_chunk),
+degrees as (select c, count(distinct d) as n from (select c, d from links union all select d, c from links) group by c)
+select chunk_no, class_chunk, coalesce(n, 0) as n_links from members left join degrees on c = class_chunk""",
+}
