@@ -223,7 +223,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterato
 def signature_blocks(sets: DataFrame, counts: np.ndarray, total: int, t: float, ranges: int) -> DataFrame:
     """Packed signatures ``(range, docs, sizes, sketch, deltas, entries)``; range -1 holds the documents of :func:`signatures`' ``short``.
 
-    ``deltas``: differences of the sorted 40-bit signatures; ``entries``: ``local document * 8 + deletion * 4 + role``,
+    ``deltas``: differences of the sorted 32-bit signatures (a range holds some millions, so chance agreements are few, and the sketches drop them); ``entries``: ``local document * 8 + deletion * 4 + role``,
     role 0 indexed only, 1 indexed and probed, 2 probed in the band below.
     """
     scheme = Scheme(t)
@@ -239,8 +239,8 @@ def signature_blocks(sets: DataFrame, counts: np.ndarray, total: int, t: float,
                 sigs.append(sig), entries.append((d * 8 + deletion * 4 + role).astype(np.uint32)), shorts.append(short)
             sig, entry = np.concatenate(sigs), np.concatenate(entries)
             at = ((sig >> U(40)) % U(ranges)).astype(np.int64)
-            low = sig & U((1 << 40) - 1)
-            order = np.argsort((at.astype(np.uint64) << U(40)) | low, kind="stable")
+            low = sig & U((1 << 32) - 1)
+            order = np.argsort((at.astype(np.uint64) << U(32)) | low, kind="stable")
             at, low, entry = at[order], low[order], entry[order]
             ends = np.searchsorted(at, np.arange(ranges + 1))
             rows = []
@@ -251,7 +251,7 @@ def signature_blocks(sets: DataFrame, counts: np.ndarray, total: int, t: float,
                 there, local = np.unique(entry[a:b] >> 3, return_inverse=True)
                 delta = np.diff(low[a:b], prepend=U(0))
                 code = (local << 3) | (entry[a:b] & 7)
-                rows.append((k, packed(np.diff(ids[there], prepend=0), np.int64), packed(size[there], np.int32), sketch[there].tobytes(), packed(delta, np.uint64), packed(code, np.uint16)))
+                rows.append((k, packed(np.diff(ids[there], prepend=0), np.int64), packed(size[there], np.int32), sketch[there].tobytes(), packed(delta, np.uint32), packed(code, np.uint16)))
             short = np.unique(np.concatenate(shorts))
             if len(short):
                 rows.append((-1, packed(np.diff(ids[short], prepend=0), np.int64), b"", b"", b"", b""))
@@ -279,7 +279,7 @@ def match_blocks(blocks: list[tuple], scheme: Scheme, chunk: int = 4_000_000) ->
     docs, size = np.concatenate([np.cumsum(loose(b[0], np.int64)) for b in blocks]), np.concatenate(sizes)
     sketch = np.concatenate([np.frombuffer(b[2], np.uint64).reshape(-1, 4) for b in blocks])
     start = np.cumsum([0, *map(len, sizes)])
-    sig = np.concatenate([np.cumsum(loose(b[3], np.uint64), dtype=np.uint64) for b in blocks])
+    sig = np.concatenate([np.cumsum(loose(b[3], np.uint32), dtype=np.uint32) for b in blocks])
     codes = [loose(b[4], np.uint16) for b in blocks]
     who = np.concatenate([(c >> 3).astype(np.int32) + s for c, s in zip(codes, start.astype(np.int32))])
     flag = np.concatenate([(c & 7).astype(np.uint8) for c in codes])
