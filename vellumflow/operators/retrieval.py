@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
+from ..session import saved
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 RRF_K = 60
@@ -44,10 +45,12 @@ def bm25_topk(index: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     are enough to fill up. Query terms are joined before the postings are aggregated. Scores are rounded to 9 digits
     before ranking so that copies tie exactly. A query without known terms gives no row.
     """
+    index = saved(index, "postings")  # tokens are made once; statistics, postings and fill-up read them
     terms = query_terms(queries)
     stats = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()  # two numbers
     n, average = stats["n"], stats["avgdl"] or 1.0
     hits = index.select("id", "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = saved(hits, "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weights = terms.join(df, "term").select("qid", "term", (F.col("qtf") * F.log((F.lit(n) + 1) / F.col("df"))).alias("w"))
     base = weights.groupBy("qid").agg((F.sum("w") * DELTA).alias("base"))
