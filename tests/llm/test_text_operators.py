@@ -72,6 +72,18 @@ def test_large_class_of_copies_stays_linear(spark):
     assert links.count() == 0 and members.where("rep = 0").count() == 300 and pairs.count() == 10 + 295
 
 
+@pytest.mark.parametrize("block", [7, 500])
+def test_large_classes_of_other_texts_are_paired_in_full(spark, block):
+    base = [f"w{i}" for i in range(40)]
+    spelled = [" ".join(w.upper() if k >> (i % 5) & 1 else w for i, w in enumerate(base)) for k in range(28)]
+    linked = [" ".join([*base, "more", *["!"] * k]) for k in range(25)]
+    texts = spelled + linked + [spelled[0]] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    links, members = neardup.near_duplicates(docs, 0.6, 3, 20)
+    got = [(r.a, r.b) for r in neardup.expanded_pairs(links, members, block=block).collect()]
+    assert len(got) == len(set(got)) == 56 * 55 // 2 and set(got) == brute_pairs(texts, 0.6, 3, 20)
+
+
 def test_encoding_equals_another_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     pieces = tokens.vocabulary()

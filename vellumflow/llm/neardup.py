@@ -406,16 +406,30 @@ def near_duplicates(docs: DataFrame, t: float = 0.8, words: int = 5, least_words
     return verified(pairs, docs, t, words), members
 
 
-def expanded_pairs(links: DataFrame, members: DataFrame, each: int = 20) -> DataFrame:
-    """Pairs ``(a, b)`` of documents: of linked classes and within classes of copies, for the ``each`` lowest copies of a
-    class; further copies are paired with their representative only, so a class of k copies gives fewer than k + each^2 pairs."""
+def expanded_pairs(links: DataFrame, members: DataFrame, each: int | None = None, block: int = 500) -> DataFrame:
+    """All pairs ``(a, b)`` of documents: within classes and of linked classes.
+
+    A class is cut by hash into parts of about ``block`` documents and pairs of parts are joined, so a large class
+    spreads over many tasks; every pair is made once. A class of k documents gives k(k - 1)/2 pairs, by definition.
+    ``each``, for callers that can do without the rest, pairs only the ``each`` lowest documents of a class and gives
+    further ones with their representative only. No query sets it.
+    """
     copies = members.where("doc <> rep")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("doc"))
-    first = copies.withColumn("n", place).where(F.col("n") < each).select("doc", "rep")
-    linked = links.select(F.explode(F.array("a", "b")).alias("rep")).union(copies.select("rep")).distinct()
-    named = saved(first.union(linked.select(F.col("rep").alias("doc"), "rep")), "p2_named")
-    left, right = named.select(F.col("doc").alias("x"), F.col("rep").alias("a")), named.select(F.col("doc").alias("y"), F.col("rep").alias("b"))
-    across = links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    inside = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
-    star = copies.select(F.col("rep").alias("x"), F.col("doc").alias("y"))
-    return across.union(inside).union(star).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    linked = links.select(F.explode(F.array("a", "b")).alias("rep")).union(copies.select("rep")).distinct().select(F.col("rep").alias("doc"), "rep")
+    listed, star = copies, None
+    if each is not None:
+        placed = copies.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("doc")))
+        listed = placed.where(F.col("n") < each).select("doc", "rep")
+        star = placed.where(F.col("n") >= each).select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    named = saved(listed.union(linked), "p2_named")
+    sizes = saved(named.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "p2_parts")
+    parted = saved(named.join(sizes, "rep").select("rep", "doc", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")), "p2_parted")
+    counted = lambda side: sizes.select(F.col("rep").alias(side), F.col("parts").alias(f"n_{side}"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    across = links.select("a", "b").join(counted("a"), "a").join(counted("b"), "b").select("a", "b", "n_b", numbers("n_a").alias("i")).select("a", "i", "b", numbers("n_b").alias("j"))
+    inside = sizes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), "parts", numbers("parts").alias("i")).select("a", "i", "b", F.explode(F.sequence("i", F.col("parts") - 1)).alias("j"))
+    left = parted.select(F.col("rep").alias("a"), F.col("part").alias("i"), F.col("doc").alias("x"))
+    right = parted.select(F.col("rep").alias("b"), F.col("part").alias("j"), F.col("doc").alias("y"))
+    both = across.union(inside).join(left, ["a", "i"]).join(right, ["b", "j"])
+    pairs = both.where((F.col("a") != F.col("b")) | (F.col("i") != F.col("j")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs if star is None else pairs.union(star)
