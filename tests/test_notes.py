@@ -103,6 +103,24 @@ def test_resolution(spark):
     assert link == "[[Distributed Systems|ds]]"
 
 
+def test_terms_without_a_shared_word_meet_all_titles(spark):
+    names = ["Cobalt Frameework", "falcon hydroponcs", "Systems", "Tools guide", "!!"]
+    asked = ["Canyon Framework", "Basalt Hydroponics", "System", "Tool concepts", "qqq", "??", "zzqz"]
+    notes = spark.createDataFrame([(1, x) for x in names] + [(2, "Canyon Frame")], "scope int, title string")
+    terms = spark.createDataFrame([(1, x) for x in asked] + [(3, "System")], "scope int, term string")
+    got = {(r.scope, r.term): (r.title, r.score) for r in resolve.resolve_terms(terms, notes).collect()}
+    for term in asked:
+        stem = {"System": "Systems", "Tool concepts": "Tools guide"}.get(term)
+        best = max(difflib.SequenceMatcher(None, term.lower(), x.lower()).ratio() for x in names)
+        title = stem or next(x for x in sorted(names) if difflib.SequenceMatcher(None, term.lower(), x.lower()).ratio() == best)
+        score = 0.9 if stem else best
+        assert got[1, term] == (title if score >= 0.65 else None, pytest.approx(score, abs=1e-6)), term
+    assert got[1, "Canyon Framework"][0] == "Cobalt Frameework" and got[1, "Basalt Hydroponics"][0] == "falcon hydroponcs" and got[3, "System"] == (None, 0.0)
+    lonely, titles = terms.where("scope = 1"), notes.select("scope", "title")
+    best = lambda most: resolve._without_shared_word(lonely, titles, True, most).where("term = 'Canyon Framework'").agg(F.max(F.struct("score", "title"))).first()
+    assert best((200, 4000)) == best((2, 2))
+
+
 def test_duplicate_titles(spark):
     t = spark.createDataFrame([(1, x) for x in ["Local AI", "Local AI Architecture", "Cooking Recipes", "Local AI", None]], "scope int, title string")
     got = resolve.duplicate_titles(t).collect()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.python_udfs import sequence_ratio
+from ..functions.python_udfs import nearest_titles, sequence_ratio
 from ..functions.text import strip, term_stem
+from ..session import saved, shuffle_width
 
 THRESHOLD = 0.65
 BLOCK = (2, 50)
@@ -29,13 +30,33 @@ def match_score(term: Column, title: Column, is_alias: Column | None = None) ->
     return out.when((F.size(a) > 0) & (F.size(b) > 0) & within, F.round(0.70 + 0.20 * both / either, 6))
 
 
+def _without_shared_word(lonely: DataFrame, titles: DataFrame, fuzzy: bool, most: tuple[int, int] = (200, 4000)) -> DataFrame:
+    """``(scope, term, title, score)``: the best of all titles of the scope for terms that share a word with none of them.
+
+    Terms and titles of a scope are cut by hash into parts of about ``most`` and every part meets every part, so a task
+    holds a bounded number of both however large the scope. Without ``fuzzy`` only the stem can match.
+    """
+    lonely, titles = lonely.withColumn("stem", term_stem(F.col("term"))), titles.withColumn("stem", term_stem(F.col("title")))
+    if not fuzzy:
+        return lonely.where("stem <> ''").join(titles, ["scope", "stem"]).select("scope", "term", "title", F.lit(0.90).alias("score"))
+    count = lambda df, n, name: df.groupBy("scope").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    parts = count(lonely, most[0], "m").join(count(titles, most[1], "n"), "scope")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    width = shuffle_width(lonely.sparkSession)  # a fixed number: little data, much work
+    left = lonely.join(parts, "scope").select("scope", "term", "stem", own("term", "m").alias("i"), all_("n").alias("j")).repartition(width, "scope", "i", "j")
+    right = titles.join(parts, "scope").select("scope", "title", "stem", all_("m").alias("i"), own("title", "n").alias("j")).repartition(width, "scope", "i", "j")
+    schema = f"scope {lonely.schema['scope'].dataType.simpleString()}, term string, title string, score double"
+    return left.groupBy("scope", "i", "j").cogroup(right.groupBy("scope", "i", "j")).applyInPandas(nearest_titles, schema)
+
+
 def resolve_terms(terms: DataFrame, notes: DataFrame, aliases: DataFrame | None = None, threshold: float = THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """``(scope, term, title, score)``: the note each term of a scope means; title null below ``threshold``.
 
     ``terms (scope, term)``, ``notes (scope, title)``, ``aliases (scope, alias, title)`` with lower-case aliases.
     Candidates share a word with the term (an equality join on words); with ``fuzzy`` those without a sure match are
-    compared by sequence ratio. A term that shares no word with any note stays unresolved. Ties: the first title.
-    Terms are compared once however often they occur.
+    compared by sequence ratio. A term that shares no word with any note of its scope is compared with all of them.
+    Ties: the first title. Terms are compared once however often they occur.
     """
     asked = terms.select("scope", F.regexp_replace(strip(F.col("term")), r"\[\[|\]\]", "").alias("term")).where("term <> ''").distinct()
     titles = notes.select("scope", "title").where("title is not null").distinct()
@@ -46,10 +67,11 @@ def resolve_terms(terms: DataFrame, notes: DataFrame, aliases: DataFrame | None
     open_ = asked.join(sure.select("scope", "term").distinct(), ["scope", "term"], "left_anti")
     left = open_.select("scope", "term", F.explode(words(F.col("term"))).alias("w"))
     right = titles.select("scope", "title", F.explode(words(F.col("title"))).alias("w"))
-    pairs = left.join(right, ["scope", "w"]).select("scope", "term", "title").distinct()
+    pairs = saved(left.join(right, ["scope", "w"]).select("scope", "term", "title").distinct(), "shared_words")
+    lonely = open_.join(pairs.select("scope", "term").distinct(), ["scope", "term"], "left_anti")
     score = match_score(F.col("term"), F.col("title"))
     pairs = pairs.withColumn("score", F.coalesce(score, sequence_ratio("term", "title")) if fuzzy else F.coalesce(score, F.lit(0.0)))
-    every = sure.unionByName(pairs)
+    every = sure.unionByName(pairs).unionByName(_without_shared_word(lonely, titles, fuzzy))
     best = every.withColumn("n", F.row_number().over(Window.partitionBy("scope", "term").orderBy(F.desc("score"), "title"))).where("n = 1")
     best = asked.join(best.drop("n"), ["scope", "term"], "left")
     score = F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0)))
