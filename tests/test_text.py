@@ -89,6 +89,18 @@ def test_task_syntax_and_entry_line(spark):
     assert run(spark, line, ["call Bob"])[0] == "- [ ] call Bob ➕ 2026-08-15 📅 2026-08-20 [k:: v] ^b1"
 
 
+def test_entries_without_a_time_stay_in_their_daily_note(spark, tmp_path):
+    from vellumflow.plans import notes
+
+    kinds = "entry_no long, vault_id long, entry_date string, timestamp string, category string, content string, due_date string, dataview_fields map<string,string>, block_id string, callout_type string"
+    rows = [(1, 1, "2026-08-15", None, "log", "call Bob", None, {"k": "v"}, "b1", None), (2, 1, "2026-08-15", "2026-08-15 02:08", None, "met Ann", None, None, None, None), (3, 1, "2026-08-15", None, None, "mind it", None, None, None, "note")]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/interstitial_entries.parquet")
+    lines = {r.entry_no: r.line for r in notes.entry_lines(spark, str(tmp_path)).collect()}
+    assert lines == {1: "- call Bob [k:: v] ^b1", 2: "- **[02:08]** met Ann", 3: "> [!NOTE]\n> - mind it"}
+    day = notes.daily_notes(spark, str(tmp_path)).collect()
+    assert [r.n_entries for r in day] == [3] and all(x in day[0].body for x in lines.values())
+
+
 def test_routes(spark):
     none = F.lit(None).cast("string")
     assert run(spark, lambda c: t.route(c, none), ["/ask what", "/tasks", "show my pending tasks", "note", "", "/reindex"]) == ["query", "tasks", "tasks", "capture", "none", "reindex"]

@@ -231,7 +231,7 @@ def section_header(category: Column) -> Column:
 
 
 def entry_line(content: Column, stamp: Column, category: Column, due: Column, fields: Column, block: Column, callout: Column, day: Column) -> Column:
-    """A daily-note line of an entry: callout or task as it is, task with dates, else a log line; then missing fields, block id and callout frame."""
+    """A daily-note line of an entry: callout or task as it is, task with dates, else a log line (without the time mark if the time is null); then missing fields, block id and callout frame."""
     text = normalise_markdown(strip(content))
     shown = F.when(F.contains(stamp, F.lit(" ")), F.regexp_extract(stamp, r"([^ ]*)$", 1)).otherwise(stamp)
     bare = F.regexp_replace(text, r"(?U)^\s+", "")
@@ -239,7 +239,8 @@ def entry_line(content: Column, stamp: Column, category: Column, due: Column, fi
     written = F.startswith(bare, F.lit("- [ ]")) | F.startswith(bare, F.lit("- [x]"))
     is_task = F.lower(strip(category)).isin("task", "tasks", "priority", "priorities", "todo")
     task = F.concat(F.lit("- [ ] "), without_checkbox(text), F.lit(" ➕ "), day, F.lit(" 📅 "), F.coalesce(due, day))
-    line = F.when(is_callout | written, text).when(is_task, task).otherwise(F.concat(F.lit("- **["), shown, F.lit("]** "), text))
+    time = F.coalesce(F.concat(F.lit("**["), shown, F.lit("]** ")), F.lit(""))
+    line = F.when(is_callout | written, text).when(is_task, task).otherwise(F.concat(F.lit("- "), time, text))
     extra = F.transform(F.map_entries(fields), lambda e: F.concat(F.lit("["), e["key"], F.lit(":: "), e["value"], F.lit("]")))
     missing = F.array_join(F.filter(F.coalesce(extra, F.array().cast("array<string>")), lambda x: ~F.contains(line, x)), " ")
     line = F.when(missing != "", F.concat(line, F.lit(" "), missing)).otherwise(line)
