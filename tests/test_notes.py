@@ -64,6 +64,15 @@ def test_dense(spark):
     assert all(len(r.vector) == 16 for r in vectors) and sum(x * x for x in vectors[1].vector) == pytest.approx(1.0)
 
 
+def test_threshold_search_has_no_other_bound(spark, tmp_path):
+    from vellumflow.plans import notes
+
+    rows = [(i, [1.0, i / 10000], "a") for i in range(1, 1203)] + [(2000, [-1.0, 0.1], "b")]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.qid: r.n for r in notes.dense_threshold(spark, str(tmp_path)).groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert got == {q: 1201 for q in range(20, 1203, 20)}
+
+
 def test_evaluation(spark):
     results = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 7)], "qid int, id int, rank int")
     expected = spark.createDataFrame([(1, 11), (2, 12), (3, 1)], "qid int, id int")

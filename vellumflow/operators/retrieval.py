@@ -70,12 +70,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 30, same: list[str] | None = None, threshold: float | None = None, skip_self: bool = True) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None = 30, same: list[str] | None = None, threshold: float | None = None, skip_self: bool = True) -> DataFrame:
     """Cosine top ``k`` ``(qid, id, score, rank)`` of ``queries (qid, vector)`` among ``vectors (id, vector, ...)``.
 
     Exact: a stated query set against all rows. Norms are taken once per side; the queries are broadcast if Spark finds
     them small. ``same``: columns that must be equal on both sides (payload filter, an equality join). With ``skip_self`` a vector is not
-    its own neighbour. Null or zero vectors and other lengths score null and don't rank.
+    its own neighbour. Null or zero vectors and other lengths score null and don't rank. ``k`` None: no bound, for a
+    search by ``threshold`` that returns every vector at or above it.
     """
     norm = lambda c: F.sqrt(dot(c, c))
     q = queries.select("qid", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), *[F.col(c).alias(f"q_{c}") for c in same or []])
@@ -89,7 +90,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 30, same: list[s
     scored = scored.select("qid", "id", F.round(dot(F.col("vector"), F.col("qv")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0)), 9).alias("score")).where("score is not null")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
-    return scored.withColumn("rank", ranked(scored)).where(F.col("rank") <= k)
+    out = scored.withColumn("rank", ranked(scored))
+    return out if k is None else out.where(F.col("rank") <= k)
 
 
 def hashed_vectors(docs: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:

@@ -211,7 +211,7 @@ def dense_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dense_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.dense_topk(_vectors(spark, sf), _asked_vectors(spark, sf), 1000, threshold=0.3)
+    return retrieval.dense_topk(_vectors(spark, sf), _asked_vectors(spark, sf), None, threshold=0.3)
 
 
 def _hybrid(spark: SparkSession, sf: str, k: int = 30) -> tuple[DataFrame, DataFrame]:
