@@ -179,7 +179,10 @@ def test_source_names(spark):
     assert got == ["daily_note", "web_clip", "qa_answer", None, None]
 
 
-TERMS = [(1, "Fjord Taxonomy", ["FJRT"]), (2, "Piñata Planning", []), (3, "Walnut Composting Programme", None), (4, "Ember Framework", []), (5, "Timber Framework", []), (6, "Kelp Archiving", ["KLPA"])]
+TERMS = [
+    (1, "Fjord Taxonomy", ["FJRT"]), (2, "Piñata Planning", []), (3, "Walnut Composting Programme", None), (4, "Ember Framework", []), (5, "Timber Framework", []), (6, "Kelp Archiving", ["KLPA"]),
+    (7, "Walnut Composting Programme Archive", []), (8, "AI Ops", []), (9, "R", []),
+]
 
 
 def edits(a, b):
@@ -208,8 +211,8 @@ def brute_ids(words_of, values):
         for f, i in forms:
             ref = "".join(f)
             d = edits(key, ref)
-            slips = len(f) == len(w) and all(edits(a, b) <= 1 or edits(a, b) == 2 and (len(b) >= 7 or sorted(a) == sorted(b)) for a, b in zip(w, f))
-            near = d == 0 or d <= min(4, len(ref) * 2 // 5) and (slips if len(f) == len(w) else d <= 2)
+            slip = lambda a, b: a == b or edits(a, b) == 1 and len(b) >= 2 or edits(a, b) == 2 and (len(b) >= 7 or len(b) >= 3 and sorted(a) == sorted(b))
+            near = d == 0 or d <= len(ref) * 2 // 5 and (all(map(slip, w, f)) if len(f) == len(w) else d <= 2)
             if near:
                 best[i] = min(d, best.get(i, 99))
         low = [i for i, d in best.items() if d == min(best.values())]
@@ -218,13 +221,16 @@ def brute_ids(words_of, values):
     return out
 
 
+MANY_SLIPS = ["Wlanut Cmoposting Porgramme Archive", "Walnt Compostng Program Archve", "Walunt Compsoting Progarmme Acrhive"]
+
+
 def test_canonical_against_all_comparisons(spark):
     rng = random.Random(9)
-    values = ["[[fjord-taxonomy#x]]", "Notes on Fjord Taxonomy", "fjrt notes", "Taxonomy, Fjord", "PINATA PLANNING.md", "Glacier", "Fjord Taxonomy Basics", "Тimber Framewоrk", "Dir/walnut_composting_programme", "Tmber Framework", "Fjord Taxonomy", "", " ", "the", None, "x" * 5000, "FjordTaxonmy", "kepl archiivng"]
+    values = ["[[fjord-taxonomy#x]]", "Notes on Fjord Taxonomy", "fjrt notes", "Taxonomy, Fjord", "PINATA PLANNING.md", "Glacier", "Fjord Taxonomy Basics", "Тimber Framewоrk", "Dir/walnut_composting_programme", "Tmber Framework", "Fjord Taxonomy", "", " ", "the", None, "x" * 5000, "FjordTaxonmy", "kepl archiivng", *MANY_SLIPS, "IA Ops", "A Ops", "AI Opps", "AIOps", "r", "rx", "walnutcomposting programme archive"]
     for _, name, _ in TERMS * 25:
         s = list(name)
         for _ in range(rng.randrange(0, 4)):
-            at = rng.randrange(len(s))
+            at = rng.randrange(len(s) + 1)
             s[at : at + rng.randrange(0, 2)] = rng.choice(["", "e", "x"])
         values.append("".join(s))
     df = spark.createDataFrame([(v, 1) for v in values + values[:3]], "value string, id int")
@@ -234,6 +240,7 @@ def test_canonical_against_all_comparisons(spark):
     got = canonical.canonical_ids(df, terms)
     assert {r.value: r.id for r in got.collect()} == brute_ids(words, {v for v in values if v is not None})
     assert {"[[fjord-taxonomy#x]]", "fjrt notes", "Taxonomy, Fjord", "PINATA PLANNING.md", "Тimber Framewоrk"} <= {r.value for r in got.collect()}
+    assert {r.value: r.id for r in got.where(F.col("value").isin(MANY_SLIPS)).collect()} == dict.fromkeys(MANY_SLIPS, 7)
     missing = {r.value: r.n_rows for r in canonical.unmatched(df, got).collect()}
     assert missing["Glacier"] == 1 and "Fjord Taxonomy Basics" in missing and not set(missing) & {r.value for r in got.collect()}
     assert canonical.canonical_ids(df.limit(0), terms).count() == 0 and canonical.canonical_ids(df, terms.limit(0)).count() == 0

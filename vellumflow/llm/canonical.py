@@ -1,16 +1,17 @@
 """Mapping free-entered values to a reference list, by a partition-based pigeonhole join in SQL functions only.
 
-A value within k edits of a reference string contains one of the string's k + 1 segments unchanged, at a position
+A string within k edits of a reference string contains one of the string's k + 1 segments unchanged, at a position
 that the edits before and after it allow. Reference strings are cut into segments; values contribute the substrings at
 those positions; an equality join on (length, segment number, text) yields the candidates and the built-in
-``levenshtein`` verifies them. Values without a match follow through an anti-join.
+``levenshtein`` verifies them. It runs once over the distinct words, where k is that of one word, so any number of words
+may have slips, and once over whole values for words run together. Values without a match follow through an anti-join.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved
@@ -22,7 +23,6 @@ FILLERS = [
 ]
 #: Letters that look like Latin ones, with those.
 LOOKALIKES = [("асеорхуіјѕԁһк", "aceopxyijsdhk"), ("αοενρτυκι", "aoevptuki"), ("øłđħıŧ0", "oldhito")]
-MOST_EDITS = 4
 
 
 def _letters() -> tuple[str, str]:
@@ -63,46 +63,67 @@ def reference_forms(reference: DataFrame) -> DataFrame:
     return forms.unionByName(short.select(F.array_join("words", "").alias("ref"), "words", "id", F.lit(True).alias("short"))).distinct()
 
 
-def _edits(length: Column) -> Column:
-    return F.least(F.lit(MOST_EDITS), F.floor(length * 2 / 5).cast("int"))
+def _pigeonhole(values: DataFrame, references: DataFrame, k: Column) -> DataFrame:
+    """Pairs ``(v, r)`` of distinct strings of ``values (v)`` and ``references (r)`` within ``k`` edits, a function of the column ``len``.
 
+    A string of length ``len`` is cut into k + 1 segments; a string within k edits of it has one of them unchanged, moved
+    by no more than the edits before and after it.
+    """
+    begin, end = F.expr("i * len div (k + 1)"), F.expr("(i + 1) * len div (k + 1)")
+    cut = references.withColumn("len", F.length("r")).withColumn("k", k).where("k >= 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    segments = saved(cut.select("r", "k", "len", "i", F.substring("r", begin.cast("int") + 1, (end - begin).cast("int")).alias("segment")), "p4_segments")
+    probe = values.withColumn("n", F.length("v")).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - 2), F.col("n") + 2)))
+    probe = probe.withColumn("k", k).where((F.col("k") >= 0) & (F.abs(F.col("n") - F.col("len")) <= F.col("k"))).join(segments.select("len").distinct(), "len", "left_semi")
+    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("b", begin.cast("int")).withColumn("size", end.cast("int") - F.col("b"))
+    # an edit before the segment shifts it by one, and so does one behind it as seen from the end
+    low = F.greatest(F.lit(0), F.col("b") - F.col("i"), F.expr("b + n - len - (k - i)"))
+    high = F.least(F.expr("n - size"), F.expr("b + i"), F.expr("b + n - len + (k - i)"))
+    probe = probe.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
+    probe = probe.select("v", "len", "i", F.expr("substring(v, at + 1, size)").alias("segment"))
+    return probe.join(segments, ["len", "i", "segment"]).select("v", "r", "k").distinct().where("levenshtein(v, r, k) >= 0").select("v", "r")
+
+
+#: SQL of the rule for one word ``{a}`` against the word ``{b}`` of an entry: a word of one letter is equal; else one edit; from three letters on two neighbours swapped; from seven letters on two edits.
+SLIP = "case levenshtein({a}, {b}, 2) when 0 then true when 1 then length({b}) >= 2 when 2 then length({b}) >= 7 or (length({b}) >= 3 and array_sort(split({a}, '')) = array_sort(split({b}, ''))) else false end"
 
-def canonical_ids(values: DataFrame, reference: DataFrame) -> DataFrame:
+
+def canonical_ids(values: DataFrame, reference: DataFrame, salts: int = 8) -> DataFrame:
     """``(value, id, distance)`` of the distinct ``values (value)`` that mean an entry of ``reference (id, name, short_forms)``.
 
-    A value means an entry if its plain words, in some rotation of the entry's, are the entry's up to one slip per
-    word (an edit or two neighbours swapped; two edits in words of seven letters or more), or if it is a short form.
-    Words run together count as the entry within two edits in all. Of several entries the nearest counts; a tie
-    between two entries means none. Null and blank values mean none. Neither side is collected or capped.
+    A value means an entry if its plain words, in some rotation of the entry's, are the entry's up to one slip per word
+    (:data:`SLIP`), in all no more than two fifths of the entry's letters, or if it is a short form. Words run together or
+    apart count as the entry within two edits in all. Of several entries the nearest counts; a tie between two entries
+    means none. Null and blank values mean none. Neither side is collected or capped; the number of slips follows from
+    the number of words. Every entry is found by its rarest word: distinct words of the values are matched with those
+    first, and values then by equality on the word, its place and the number of words, spread over ``salts``.
     """
     keyed = values.select("value").where("value is not null").distinct().withColumn("words", plain_words(F.col("value"))).withColumn("key", F.array_join("words", ""))
     keyed = saved(keyed.where("key <> ''"), "p4_keys")
     keys = keyed.select("key", "words").distinct()
     forms = saved(reference_forms(reference), "p4_forms")
     exact = keys.select("key", "words").join(forms.select(F.col("ref").alias("key"), "id"), "key").select("key", "words", "id", F.lit(0).alias("distance"))
-
-    k = _edits(F.col("len"))
-    cut = forms.where("not short").select("ref", F.col("words").alias("ref_words"), "id", F.length("ref").alias("len")).where(k > 0)
-    segments = cut.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    begin, end = F.expr("i * len div (k + 1)"), F.expr("(i + 1) * len div (k + 1)")
-    segments = saved(segments.select("ref", "ref_words", "id", "k", "len", F.col("i").cast("int").alias("i"), F.substring("ref", begin.cast("int") + 1, (end - begin).cast("int")).alias("segment")), "p4_segments")
-    lengths = segments.select("len", "k").distinct()
-
-    probe = keys.withColumn("n", F.length("key")).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - MOST_EDITS), F.col("n") + MOST_EDITS)))
-    probe = probe.withColumn("k", k).where((F.col("k") > 0) & (F.abs(F.col("n") - F.col("len")) <= F.col("k"))).join(lengths, ["len", "k"], "left_semi")
-    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    probe = probe.withColumn("b", begin.cast("int")).withColumn("size", end.cast("int") - F.col("b"))
-    # an edit before the segment shifts it by one, and so does one behind it as seen from the end
-    low = F.greatest(F.lit(0), F.col("b") - F.col("i"), F.expr("b + n - len - (k - i)"))
-    high = F.least(F.expr("n - size"), F.expr("b + i"), F.expr("b + n - len + (k - i)"))
-    probe = probe.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
-    probe = probe.select("key", "words", "len", "i", F.expr("substring(key, at + 1, size)").alias("segment"))
-    pairs = probe.join(segments, ["len", "i", "segment"]).select("key", "words", "ref", "ref_words", "id", "k").distinct()
-    near = pairs.withColumn("distance", F.expr("levenshtein(key, ref, k)")).where("distance > 0")
-    swap = F.expr("""forall(zip_with(words, ref_words, (a, b) -> levenshtein(a, b, 2) between 0 and 1
-        or (levenshtein(a, b, 2) = 2 and (length(b) >= 7 or array_sort(split(a, '')) = array_sort(split(b, ''))))), ok -> ok)""")
-    near = near.where(F.when(F.expr("size(words) = size(ref_words)"), swap).otherwise(F.col("distance") <= 2))
-    found = exact.unionByName(near.select("key", "words", "id", "distance"))
+    full = forms.where("not short").select("ref", F.col("words").alias("ref_words"), "id")
+
+    # word by word
+    placed = full.select("ref", "ref_words", "id", F.posexplode("ref_words").alias("pos", "r"))
+    common = placed.groupBy("r").agg(F.count_distinct("id").alias("entries"))
+    anchors = placed.join(common, "r").groupBy("ref", "ref_words", "id").agg(F.min(F.struct("entries", (-F.length("r")).alias("short"), "pos", "r")).alias("a"))
+    salt = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    anchors = saved(anchors.select("ref", "ref_words", "id", F.size("ref_words").alias("n"), "a.pos", "a.r"), "p4_anchors")
+    spelled = keys.select(F.explode("words").alias("v")).distinct()
+    near = _pigeonhole(spelled, anchors.select("r").distinct(), F.least(F.lit(2), F.col("len") - 1)).where(F.expr(SLIP.format(a="v", b="r")))
+    near = saved(near, "p4_words")
+    at = keys.select("key", "words", F.size("words").alias("n"), F.posexplode("words").alias("pos", "v")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    pairs = at.join(near.withColumn("salt", salt(salts)), ["v", "salt"]).drop("v").join(anchors.withColumn("salt", salt(salts)), ["n", "pos", "r", "salt"])
+    slips = pairs.where(F.expr(f"forall(zip_with(words, ref_words, (a, b) -> {SLIP.format(a='a', b='b')}), ok -> ok)"))
+    slips = slips.withColumn("distance", F.levenshtein("key", "ref")).where("distance > 0 and distance <= length(ref) * 2 div 5")
+
+    # run together or apart
+    joined = _pigeonhole(keys.select(F.col("key").alias("v")).distinct(), full.select(F.col("ref").alias("r")).distinct(), F.least(F.lit(2), F.floor(F.col("len") * 2 / 5).cast("int")))
+    apart = joined.join(full, F.col("r") == F.col("ref")).select(F.col("v").alias("key"), "ref", "ref_words", "id").join(keys, "key").where("size(words) <> size(ref_words)")
+    apart = apart.withColumn("distance", F.levenshtein("key", "ref")).where("distance > 0")
+
+    found = exact.unionByName(slips.select("key", "words", "id", "distance")).unionByName(apart.select("key", "words", "id", "distance"))
     best = found.groupBy("key", "words").agg(F.min("distance").alias("distance"), F.collect_set(F.struct("distance", "id")).alias("hits"))
     best = best.select("key", "words", "distance", F.array_distinct(F.expr("transform(filter(hits, h -> h.distance = distance), h -> h.id)")).alias("ids"))
     best = best.where("size(ids) = 1").select("key", "words", F.col("ids")[0].alias("id"), "distance")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import saved, table
-from .canonical import canonical_ids, unmatched
+from .canonical import FILLERS, _letters, canonical_ids, unmatched
 from .neardup import expanded_pairs, near_duplicates
 from .mixing import mix, mix_shares, source_name
 from .splitting import split_texts
@@ -116,7 +116,42 @@ pairs as (
   select x.chunk_no as a, y.chunk_no as b, count(*) as o from shingles x join shingles y on x.g = y.g and x.chunk_no < y.chunk_no group by all),
 alike as (select a, b from pairs join sizes s on s.chunk_no = a join sizes t on t.chunk_no = b where o >= 0.6 * (s.n + t.n - o))
 """
+_LETTERS = _letters()
+_SLIP = "case levenshtein(v.words[i], f.words[i]) when 0 then true when 1 then len(f.words[i]) >= 2 when 2 then len(f.words[i]) >= 7 or (len(f.words[i]) >= 3 and list_sort(string_split(v.words[i], '')) = list_sort(string_split(f.words[i], ''))) else false end"
+
+
+def _plain_words(value: str) -> str:
+    """SQL of the words of a value, as :func:`.canonical.plain_words` makes them."""
+    bare = rf"regexp_replace(regexp_replace({value}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '^\[\[(.*)\]\]$', '\1', 's')"
+    bare = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({bare}, '[|#].*$', '', 's'), '^.*/', '', 's'), '[\s\p{{Z}}]+$', ''), '\.md$', '', 'i')"
+    bare = rf"regexp_replace(translate(lower({bare}), '{_LETTERS[0]}', '{_LETTERS[1]}'), '[\p{{M}}\p{{Cf}}]', '', 'g')"
+    return rf"regexp_extract_all(replace(replace({bare}, 'ß', 'ss'), 'æ', 'ae'), '[\p{{L}}\p{{N}}]+')"
+
+
+_CONTENT = "case when len(list_filter(w, lambda x: x not in (" + ", ".join(f"'{x}'" for x in FILLERS) + "))) > 0 then list_filter(w, lambda x: x not in (" + ", ".join(f"'{x}'" for x in FILLERS) + ")) else w end as words"
+_CANONICAL = f"""
+with free as (
+  select 'markdown_chunks' as source_table, chunk_no as record_key, 'wikilinks' as field, unnest(list_distinct(wikilinks)) as value from markdown_chunks
+  union all select 'note_nodes', node_no, 'aliases', unnest(list_distinct(aliases)) from note_nodes
+  union all select 'note_nodes', node_no, 'title', title from note_nodes where title is not null
+), keyed as (select value, words, array_to_string(words, '') as key from (select value, {_CONTENT} from (select value, {_plain_words("value")} as w from (select distinct value from free where value is not null)))),
+keys as (select distinct key, words from keyed where key <> ''),
+full_ as (select term_id as id, words as w from (select term_id, {_CONTENT} from (select term_id, {_plain_words("term")} as w from topic_terms))),
+forms as (
+  select distinct id, list_concat(w[n + 1:], w[:n]) as words, false as short from (select id, w, unnest(range(0, len(w))) as n from full_)
+  union select term_id, words, true from (select term_id, {_CONTENT} from (select term_id, {_plain_words("s")} as w from (select term_id, unnest(short_forms) as s from topic_terms)))),
+refs as (select *, array_to_string(words, '') as ref from forms),
+hits as (
+  select v.key, v.words, f.id, levenshtein(v.key, f.ref) as distance from keys v join refs f on v.key = f.ref
+    or (not f.short and abs(len(v.key) - len(f.ref)) <= 2 * len(f.words) and levenshtein(v.key, f.ref) <= len(f.ref) * 2 // 5
+      and case when len(v.words) = len(f.words) then len(list_filter(range(1, len(v.words) + 1), lambda i: not {_SLIP})) = 0 else levenshtein(v.key, f.ref) <= 2 end)),
+nearest as (select key, words, id from (select *, min(distance) over (partition by key, words) as least from hits) where distance = least),
+ids as (select key, words, min(id) as id from nearest group by all having count(distinct id) = 1),
+matched as (select value, id from keyed join ids using (key, words))
+"""
 SQL: dict[str, str] = {
+    "p4_found": _CANONICAL + "select source_table, record_key, field, value as raw_value, id as term_id from free join matched using (value) where value not in (select term from topic_terms)",
+    "p4_unmatched": _CANONICAL + "select value, count(*) as n_rows from free where value is not null and value not in (select value from matched) group by value",
     "p2_found": _SHINGLES + "select a as chunk_a, b as chunk_b from alike",
     "p2_classes": _SHINGLES
     + """,
