@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, table
+from ..session import table, working_path
 from ..streaming.changes import debounce_sessions
 
 GAP = "30 minutes"
@@ -31,7 +29,7 @@ def debounce_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same events as a stream that runs until all are read; bursts closed by the watermark (all but the last ones)."""
     schema = table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = f"{shared_dir(spark)}/vellumflow/stream-{uuid.uuid4().hex}"
+    out = working_path(spark, "stream")
     sessions = debounce_sessions(_changes(source), GAP, late="1 minute")
     run = sessions.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
