@@ -55,15 +55,33 @@ def test_near_duplicates_of_nothing(spark):
     assert links.count() == 0 and members.count() == 0
 
 
-def test_exact_pass_finds_the_same(spark):
+def test_prefix_pass_finds_the_same(spark):
     texts = corpus(3, 60)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
-    sets = neardup.shingle_sets(docs, 3, 20)
-    ids = np.array([r.doc for r in sets.select("doc").collect()])
-    got = {(r.a, r.b) for r in neardup.scanned_pairs(sets, ids, 0.6).collect()}
+    sets = neardup.shingle_blocks(docs, 3, 20).select("*", F.lit(None).cast("array<int>").alias("dropped"), F.transform(F.sequence(F.lit(0), F.size("docs") - 1), lambda i: i).alias("hard"))
+    found = neardup.prefix_pairs(sets, 0.6, np.zeros(neardup.CELLS, np.int64))
+    got = {(r.a, r.b) for r in neardup.verified(found, docs, 0.6, 3).collect()}
     assert got == brute_pairs(texts, 0.6, 3, 20)
 
 
+@pytest.mark.parametrize("per_range", [40, 100_000])
+def test_ranges_do_not_change_the_result(spark, per_range):
+    texts = corpus(5, 150)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    links, members = neardup.near_duplicates(docs, 0.6, 3, 20, per_range)
+    assert {(r.a, r.b) for r in neardup.expanded_pairs(links, members).collect()} == brute_pairs(texts, 0.6, 3, 20)
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 900, n).astype(np.uint64)) for n in (20, 60, 70, 120, 130, 300, 500)]
+    size = np.array(list(map(len, sets)))
+    found = neardup.Sketches(neardup.sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size), size)
+    for a, b in combinations(range(len(sets)), 2):
+        assert found.apart(np.array([a]), np.array([b]))[0] <= len(np.setxor1d(sets[a], sets[b]))
+    assert found.apart(np.array([1]), np.array([2]))[0] > 0
+
+
 def test_large_class_of_copies_stays_linear(spark):
     same = "the same text of more than five words"
     docs = spark.range(300).select(F.col("id").alias("doc"), F.lit(same).alias("text"))

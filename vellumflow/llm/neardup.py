@@ -10,7 +10,11 @@ of fixed size: cheap (rare) segments are probed, common phrases are not. Candida
 (the sketches of two sets differ in no more bits than the sets differ in elements, so nothing is lost) and verified on
 the texts themselves.
 
-Signatures travel in packed blocks: one row per mapper block and signature range, sorted and delta-coded.
+What travels. Sets lie in blocks of some thousand texts, in a table bucketed by block, and stay there. A first pass sends
+the bare signatures of each block, sorted and delta-coded, to their ranges; what comes back is one bit a signature: does
+another set's signature meet it there? A second pass makes the signatures of each block again and sends the few that are
+met, with their texts' sketches, to be paired. A signature that nobody meets never carries a sketch, so the bytes of a
+text depend on what it meets and hardly on the number of ranges.
 """
 
 from __future__ import annotations
@@ -22,17 +26,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import bucketed, saved, shuffle_width
 
 U = np.uint64
 CELLS = 1 << 18
 BASE_SIZE = 8
 SEGMENTS_PER_SIZE = 0.85
 BLOCK = 8192
+RARE = 1 << 22
 _WORD = re.compile(r"[^\W_]+")
+#: What a signature is: one that others may meet, one that looks for others, one with a shingle deleted.
+INDEXED, PROBED, DELETION = 1, 2, 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -79,25 +87,57 @@ class Shingler:
         return np.unique(mixed(x) >> U(24))
 
 
-def shingle_sets(docs: DataFrame, words: int, least_words: int) -> DataFrame:
-    """``(doc, size, digest, shingles)`` of ``docs (doc, text)``; shingles are 5 bytes each, sorted. Texts of too few words give no row."""
+def shingle_blocks(docs: DataFrame, words: int, least_words: int) -> DataFrame:
+    """Sets of ``docs (doc, text)`` in blocks ``(block, docs, sizes, digests, shingles)``: up to 8192 texts or some millions
+    of shingles a row; shingles are 5 bytes each, sorted within a text. Texts of too few words give no set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, least_words)
+        number, held = TaskContext.get().partitionId() << 32, 0
+        ids, sizes, digests, packed = [], [], [], []
+
+        def block() -> pa.RecordBatch:
+            columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([digests], pa.list_(pa.string())), pa.array([b"".join(packed)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "docs", "sizes", "digests", "shingles"])
+
         for batch in batches:
-            ids, sizes, digests, packed = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingler.of(text)
-                if s is not None:
-                    ids.append(key), sizes.append(len(s)), packed.append(s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-                    a = mixed(s + U(1))
-                    digests.append(f"{int(a.sum(dtype=np.uint64)):016x}{int(mixed(s + U(2)).sum(dtype=np.uint64)):016x}")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.string()), pa.array(packed, pa.binary())], names=["doc", "size", "digest", "shingles"])
-
-    return docs.select(F.col("doc").cast("long"), "text").mapInArrow(run, "doc long, size int, digest string, shingles binary")
-
-
-def unpacked(column: pa.Array | list[bytes], sizes: np.ndarray) -> np.ndarray:
+                if s is None:
+                    continue
+                ids.append(key), sizes.append(len(s)), packed.append(s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                a = mixed(s + U(1))
+                digests.append(f"{int(a.sum(dtype=np.uint64)):016x}{int(mixed(s + U(2)).sum(dtype=np.uint64)):016x}")
+                held += len(s)
+                if len(ids) == BLOCK or held >= 2_000_000:
+                    yield block()
+                    number, held = number + 1, 0
+                    ids, sizes, digests, packed = [], [], [], []
+        if ids:
+            yield block()
+
+    return docs.select(F.col("doc").cast("long"), "text").mapInArrow(run, "block long, docs array<long>, sizes array<int>, digests array<string>, shingles binary")
+
+
+def in_block(blocks: DataFrame, rows: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``blocks`` with the ``column`` of ``rows (block, ...)`` gathered to an array; only ``rows`` are shuffled, as the blocks are bucketed."""
+    gathered = rows.repartition(buckets, "block").groupBy("block").agg(F.collect_list(column).alias(column))
+    return blocks.join(gathered.hint("shuffle_hash"), "block", "left")
+
+
+def sets_of(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, sizes and shingles of one block ``(docs, sizes, shingles, dropped)``, without its dropped places."""
+    docs, sizes = batch.column(0)[k].values.to_numpy(), batch.column(1)[k].values.to_numpy().astype(np.int64)
+    shingles = unpacked([batch.column(2)[k].as_py()])
+    if batch.column(3)[k].is_valid and len(batch.column(3)[k].values):
+        kept = np.ones(len(docs), dtype=bool)
+        kept[batch.column(3)[k].values.to_numpy()] = False
+        shingles = shingles[np.repeat(kept, sizes)]
+        docs, sizes = docs[kept], sizes[kept]
+    return docs, sizes, shingles
+
+
+def unpacked(column: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, 5)
     wide = np.zeros((len(raw), 8), dtype=np.uint8)
     wide[:, :5] = raw
@@ -109,20 +149,20 @@ def cell_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets have a shingle of each hash cell: a table of fixed size (1 MB), counted over all sets."""
+    """How many sets have a shingle of each hash cell: a table of fixed size (1 MB), counted over all sets of ``sets (docs, sizes, shingles, dropped)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(cell_of(unpacked(batch.column(1).to_pylist(), batch.column(0).to_numpy())), minlength=CELLS)
+            for k in range(batch.num_rows):
+                total += np.bincount(cell_of(sets_of(batch, k)[2]), minlength=CELLS)
         for at in range(0, CELLS, 1 << 14):
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total[at : at + (1 << 14)]], pa.list_(pa.int64()))], names=["part", "counts"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": part["part"][:1], "counts": [np.sum(np.stack(part["counts"].to_list()), axis=0)]})
 
-    parts = sets.select("size", "shingles").mapInArrow(run, "part int, counts array<long>").groupBy("part").applyInPandas(add, "part int, counts array<long>")
+    parts = sets.select("docs", "sizes", "shingles", "dropped").mapInArrow(run, "part int, counts array<long>").groupBy("part").applyInPandas(add, "part int, counts array<long>")
     table = np.zeros(CELLS, dtype=np.int64)
     for row in parts.collect():  # CELLS numbers, whatever the corpus
         table[row["part"] : row["part"] + (1 << 14)] = row["counts"]
@@ -150,15 +190,52 @@ class Scheme:
         return np.floor((r + s) * self.miss + 1e-9).astype(np.int64)
 
 
-def sketches(shingles: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """256-bit parity sketches: bit b of a set is the parity of its shingles that hash to b."""
-    bit = (mixed(shingles + U(5)) >> U(56)).astype(np.int64)
-    odd = (np.bincount(doc * 256 + bit, minlength=n * 256) & 1).astype(np.uint8).reshape(n, 256)
-    return np.packbits(odd, axis=1).view(np.uint64)
+def widths(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's sketch: a power of two, two to four a shingle, so that unlike sets differ in more bits than like ones may."""
+    return (1 << np.maximum(7, np.ceil(np.log2(2.0 * np.maximum(size, 1))).astype(np.int64))).astype(np.int64)
+
+
+def sketches(shingles: np.ndarray, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Parity sketches one behind the other, as bytes: bit b of a set is the parity of its shingles that hash to b.
+
+    A sketch of half the width is the exclusive or of the two halves.
+    """
+    wide = widths(size)
+    start = np.cumsum(wide) - wide
+    bit = start[doc] + ((mixed(shingles + U(5)) >> U(40)).astype(np.int64) & (wide - 1)[doc])
+    return np.packbits((np.bincount(bit, minlength=int(wide.sum())) & 1).astype(np.uint8))
+
+
+class Sketches:
+    """Sketches of some sets, comparable whatever their widths."""
+
+    def __init__(self, raw: np.ndarray, size: np.ndarray):
+        self.wide = widths(size)
+        start = (np.cumsum(self.wide) - self.wide) // 8
+        self.rows, self.at = {}, {}
+        for w in np.unique(self.wide).tolist():
+            own, double = np.flatnonzero(self.wide == w), np.flatnonzero(self.wide == 2 * w)
+            whole = raw[start[own][:, None] + np.arange(w // 8)]
+            halves = raw[start[double][:, None] + np.arange(w // 4)]
+            self.rows[w] = np.concatenate([whole, halves[:, : w // 8] ^ halves[:, w // 8 :]]).view(np.uint64)
+            self.at[w] = np.zeros(len(size), dtype=np.int32)
+            self.at[w][np.r_[own, double]] = np.arange(len(own) + len(double))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of pairs whose sizes are within the similarity: their widths are equal or one double the other (else 0, which rules nothing out)."""
+        wa, wb = self.wide[a], self.wide[b]
+        low = np.minimum(wa, wb)
+        out = np.zeros(len(a), dtype=np.int64)
+        for w, rows in self.rows.items():
+            k = np.flatnonzero((low == w) & (np.maximum(wa, wb) <= 2 * w))
+            if len(k):
+                at = self.at[w]
+                out[k] = np.bitwise_count(rows[at[a[k]]] ^ rows[at[b[k]]]).sum(axis=1)
+        return out
 
 
 def signatures(shingles: np.ndarray, doc: np.ndarray, size: np.ndarray, counts: np.ndarray, total: int, scheme: Scheme, step: int):
-    """Signatures of a block in the size band ``step`` below each set's own: ``(sig, doc, deletion?, probed?, short)``.
+    """Signatures of a block in the size band ``step`` below each set's own: ``(sig, doc, kind, short)``.
 
     ``short``: the documents whose occupied segments can't take the budget they need; an exact pass handles those.
     """
@@ -172,7 +249,7 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, size: np.ndarray, counts:
     d, x, seg, band = d[order], x[order], seg[order], band[order]
     if not len(d):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none.astype(bool), none.astype(bool), none
+        return np.zeros(0, np.uint64), none, none, none
     first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (seg[1:] != seg[:-1])])
     many = np.diff(np.r_[first, len(d)])
     group = np.repeat(np.arange(len(first)), many)
@@ -201,64 +278,13 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, size: np.ndarray, counts:
     # a budget of 1 came from the segment's first item unless only the second was cheap enough: then both are probed
     probe_exact, probe_deleted = budget >= 1, (budget >= 2)[group]
     if step:
-        return np.r_[exact[probe_exact], deleted[probe_deleted]], np.r_[gd[probe_exact], d[probe_deleted]], np.r_[np.zeros(probe_exact.sum(), bool), np.ones(probe_deleted.sum(), bool)], np.ones(int(probe_exact.sum() + probe_deleted.sum()), bool), short
-    return np.r_[exact, deleted], np.r_[gd, d], np.r_[np.zeros(len(exact), bool), np.ones(len(deleted), bool)], np.r_[probe_exact, probe_deleted], short
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents, sizes and shingles of up to 8192 sets at a time: a document's place in its block and three flags fit 16 bits."""
-    docs, sizes, packed, held = [], [], [], 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            docs.append(part.column(0).to_numpy()), sizes.append(part.column(1).to_numpy()), packed.extend(part.column(2).to_pylist())
-            held += int(sizes[-1].sum())
-            if held >= most or sum(map(len, docs)) > BLOCK - 1024:
-                yield np.concatenate(docs), np.concatenate(sizes).astype(np.int64), unpacked(packed, None)
-                docs, sizes, packed, held = [], [], [], 0
-    if docs:
-        yield np.concatenate(docs), np.concatenate(sizes).astype(np.int64), unpacked(packed, None)
-
-
-def signature_blocks(sets: DataFrame, counts: np.ndarray, total: int, t: float, ranges: int) -> DataFrame:
-    """Packed signatures ``(range, docs, sizes, sketch, deltas, entries)``; range -1 holds the documents of :func:`signatures`' ``short``.
-
-    ``deltas``: differences of the sorted 32-bit signatures (a range holds some millions, so chance agreements are few, and the sketches drop them); ``entries``: ``local document * 8 + deletion * 4 + role``,
-    role 0 indexed only, 1 indexed and probed, 2 probed in the band below.
-    """
-    scheme = Scheme(t)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, size, shingles in _blocks(batches):
-            doc = np.repeat(np.arange(len(ids)), size)
-            sketch = sketches(shingles, doc, len(ids))
-            sigs, entries, shorts = [], [], []
-            for step in (0, 1):
-                sig, d, deletion, probed, short = signatures(shingles, doc, size, counts, total, scheme, step)
-                role = np.full(len(sig), 2) if step else probed.astype(np.int64)
-                sigs.append(sig), entries.append((d * 8 + deletion * 4 + role).astype(np.uint32)), shorts.append(short)
-            sig, entry = np.concatenate(sigs), np.concatenate(entries)
-            at = ((sig >> U(40)) % U(ranges)).astype(np.int64)
-            low = sig & U((1 << 32) - 1)
-            order = np.argsort((at.astype(np.uint64) << U(32)) | low, kind="stable")
-            at, low, entry = at[order], low[order], entry[order]
-            ends = np.searchsorted(at, np.arange(ranges + 1))
-            rows = []
-            for k in range(ranges):
-                a, b = ends[k], ends[k + 1]
-                if a == b:
-                    continue
-                there, local = np.unique(entry[a:b] >> 3, return_inverse=True)
-                delta = np.diff(low[a:b], prepend=U(0))
-                code = (local << 3) | (entry[a:b] & 7)
-                rows.append((k, packed(np.diff(ids[there], prepend=0), np.int64), packed(size[there], np.int32), sketch[there].tobytes(), packed(delta, np.uint32), packed(code, np.uint16)))
-            short = np.unique(np.concatenate(shorts))
-            if len(short):
-                rows.append((-1, packed(np.diff(ids[short], prepend=0), np.int64), b"", b"", b"", b""))
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["range", "docs", "sizes", "sketch", "deltas", "entries"])
-
-    return sets.select("doc", "size", "shingles").mapInArrow(run, "range int, docs binary, sizes binary, sketch binary, deltas binary, entries binary")
+        sig, who, kind = np.r_[exact[probe_exact], deleted[probe_deleted]], np.r_[gd[probe_exact], d[probe_deleted]], np.r_[np.full(probe_exact.sum(), PROBED), np.full(probe_deleted.sum(), PROBED | DELETION)]
+        return sig, who, kind, short
+    # a probe goes up to one deletion only from segments of two shingles on, so only those of three on are met with one deleted
+    indexed = (many >= 3)[group]
+    some = np.flatnonzero(indexed | probe_deleted)
+    kind = np.r_[INDEXED | PROBED * probe_exact, DELETION | INDEXED * indexed[some] | PROBED * probe_deleted[some]]
+    return np.r_[exact, deleted[some]], np.r_[gd, d[some]], kind, short
 
 
 def packed(values: np.ndarray, kind: type) -> bytes:
@@ -273,23 +299,121 @@ def loose(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+class Sender:
+    """Signatures of a block, ordered by range and signature: the same in both passes."""
+
+    def __init__(self, counts: np.ndarray, total: int, shingles: int, t: float, per_range: int):
+        self.counts, self.total, self.scheme = counts, total, Scheme(t)
+        #: About two signatures a shingle; six bits more keep chance meetings below 2 %.
+        self.bits = int(np.ceil(np.log2(max(2, 2 * shingles)))) + 6
+        self.ranges = max(1, -(-2 * shingles // per_range))
+
+    def of(self, size: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(signatures, documents, kinds, where each range begins, short documents)``."""
+        doc = np.repeat(np.arange(len(size)), size)
+        parts = [signatures(shingles, doc, size, self.counts, self.total, self.scheme, step) for step in (0, 1)]
+        sig, who, kind = (np.concatenate(x) for x in list(zip(*parts))[:3])
+        sig = sig >> U(64 - self.bits)
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        edges = [-(-(k << self.bits) // self.ranges) for k in range(self.ranges)]
+        starts = np.r_[np.searchsorted(sig, np.array(edges, dtype=np.uint64)), len(sig)]
+        return sig, who[order], kind[order], starts, np.unique(np.concatenate([p[3] for p in parts]))
+
+
+def sent(sets: DataFrame, sender: Sender) -> DataFrame:
+    """First pass: ``(range, block, deltas, kinds)``, the sorted signatures of each block and range; range -1 holds the places of the
+    documents that need the exact pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, size, shingles = sets_of(batch, k)
+                sig, _, kind, starts, short = sender.of(size, shingles)
+                rows = [(r, packed(np.diff(sig[a:b], prepend=U(0)), np.uint64), packed(kind[a:b], np.uint8)) for r, (a, b) in enumerate(zip(starts, starts[1:])) if a < b]
+                if len(short):
+                    rows.append((-1, packed(short, np.int32), b""))
+                if rows:
+                    columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([batch.column(4)[k].as_py()] * len(rows), pa.int64()), *(pa.array([r[n] for r in rows], pa.binary()) for n in (1, 2))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["range", "block", "deltas", "kinds"])
+
+    return sets.select("docs", "sizes", "shingles", "dropped", "block").mapInArrow(run, "range int, block long, deltas binary, kinds binary")
+
+
+def met(signatures_: DataFrame) -> DataFrame:
+    """``(block, range, bits)``: one bit for each signature of a block and range, set if a signature of another set meets it."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        number = group["range"].iloc[0]
+        if number < 0:
+            return pd.DataFrame({"block": group["block"], "range": group["range"], "bits": group["deltas"]})
+        sigs = [np.cumsum(loose(x, np.uint64), dtype=np.uint64) for x in group["deltas"]]
+        keys = np.concatenate([(s << U(3)) | loose(x, np.uint8).astype(np.uint64) for s, x in zip(sigs, group["kinds"])])
+        keys.sort()
+        kind = (keys & U(7)).astype(np.uint8)
+        keys >>= U(3)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        many = np.diff(np.r_[first, len(keys)])
+        has = lambda wanted: np.logical_or.reduceat(wanted, first)
+        plain = (kind & DELETION) == 0
+        probed, indexed = (kind & PROBED) > 0, (kind & INDEXED) > 0
+        live = keys[first[(many > 1) & ((has(probed & plain) & has(indexed)) | (has(probed) & has(indexed & plain)))]]
+        bits = []
+        for s in sigs:
+            at = np.minimum(np.searchsorted(live, s), max(len(live) - 1, 0))
+            bits.append(zstandard.ZstdCompressor(level=3).compress(np.packbits(live[at] == s if len(live) else np.zeros(len(s), bool)).tobytes()))
+        return pd.DataFrame({"block": group["block"], "range": group["range"], "bits": bits})
+
+    return signatures_.groupBy("range").applyInPandas(run, "block long, range int, bits binary")
+
+
+def meeting_blocks(sets: DataFrame, sender: Sender, ranges: int) -> DataFrame:
+    """Second pass: ``(range, docs, sizes, sketch, deltas, entries)`` of the signatures that ``sets``' column ``marks``, the
+    gathered ``(range, bits)`` of :func:`met`, has set. ``entries``: ``local document * 8 + kind``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                docs, size, shingles = sets_of(batch, k)
+                marks = {m["range"]: m["bits"] for m in batch.column(4)[k].as_py() or []}
+                sig, who, kind, starts, _ = sender.of(size, shingles)
+                live = np.zeros(len(sig), dtype=bool)
+                for r, (a, b) in enumerate(zip(starts, starts[1:])):
+                    if a < b:
+                        live[a:b] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(marks[r]), np.uint8), count=b - a).astype(bool)
+                sig, who, kind = sig[live], who[live], kind[live]
+                sketch = sketches(shingles, np.repeat(np.arange(len(size)), size), size)
+                wide = widths(size) // 8
+                begin = np.cumsum(wide) - wide
+                starts = np.r_[np.searchsorted(sig, np.array([-(-(r << sender.bits) // ranges) for r in range(ranges)], dtype=np.uint64)), len(sig)]
+                rows = []
+                for r, (a, b) in enumerate(zip(starts, starts[1:])):
+                    if a < b:
+                        there, local = np.unique(who[a:b], return_inverse=True)
+                        cut = np.repeat(begin[there] - np.cumsum(wide[there]) + wide[there], wide[there]) + np.arange(wide[there].sum())
+                        rows.append((r, packed(np.diff(docs[there], prepend=0), np.int64), packed(size[there], np.int32), sketch[cut].tobytes(), packed(np.diff(sig[a:b], prepend=U(0)), np.uint64), packed((local << 3) | kind[a:b], np.uint16)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[n] for r in rows], pa.binary()) for n in range(1, 6))], names=["range", "docs", "sizes", "sketch", "deltas", "entries"])
+
+    return sets.select("docs", "sizes", "shingles", "dropped", "marks").mapInArrow(run, "range int, docs binary, sizes binary, sketch binary, deltas binary, entries binary")
+
+
 def match_blocks(blocks: list[tuple], scheme: Scheme, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of documents within one signature range that agree on a probe and that size and sketch don't rule out."""
+    """Pairs of documents within one range that agree on a probe and that size and sketch don't rule out."""
     sizes = [loose(b[1], np.int32) for b in blocks]
     docs, size = np.concatenate([np.cumsum(loose(b[0], np.int64)) for b in blocks]), np.concatenate(sizes)
-    sketch = np.concatenate([np.frombuffer(b[2], np.uint64).reshape(-1, 4) for b in blocks])
+    sketch = Sketches(np.concatenate([np.frombuffer(b[2], np.uint8) for b in blocks]), size)
     start = np.cumsum([0, *map(len, sizes)])
-    sig = np.concatenate([np.cumsum(loose(b[3], np.uint32), dtype=np.uint32) for b in blocks])
+    sig = np.concatenate([np.cumsum(loose(b[3], np.uint64), dtype=np.uint64) for b in blocks])
     codes = [loose(b[4], np.uint16) for b in blocks]
     who = np.concatenate([(c >> 3).astype(np.int32) + s for c, s in zip(codes, start.astype(np.int32))])
-    flag = np.concatenate([(c & 7).astype(np.uint8) for c in codes])
+    kind = np.concatenate([(c & 7).astype(np.uint8) for c in codes])
     order = np.argsort(sig, kind="stable")
-    sig, who, flag = sig[order], who[order], flag[order]
+    sig, who, kind = sig[order], who[order], kind[order]
     edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     many = np.diff(np.r_[edge, len(sig)])
-    alone = np.repeat(many == 1, many)
     first, count = np.repeat(edge, many), np.repeat(many, many)
-    probes = np.flatnonzero(~alone & ((flag & 3) > 0))
+    probes = np.flatnonzero((count > 1) & ((kind & PROBED) > 0))
     found = []
     done = 0
     reach = np.cumsum(count[probes])
@@ -300,13 +424,11 @@ def match_blocks(blocks: list[tuple], scheme: Scheme, chunk: int = 4_000_000) ->
         n = count[p]
         r = np.repeat(p, n)
         s = np.repeat(first[p], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        fr, fs = flag[r], flag[s]
         a, b = who[r], who[s]
         ra, sb = size[a], size[b]
-        ok = ((fs & 3) < 2) & ((fr & fs & 4) == 0) & ((ra > sb) | ((ra == sb) & (docs[a] > docs[b]))) & (sb >= scheme.t * ra - 1e-9)
+        ok = ((kind[s] & INDEXED) > 0) & ((kind[r] & kind[s] & DELETION) == 0) & ((ra > sb) | ((ra == sb) & (docs[a] > docs[b]))) & (sb >= scheme.t * ra - 1e-9)
         a, b = a[ok], b[ok]
-        apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1)
-        near = apart <= scheme.allowed(size[a].astype(np.int64), size[b].astype(np.int64))
+        near = sketch.apart(a, b) <= scheme.allowed(size[a].astype(np.int64), size[b].astype(np.int64))
         found.append(np.unique((a[near].astype(np.int64) << 32) | b[near]))
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     x, y = docs[pairs >> 32], docs[pairs & 0xFFFFFFFF]
@@ -314,42 +436,69 @@ def match_blocks(blocks: list[tuple], scheme: Scheme, chunk: int = 4_000_000) ->
 
 
 def candidate_pairs(blocks: DataFrame, t: float) -> DataFrame:
-    """``(a, b)`` of each signature range; ``(doc, null)`` for the documents that need the exact pass."""
+    """``(a, b)`` of each range."""
     scheme = Scheme(t)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if group["range"].iloc[0] < 0:
-            ids = np.concatenate([np.cumsum(loose(x, np.int64)) for x in group["docs"]])
-            return pd.DataFrame({"a": ids, "b": pd.array([None] * len(ids), dtype="Int64")})
         a, b = match_blocks(list(group[["docs", "sizes", "sketch", "deltas", "entries"]].itertuples(index=False, name=None)), scheme)
         return pd.DataFrame({"a": a, "b": b})
 
     return blocks.groupBy("range").applyInPandas(run, "a long, b long")
 
 
-def scanned_pairs(sets: DataFrame, ids: np.ndarray, t: float) -> DataFrame:
-    """Candidates of the few sets ``ids`` against all sets, by an inverted index of those few that every task scans with."""
-    mine = sets.where(F.col("doc").isin([int(i) for i in ids])).select("doc", "size", "shingles").collect()
-    docs = np.array([r["doc"] for r in mine])
-    sizes = np.array([r["size"] for r in mine])
-    tokens = unpacked([bytes(r["shingles"]) for r in mine], None)
-    owner = np.repeat(np.arange(len(docs)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
+def prefix_pairs(sets: DataFrame, t: float, counts: np.ndarray) -> DataFrame:
+    """Candidates ``(a, b)`` of the documents at the places ``hard`` of their blocks against all sets, by prefix filter.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for doc, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                x = unpacked([raw], None)
-                lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
-                hits = np.concatenate([owner[i:j] for i, j in zip(lo, hi) if i < j] or [owner[:0]])
-                shared = np.bincount(hits, minlength=len(docs))
-                for k in np.flatnonzero((shared >= t * (size + sizes - shared) - 1e-9) & (docs != doc)):
-                    a.append(min(doc, int(docs[k]))), b.append(max(doc, int(docs[k])))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    Two sets within the similarity share one of the rarest ``size - ceil(t * size) + 1`` shingles of each, by one order of
+    all shingles. Those of the hard sets go into a table; a bitmap of fixed size (512 KB) of them keeps others from being
+    sent at all. Null ``hard``: none.
+    """
 
-    return sets.select("doc", "size", "shingles").mapInArrow(run, "a long, b long").distinct()
+    def prefixes(bitmap: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    docs, size, shingles = sets_of(batch, k)
+                    doc = np.repeat(np.arange(len(docs)), size)
+                    if bitmap is None:
+                        if not batch.column(4)[k].is_valid:
+                            continue
+                        wanted = np.zeros(len(docs), dtype=bool)
+                        wanted[batch.column(4)[k].values.to_numpy()] = True
+                        asked = np.flatnonzero(wanted[doc])
+                    else:
+                        cell = rare_cell(shingles)
+                        hit = (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+                        wanted = np.zeros(len(docs), dtype=bool)
+                        wanted[doc[hit]] = True
+                        asked = np.flatnonzero(wanted[doc])
+                    d, x = doc[asked], shingles[asked]
+                    order = np.lexsort((x, counts[cell_of(x)], d))
+                    d, x = d[order], x[order]
+                    head = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
+                    place = np.arange(len(d)) - np.repeat(head, np.diff(np.r_[head, len(d)]))
+                    first = place < size[d] - np.ceil(t * size[d] - 1e-9).astype(np.int64) + 1
+                    if bitmap is not None:
+                        cell = rare_cell(x)
+                        first &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(x[first].astype(np.int64), pa.int64()), pa.array(docs[d[first]], pa.int64()), pa.array(size[d[first]].astype(np.int32), pa.int32())], names=["token", "doc", "size"])
+
+        return run
+
+    columns = ["docs", "sizes", "shingles", "dropped"]
+    schema = "token long, doc long, size int"
+    hard = saved(sets.where("hard is not null").select(*columns, "hard").mapInArrow(prefixes(None), schema), "p2_hard")
+    cell = F.udf(lambda x: int(rare_cell(np.array([x], dtype=np.uint64))[0]), "int")
+    bitmap = np.zeros(RARE, dtype=np.uint8)
+    bitmap[[r[0] for r in hard.select("token").distinct().select(cell("token")).distinct().collect()]] = 1  # at most RARE small numbers
+    all_ = sets.select(*columns).mapInArrow(prefixes(np.packbits(bitmap, bitorder="little")), schema)
+    pairs = all_.select("token", "doc", "size").join(hard.select("token", F.col("doc").alias("other"), F.col("size").alias("other_size")), "token").where("doc <> other")
+    pairs = pairs.where(F.least("size", "other_size") >= F.greatest("size", "other_size") * t - 1e-9)
+    return pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+
+
+def rare_cell(shingles: np.ndarray) -> np.ndarray:
+    return (mixed(shingles + U(17)) % U(RARE)).astype(np.int64)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, t: float, words: int) -> DataFrame:
@@ -384,24 +533,27 @@ def near_duplicates(docs: DataFrame, t: float = 0.8, words: int = 5, least_words
     ``members (doc, rep)``: every text that counts (at least ``least_words`` words) with the lowest ``doc`` that has the
     same shingles. ``links (a, b, similarity)``: all pairs ``a < b`` of such representatives whose shingle sets of
     ``words`` words reach the Jaccard similarity ``t``. Null, empty and too short texts are in neither; no pair is
-    lost or capped. Words are runs of letters and digits of the lower-cased text. ``per_range``: signatures a task holds.
+    lost or capped. Words are runs of letters and digits of the lower-cased text. ``per_range``: signatures that a task of the
+    first pass holds; only those that meet others go on.
     """
     docs = docs.select("doc", "text").where("doc is not null")
-    sets = saved(shingle_sets(docs, words, least_words), "p2_sets")
-    lowest = sets.groupBy("digest", "size").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+    buckets = 4 * shuffle_width(docs.sparkSession)
+    blocks = bucketed(shingle_blocks(docs, words, least_words), "p2_blocks", "block", buckets)
+    keys = blocks.select("block", F.posexplode(F.arrays_zip("docs", "sizes", "digests")).alias("pos", "s")).select("block", "pos", F.col("s.docs").alias("doc"), F.col("s.sizes").alias("size"), F.col("s.digests").alias("digest"))
+    lowest = keys.groupBy("digest", "size").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     copied = saved(lowest.where("copies > 1").select("digest", "size", "rep"), "p2_copied")
-    twins = saved(sets.select("doc", "digest", "size").join(copied, ["digest", "size"]).select("doc", "rep"), "p2_twins")
-    members = sets.select("doc").join(twins, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
-    reps = sets.join(twins.where("doc <> rep"), "doc", "left_anti")
-    stat = sets.agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).first()
-    total = stat["n"] or 1
-    counts = shingle_counts(reps)
-    ranges = max(6, int((stat["shingles"] or 0) * 2.5) // per_range)
-    found = saved(candidate_pairs(signature_blocks(reps, counts, total, t, ranges), t), "p2_candidates")
-    pairs = found.where("b is not null")
-    hard = np.array([r["a"] for r in found.where("b is null").select("a").distinct().toLocalIterator()], dtype=np.int64)
-    for at in range(0, len(hard), 2000):
-        pairs = pairs.unionByName(scanned_pairs(reps, hard[at : at + 2000], t))
+    twins = saved(keys.join(copied, ["digest", "size"]).select("block", "pos", "doc", "rep"), "p2_twins")
+    members = keys.select("doc").join(twins.select("doc", "rep"), "doc", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
+    reps = in_block(blocks, twins.where("doc <> rep").select("block", F.col("pos").alias("dropped")), "dropped", buckets)
+    stat = keys.agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).first()  # two numbers
+    sender = Sender(counts := shingle_counts(reps), stat["n"] or 1, stat["shingles"] or 1, t, per_range)
+    marks = saved(met(sent(reps, sender)), "p2_met")
+    live = in_block(reps, marks.where("range >= 0").select("block", F.struct("range", "bits").alias("marks")), "marks", buckets)
+    pairs = candidate_pairs(meeting_blocks(live, sender, max(shuffle_width(docs.sparkSession), sender.ranges)), t)
+    hard = marks.where("range < 0")
+    if not hard.isEmpty():
+        places = hard.select("block", F.explode(F.udf(lambda x: loose(x, np.int32).tolist(), "array<int>")("bits")).alias("hard"))
+        pairs = pairs.unionByName(prefix_pairs(in_block(reps, places, "hard", buckets), t, counts))
     pairs = saved(pairs.distinct(), "p2_pairs")
     return verified(pairs, docs, t, words), members
 
