@@ -188,9 +188,13 @@ def test_chunks(spark):
     got = chunking.chunk_notes(notes).orderBy("chunk_index").collect()
     assert [r.heading_path for r in got] == [["Docker"], ["Docker", "Setup"], ["Docker", "Use"]]
     assert got[0].wikilinks == ["Linux"] and got[0].block_ids == ["^b1"] and "# not a heading" in got[1].content and got[1].tags == ["#ops"]
+    plain = spark.createDataFrame([("p.md", "p", "just words #x", datetime(2026, 1, 1)), ("t.md", "t", "---\ntags: [A, '#b']\nsource_type: Web\n---\n- [ ] do #b #c", datetime(2026, 1, 1)), ("u.md", "u", "---\ntags:\n  - k/l\n---\nx", None)], "path string, title string, text string, modified timestamp")
+    other = {r.path: r for r in chunking.chunk_notes(plain).collect()}
+    assert other["p.md"].content == "just words #x" and other["p.md"].tags == ["#x"] and other["p.md"].source_type == "user_authored"
+    assert other["t.md"].tags == ["#a", "#b", "#c"] and other["t.md"].source_type == "web" and other["t.md"].memory_type == "task" and other["u.md"].tags == ["#k/l"]
     assert {r.memory_type for r in got} == {"fact"} and {r.created for r in got} == {"2026-08-15"}
     long = "\n".join(["x" * 90] * 20 + [""] + ["y" * 90] * 3)
-    assert [len(c[0]) > 1500 for c in chunking.fold_lines(long, "t", 1500)] == [True, False]
+    assert [len(c[0]) > 1500 for c in chunking.cut_note(long, "t", 1500)] == [True, False]
 
 
 def test_native_sections_match_the_fold(spark):
@@ -202,7 +206,7 @@ def test_native_sections_match_the_fold(spark):
     got = {}
     for r in chunking.sections(df, "k", F.col("text"), F.lit("T")).orderBy("k", "section").collect():
         got.setdefault(r.k, []).append(r.heading)
-    assert got == {k: h for k, t in enumerate(texts) if (h := [c[1] for c in chunking.fold_lines(t, "T", 10**9)])}
+    assert got == {k: h for k, t in enumerate(texts) if (h := [c[1] for c in chunking.cut_note(t, "T", None)])}
 
 
 def test_tokens_keep_empty_texts(spark):

@@ -1,3 +1,4 @@
+import random
 import re
 import uuid
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumflow.functions import text as t
-from vellumflow.functions.python_udfs import chat_html, message_parts, sequence_ratio, yaml_fields
+from vellumflow.functions.python_udfs import sequence_ratio, yaml_fields
 
 TEXTS = [
     "", "plain", "see [[A]] and [[B|b]] and [[ ]] [[C#h]]", "é#no #yes #42 #a/b-c end#x", "[k:: v] [k:: w] [a b:: c d]", "line ^blk-1  ", "# T\n## U\ntext ^id\n###no",
@@ -31,8 +32,9 @@ def test_links_tags_fields_against_python(spark):
         assert c == {k.strip(): v.strip() for k, v in re.findall(r"\[([a-zA-Z0-9_\-\s]+)::\s*([^\]]+)\]", text)}
 
 
-def test_links_of_very_long_text_are_not_read(spark):
-    assert run(spark, t.wikilinks, ["[[A]]" + "x" * 100_000]) == [[]]
+def test_links_of_very_long_text(spark):
+    long = "[[A]]" + "x" * 150_000 + "[[B]]"
+    assert run(spark, t.wikilinks, [long]) == [["A", "B"]] and run(spark, lambda c: t.wikilinks(c, 100_000), [long, "[[A]]"]) == [[], ["A"]]
 
 
 def test_normalise(spark):
@@ -40,6 +42,10 @@ def test_normalise(spark):
     assert got == "> [!WARNING] Watch\n[X] [x] [ ] [[Real Thing]] [link](http://x) [status:: open] [[Y]]"
 
 
+def test_only_balanced_runs_of_brackets_are_cut(spark):
+    assert run(spark, t.normalise_markdown, ["a [[[ b ]] c", "[[[[N]]]", "[[[N]] x", "[[[a\nb]]]"]) == ["a [[[ b ]] c", "[[N]]", "[[[N]] x", "[[[a\nb]]]"]
+
+
 def test_frontmatter(spark):
     texts = ["---\ncreated: 2026-08-15\ntags:\n  - a\n  - b\n---\nBody", "no", "---\n: [bad\n---\nrest", "--- only"]
     assert run(spark, t.body, texts) == ["\nBody", "no", "\nrest", "--- only"]
@@ -111,9 +117,53 @@ def test_citation(spark):
     assert got == "• [[Note]]\n  → ## Setup\n  → ^b1"
 
 
-def test_message_parts_and_html(spark):
-    text = "## A\n" + "x" * 80 + "\n\n## B\n" + "y " * 60
-    parts = run(spark, lambda c: message_parts(100)(c), [text, "", None])
-    assert all(0 < len(p) <= 100 for p in parts[0]) and parts[1:] == [[], []] and parts[0][1].startswith("## B")
-    assert run(spark, chat_html, ["**b** `a<b` <x>"]) == ["<b>b</b> <code>a&lt;b</code> &lt;x&gt;"]
+def cut_by_hand(text, most):
+    """The rule of message_parts in plain Python: where the next message ends."""
+    out, rest = [], text.strip()
+    while len(rest) > most:
+        ends = [rest.rfind(m, 0, most) for m in ("\n\n## ", "\n\n# ", "\n\n")]
+        late = [e for e in (rest.rfind(m, 0, most) for m in ("\n", " ")) if e >= most // 2]
+        end = next((e for e in ends if e > 0), None) or (late[0] if late else most)
+        out.append(rest[:end].strip())
+        rest = rest[end:].strip()
+    return [x for x in (*out, rest) if x]
+
+
+def test_message_parts(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["word", " ", " ", "\n", "\n\n", "\n\n# T ", "\n\n## U ", "x" * 9]) for _ in range(rng.randrange(1, 200))) for _ in range(150)]
+    got = run(spark, lambda c: t.message_parts(c, 60), [*texts, "", None, " " * 100])
+    for text, parts in zip(texts, got):
+        assert parts == ([text] if 0 < len(text) <= 60 else cut_by_hand(text, 60) or [text]), text
+        assert all(len(p) <= 60 for p in parts) or not text.strip()
+    assert got[-3:] == [[""], [""], [" " * 100]]
+
+
+def test_chat_html(spark):
+    raw = "Based on [Microsoft Azure]:\n\n---\n\n### 1. Core Infrastructure\n Regions: Global\n [Availability Zones|AZs]: in [Azure]\n\n**Sources:**\n• [[2026-08-15]] → ## D"
+    shown = run(spark, t.chat_markdown, [raw])[0]
+    assert "🔹 *1. Core Infrastructure*" in shown and "─" * 23 in shown and "[[Availability Zones|AZs]]" in shown
+    html = run(spark, lambda c: t.chat_html(t.chat_markdown(c)), [raw])[0]
+    assert "<b>1. Core Infrastructure</b>" in html and "<b>Sources:</b>" in html and "[[Microsoft Azure]]" in html
+    texts = ["**b** `a<b` <x> & *c* _it_ ~~s~~ a_b_c 2*3*4", "```py\nif a < b: *x*\n``` then `*y*` [t](https://u.v/w)", "*bold `code` on*", "", None]
+    assert run(spark, t.chat_html, texts) == [
+        "<b>b</b> <code>a&lt;b</code> &lt;x&gt; &amp; <b>c</b> <i>it</i> <s>s</s> a_b_c 2*3*4",
+        '<pre><code>if a &lt; b: *x*\n</code></pre> then <code>*y*</code> <a href="https://u.v/w">t</a>', "<b>bold <code>code</code> on</b>", "", None,
+    ]
+
+
+def test_small_rewrites(spark):
+    assert run(spark, t.button_text, ["See [[Note|the *note*]] and [[Other]]", "x" * 40, None]) == ["See the note and Other", "x" * 33 + "...", None]
+    assert run(spark, t.safe_file_name, [' a/b:c*"d" ', None]) == ["a_b_c__d_", None]
+    assert run(spark, t.view_text, ["---\na: 1\n---\n# Title\nbody", "# T\n\nx", None]) == ["body", "x", None]
+    assert run(spark, t.payload_of, ['{"structured_output": {"a": 1}}', '{"response": "```json\\n{}\\n```"}', "```\nplain\n```", "text", None]) == ['{"a":1}', "{}", "plain", "text", None]
+    errors = run(spark, lambda c: t.error_of(c, F.lit("warn")), ['{"error": " bad "}', "out", "", None])
+    assert errors == ["bad (stderr: warn)", "warn | stdout: out", "warn", "warn"]
+    assert run(spark, lambda c: t.error_of(c, F.lit(None).cast("string")), ["only", None]) == ["only", "No error message provided on stdout or stderr"]
+    note = run(spark, lambda c: t.atomic_note(c, F.lit("Body"), F.array(F.lit("#x")), F.lit("2026-01-02"), F.lit("2026-01-01")), ["T"])[0]
+    assert note.startswith("---\ncreated: 2026-01-02\n") and '"[[2026-01-01]]"' in note and note.endswith("# T\n\nBody\n") and "  - x\n" in note
+    assert run(spark, lambda c: t.as_tags(t.listed(c)), ["#A, b,, C ", None]) == [["#a", "#b", "#c"], None]
+
+
+def test_sequence_ratio(spark):
     assert run(spark, lambda c: sequence_ratio(c, F.lit("local ai")), ["Local AI ", None]) == [pytest.approx(1.0), None]

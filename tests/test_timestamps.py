@@ -55,7 +55,7 @@ def test_numbers_abbreviations_and_refusals(spark):
         ("2024-01-02T03:04:05.1234567Z", "UTC", "2024-01-02T03:04:05.123456Z"), ("2024-06-10 03:57:00 America/Chicago", "UTC", "2024-06-10T08:57:00.000000Z"),
         ("2025-02-30T10:00:00", "UTC", "unreadable"), ("25:61", "UTC", "unreadable"), ("13:00 PM", "UTC", "unreadable"), ("now", "UTC", "unreadable"), ("2024-01-01 12:00 Mars/Base", "UTC", "unreadable"),
         ("2024-01-01", None, "unreadable"), ("2024-01-01", "No/Zone", "unreadable"), ("2024-01-01T00:00Z", None, "2024-01-01T00:00:00.000000Z"), ("10:00", "UTC", "unreadable"),
-        ("9" * 5000, "UTC", "unreadable"), (None, "UTC", None), (" \t ", "UTC", None), ("0000-00-00 00:00", "UTC", "unreadable"), ("99999999999999999999", "UTC", "unreadable"),
+        ("9" * 5000, "UTC", "unreadable"), ("2024-01-02" + " " * 250 + "03:04", "UTC", "2024-01-02T03:04:00.000000Z"), ("2024-01-02T03:04:05." + "1" * 200 + "Z", "UTC", "2024-01-02T03:04:05.111111Z"), ("x" * 300, "UTC", "unreadable"), (None, "UTC", None), (" \t ", "UTC", None), ("0000-00-00 00:00", "UTC", "unreadable"), ("99999999999999999999", "UTC", "unreadable"),
     ]
     assert run(spark, [(v, z, None, "") for v, z, _ in cases]) == [e for *_, e in cases]
 

@@ -10,17 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
-LONGEST_FOR_LINKS = 100_000
 ISO = r"\d{4}-\d{2}-\d{2}"
 
 # Words left out of the lexical index.
-STOPWORDS = (
-    "a about above after again against all am an and any are aren't as at be because been before being below between both but by "
-    "can can't cannot could did do does doing don't down during each few for from further had has have having he her here hers herself "
-    "him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours "
-    "ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those "
-    "through to too under until up very was we were what when where which while who whom why with would you your yours yourself yourselves"
-).split()
+STOPWORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "aren't", "as", "at", "be", "because", "been",
+    "before", "being", "below", "between", "both", "but", "by", "can", "can't", "cannot", "could", "did", "do", "does", "doing", "don't", "down",
+    "during", "each", "few", "for", "from", "further", "had", "has", "have", "having", "he", "her", "here", "hers", "herself", "him", "himself",
+    "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "me", "more", "most", "my", "myself", "no", "nor", "not", "now", "of",
+    "off", "on", "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over", "own", "same", "she", "should", "so", "some", "such",
+    "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "to", "too",
+    "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "with", "would", "you",
+    "your", "yours", "yourself", "yourselves",
+]
 # Phrases that mark a sentence as a task.
 TASK_PHRASES = [
     "required to", "need to", "needs to", "have to", "has to", "must ", "remember to", "todo", "to-do", "should ", "due ", "finish ",
@@ -65,10 +67,10 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
-def wikilinks(c: Column) -> Column:
-    """Targets of ``[[target|shown]]`` links in order, with repeats; none for texts beyond 100 000 characters."""
-    links = F.transform(F.regexp_extract_all(c, F.lit(LINK), F.lit(1)), strip)
-    return F.when(F.length(c) > LONGEST_FOR_LINKS, F.array().cast("array<string>")).otherwise(F.filter(links, lambda x: x != ""))
+def wikilinks(c: Column, longest: int | None = None) -> Column:
+    """Targets of ``[[target|shown]]`` links in order, with repeats. ``longest``: characters beyond which a text gives none (default: no such bound)."""
+    links = F.filter(F.transform(F.regexp_extract_all(c, F.lit(LINK), F.lit(1)), strip), lambda x: x != "")
+    return links if longest is None else F.when(F.length(c) > longest, F.array().cast("array<string>")).otherwise(links)
 
 
 def block_id(c: Column) -> Column:
@@ -127,14 +129,27 @@ def frontmatter_value(c: Column, key: str) -> Column:
     return F.nullif(F.regexp_replace(strip(F.regexp_extract(frontmatter_block(c), rf"(?m)^{key}:[ \t]*(.*)$", 1)), r"^[\"']|[\"']$", ""), F.lit(""))
 
 
+# What loose Markdown is rewritten to, in this order: callouts, aliased links in single brackets, bare fields,
+# single-bracket links (no checkboxes, images, numbers, fields, block ids or link texts), runs of three and more brackets.
+LOOSE = [
+    (r"(?md)^>\s*!([A-Z]+)\b(.*)$", r"> [!$1]$2"),
+    (r"(?<!\[)\[([^\[\]\n|]+)\|([^\[\]\n]+)\](?!\])", r"[[$1|$2]]"),
+    (r"(?U)(?<![\[(])\b([a-zA-Z0-9_\-]+)::\s*([a-zA-Z0-9_\-/]+)(?![\])])", r"[$1:: $2]"),
+    (r"(?U)(?<!\[)\[[^\S\n]*+(?!\]|[xX/\-]\s*\]|[!\^]|\d+[^\S\n]*\]|[^\[\]\n|]*::)([^\[\]\n|]+?)[^\S\n]*\](?!\s*[(\]])", r"[[$1]]"),
+    (r"\[{3,}([^\[\]\n]+)\]{3,}", r"[[$1]]"),
+]
+
+
+def rewritten(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """The text after each ``(pattern, replacement)`` in turn."""
+    for pattern, to in rules:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
 def normalise_markdown(c: Column) -> Column:
-    """Five rewrites in order: callouts, aliased links in single brackets, bare fields, single-bracket links, triple brackets."""
-    c = F.regexp_replace(c, r"(?md)^>\s*!([A-Z]+)\b(.*)$", r"> [!$1]$2")
-    c = F.regexp_replace(c, r"(?<!\[)\[([^\[\]\n|]+)\|([^\[\]\n]+)\](?!\])", r"[[$1|$2]]")
-    c = F.regexp_replace(c, r"(?U)(?<![\[(])\b([a-zA-Z0-9_\-]+)::\s*([a-zA-Z0-9_\-/]+)(?![\])])", r"[$1:: $2]")
-    single = r"(?U)(?<!\[)\[[^\S\n]*+(?!\]|[xX/\-]\s*\]|[!\^]|\d+[^\S\n]*\]|[^\[\]\n|]*::)([^\[\]\n|]+?)[^\S\n]*\](?!\s*[(\]])"
-    c = F.regexp_replace(c, single, r"[[$1]]")
-    return F.regexp_replace(F.regexp_replace(c, r"\[{3,}", "[["), r"\]{3,}", "]]")
+    """Loose Markdown in the form that notes use (:data:`LOOSE`)."""
+    return rewritten(c, LOOSE)
 
 
 def links_of_loose_text(c: Column) -> Column:
@@ -250,15 +265,60 @@ def entry_line(content: Column, stamp: Column, category: Column, due: Column, fi
     return F.when(F.nullif(callout, F.lit("")).isNotNull() & ~is_callout, framed).otherwise(line)
 
 
+# How a chat shows headings and callouts.
+CHAT_HEADINGS = {1: "🏆", 2: "📌", 3: "🔹"}
+CHAT_CALLOUTS = {"NOTE": "ℹ️", "WARNING": "⚠️", "TIP": "💡", "IMPORTANT": "❗", "CAUTION": "🛑"}
+# Rules become a line, loose lines bullets.
+CHAT_RULE = (r"(?md)^(?:---|\*\*\*|___)\s*$", "─" * 23)
+CHAT_LOOSE = [(r"(?md)^\s+([A-Za-z0-9_\-\s]+:)\s*$", "• *$1*"), (r"(?md)^\s{1,2}(?=[A-Za-z0-9_\[])", "• ")]
+# Markdown of a chat with its HTML.
+CHAT_FENCE, CHAT_CODE = r"(?s)```([a-zA-Z0-9_\-+]*)\n(.*?)```", r"`([^`\n]+)`"
+CHAT_TAGS = [
+    (r"\[([^\]\n]+)\]\((https?://[^\s)]+)\)", r'<a href="$2">$1</a>'),
+    (r"\*\*([^*\n]+)\*\*", "<b>$1</b>"),
+    (r"(?U)(?<![\w*])\*([^*\n]+)\*(?![\w*])", "<b>$1</b>"),
+    (r"(?U)(?<!\w)_([^_\n\x{E000}\x{E001}]+)_(?!\w)", "<i>$1</i>"),
+    (r"~~([^~\n]+)~~", "<s>$1</s>"),
+]
+
+
 def chat_markdown(c: Column) -> Column:
     """Markdown for a chat: rules, headings and callouts as styled lines, loose lines as bullets."""
-    c = F.regexp_replace(normalise_markdown(c), r"(?md)^(?:---|\*\*\*|___)\s*$", "─" * 23)
-    for marks, icon in (("###", "🔹"), ("##", "📌"), ("#", "🏆")):
-        c = F.regexp_replace(c, rf"(?md)^{marks}\s+(.+)$", f"{icon} *$1*")
-    for name, icon in (("NOTE", "ℹ️"), ("WARNING", "⚠️"), ("TIP", "💡"), ("IMPORTANT", "❗"), ("CAUTION", "🛑")):
-        c = F.regexp_replace(c, rf"(?md)^>\s*\[!{name}\]\s*(.*)$", f"{icon} *{name.title()}: $1*")
-    c = F.regexp_replace(c, r"(?md)^\s+([A-Za-z0-9_\-\s]+:)\s*$", "• *$1*")
-    return F.regexp_replace(c, r"(?md)^\s{1,2}(?=[A-Za-z0-9_\[])", "• ")
+    heads = [(rf"(?md)^#{{{n}}}\s+(.+)$", f"{icon} *$1*") for n, icon in CHAT_HEADINGS.items()]
+    calls = [(rf"(?md)^>\s*\[!{name}\]\s*(.*)$", f"{icon} *{name.title()}: $1*") for name, icon in CHAT_CALLOUTS.items()]
+    return rewritten(normalise_markdown(c), [CHAT_RULE, *heads, *calls, *CHAT_LOOSE])
+
+
+def chat_html(c: Column) -> Column:
+    """Chat Markdown as the small HTML that chats accept.
+
+    Code gives way to one private-use character each while the rest is escaped and tagged, and is put back by its place;
+    characters of a text that are these two themselves are left out. Null stays null.
+    """
+    escaped = lambda x: rewritten(x, [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")])
+    c = F.regexp_replace(c, "[\ue000\ue001]", "")
+    blocks = F.transform(F.regexp_extract_all(c, F.lit(CHAT_FENCE), F.lit(2)), lambda x: F.concat(F.lit("<pre><code>"), escaped(x), F.lit("</code></pre>")))
+    c = F.regexp_replace(c, CHAT_FENCE, "\ue000")
+    spans = F.transform(F.regexp_extract_all(c, F.lit(CHAT_CODE), F.lit(1)), lambda x: F.concat(F.lit("<code>"), escaped(x), F.lit("</code>")))
+    c = rewritten(escaped(F.regexp_replace(c, CHAT_CODE, "\ue001")), CHAT_TAGS)
+    for mark, kept in (("\ue001", spans), ("\ue000", blocks)):
+        parts = F.split(c, mark)
+        c = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.get(kept, i), F.lit("")))), "")  # noqa: B023
+    return c
+
+
+def message_parts(c: Column, most: int) -> Column:
+    """A text as messages of at most ``most`` characters; a text that fits is one message as it is, null and empty texts give one empty one.
+
+    One regex takes pieces from the left: up to the last second-level heading that fits, else first-level heading, else blank
+    line, else the last line or space in the second half, else ``most`` characters. White space around a cut is left out.
+    """
+    half = most // 2
+    start = r"(?sU)\G\s*"
+    ways = [rf"\S.{{0,{most - 1}}}\z", *(rf"\S.{{0,{most - 1 - size}}}(?={mark})" for mark, size in (("\n\n## ", 5), ("\n\n# ", 4), ("\n\n", 2))), *(rf"\S.{{{half - 1},{most - 2}}}(?={mark})" for mark in ("\n", " ")), rf"\S.{{{most - 1}}}"]
+    whole = strip(c)
+    parts = F.filter(F.transform(F.regexp_extract_all(whole, F.lit(f"{start}({'|'.join(ways)})"), F.lit(1)), strip), lambda x: x != "")
+    return F.when(c.isNull() | (c == ""), lit_array([""])).when(F.length(c) <= most, F.array(c)).otherwise(F.when(F.size(parts) > 0, parts).otherwise(F.array(c)))
 
 
 def asks_for_tasks(c: Column) -> Column:
@@ -295,9 +355,19 @@ def without_fence(c: Column) -> Column:
 
 
 def payload_of(c: Column) -> Column:
-    """The answer inside a JSON envelope (``structured_output``, ``response``), else the text itself."""
-    text = without_fence(c)
-    return F.coalesce(F.get_json_object(text, "$.structured_output"), F.get_json_object(text, "$.response"), text)
+    """The answer inside a JSON envelope (``structured_output``, ``response``), else the text itself, without a code fence."""
+    wrapped = F.coalesce(F.get_json_object(c, "$.structured_output"), without_fence(F.get_json_object(c, "$.response")))
+    return F.coalesce(wrapped, without_fence(c))
+
+
+def error_of(out: Column, err: Column) -> Column:
+    """What went wrong, from a runner's two outputs: the ``error`` of a JSON envelope first, then what was printed; bounded as a message."""
+    out, err = F.coalesce(strip(out), F.lit("")), F.coalesce(strip(err), F.lit(""))
+    named = F.nullif(strip(F.get_json_object(out, "$.error")), F.lit(""))
+    beside = F.when(err != "", F.concat(F.lit(" (stderr: "), F.substring(err, 1, 500), F.lit(")"))).otherwise(F.lit(""))
+    said = F.when((err != "") & (out != ""), F.concat(F.substring(err, 1, 1000), F.lit(" | stdout: "), F.substring(out, 1, 1000)))
+    said = said.when(err != "", F.substring(err, 1, 1000)).when(out != "", F.substring(out, 1, 1000)).otherwise(F.lit("No error message provided on stdout or stderr"))
+    return F.coalesce(F.concat(named, beside), strip(said))
 
 
 def view_text(c: Column) -> Column:
@@ -306,10 +376,11 @@ def view_text(c: Column) -> Column:
 
 
 def same_source(got: Column, wanted: Column) -> Column:
-    """Does a retrieved path or title answer for an expected one? Equal, or one contains the other, without brackets, ``.md`` and case."""
-    clean = lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, r"\[\[|\]\]", ""), r"\.md", ""))
-    a, b = clean(got), F.regexp_replace(clean(wanted), r"^.*/", "")
-    return (a == b) | F.contains(a, b) | F.contains(b, a)
+    """Does a retrieved path or title answer for an expected one? Equal, or one contains the other, without brackets, ``.md`` and case; of the expected path the last part counts."""
+    plain = lambda x: F.lower(F.replace(x, F.lit(".md"), F.lit("")))
+    a = strip(plain(F.regexp_replace(got, r"\[\[|\]\]", "")))
+    b = strip(F.substring_index(plain(wanted), "/", -1))
+    return F.contains(a, b) | F.contains(b, a)
 
 
 def citation(title: Column, heading: Column, block: Column) -> Column:

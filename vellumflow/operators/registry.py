@@ -74,7 +74,9 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
     Legacy entries get the model ``legacy`` and version 1.0, so that they are stale once. Keys beginning with ``_`` are
     metadata. A missing or broken file gives an empty registry.
     """
-    text = spark.read.text(path, wholetext=True)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    text = spark.read.text(path, wholetext=True) if exists else spark.createDataFrame([], "value string")
     whole = text.select(F.from_json("value", "map<string,string>").alias("m"))
     files = whole.select(F.coalesce(F.from_json(F.col("m")["files"], "map<string,string>"), F.col("m")).alias("m"))
     rows = files.select(F.explode("m").alias("path", "entry")).where(~F.startswith("path", F.lit("_")))
@@ -84,3 +86,21 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
         field("chunker_version", "1.0").alias("chunker_version"), field("parser_version", "1.0").alias("parser_version"),
         F.coalesce(field("chunks_count", "0").cast("int"), F.lit(0)).alias("chunks_count"), field("indexed_at", "").alias("indexed_at"),
     )
+
+
+def save_registry(registry: DataFrame, path: str) -> None:
+    """Write the registry as a Parquet table for :func:`open_registry`; written beside and then moved, so a failed run leaves the old one."""
+    spark = registry.sparkSession
+    beside = f"{path.rstrip('/')}.new"
+    registry.write.mode("overwrite").parquet(beside)
+    here, there = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path.rstrip("/")))
+    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(there, True)
+    files.rename(here, there)
+
+
+def open_registry(spark: SparkSession, path: str) -> DataFrame | None:
+    """The registry saved at ``path``, None if there is none."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    return spark.read.parquet(path) if exists else None

@@ -113,14 +113,14 @@ def normalise_timestamps(df: DataFrame, value: str, zone: str, day: str | None =
     Results: the instant, or ``ambiguous`` (the wall clock showed it twice), ``nonexistent`` (the wall clock skipped
     it), ``unreadable`` (no valid date or time, an unknown zone or abbreviation, a wall clock without a usable zone, a
     year outside 1..9999). Null and blank values give null. A number counts from 1970: below 1e11 in seconds, below
-    1e14 in milliseconds, below 1e17 in microseconds, anything above is unreadable. Very long values simply don't match.
+    1e14 in milliseconds, below 1e17 in microseconds, anything above is unreadable.
     Every column of ``df`` is kept under its name; the working columns live in one struct and can't clash.
     """
     spark = df.sparkSession
     zones = known_zones(spark)
     v = F.col(value)
     bare = F.regexp_replace(v, r"(?U)^[\s\"'`“”‘’]+|[\s\"'`“”‘’]+$", "")
-    usable = (F.length(bare) <= 100) & ~F.contains(bare, F.lit(SEP))
+    usable = ~F.contains(bare, F.lit(SEP))
     taken = F.split(F.when(usable, F.regexp_replace(bare, PATTERN, REPLACEMENT)), SEP)
     work = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"),

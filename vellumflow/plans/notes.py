@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.python_udfs import chat_html, message_parts, yaml_fields
+from ..functions.python_udfs import yaml_fields
 from ..operators import chunking, graph, ingest, registry, resolve, retrieval, tasks
 from ..session import table
 from . import notes_sql
@@ -140,13 +140,13 @@ def filed_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 def message_split(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as chat messages of at most 4000 characters."""
-    parts = _documents(spark, sf).select("doc_id", F.posexplode(message_parts(4000)("text")).alias("part", "message"))
+    parts = _documents(spark, sf).select("doc_id", F.posexplode(t.message_parts(F.col("text"), 4000)).alias("part", "message"))
     return parts.select("doc_id", "part", F.length("message").alias("n_chars"))
 
 
 def chat_rendering(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks rendered for a chat."""
-    return _chunks(spark, sf).select("chunk_no", F.md5(chat_html(t.chat_markdown(F.col("content")))).alias("digest"))
+    return _chunks(spark, sf).select("chunk_no", F.md5(t.chat_html(t.chat_markdown(F.col("content")))).alias("digest"))
 
 
 def citations(spark: SparkSession, sf: str) -> DataFrame:

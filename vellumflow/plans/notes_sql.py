@@ -117,7 +117,7 @@ flat as (select scope, title, ws, word from (select *, unnest(ws) as word from w
 _STEM0 = f"{strip('regexp_replace(' + strip('lower(title)') + ', ' + chr(39) + chr(92) + 'b(notes?|guide|docs?|concepts?)' + chr(92) + 'b' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}"
 
 SQL = {
-    "wikilinks": f"select chunk_no, unnest(range(0, len(l)))::int as pos, unnest(l) as link from (select chunk_no, list_filter(list_transform(regexp_extract_all(content, '{_LINK}', 1), lambda x: {strip('x')}), lambda x: x <> '') as l from markdown_chunks where len(content) <= 100000)",
+    "wikilinks": f"select chunk_no, unnest(range(0, len(l)))::int as pos, unnest(l) as link from (select chunk_no, list_filter(list_transform(regexp_extract_all(content, '{_LINK}', 1), lambda x: {strip('x')}), lambda x: x <> '') as l from markdown_chunks)",
     "tags": r"select doc_id, unnest(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])#([a-zA-Z0-9_\-/]*[a-zA-Z0-9_])', 1), lambda x: not regexp_matches(x, '^\d+$')), lambda x: '#' || lower(x))))) as tag from documents",
     "entry_fields": "select entry_no, unnest(map_keys(dataview_fields)) as field, unnest(map_values(dataview_fields)) as value from interstitial_entries",
     "block_ids": r"select chunk_no, '^' || unnest(regexp_extract_all(content, '(?m)\^([a-zA-Z0-9_-]+)\s*$', 1)) as block from markdown_chunks",

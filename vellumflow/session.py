@@ -27,7 +27,9 @@ def build_session(app: str = "vellumflow", master: str | None = None, **conf: st
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 _shipped: set[str] = set()
