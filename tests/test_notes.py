@@ -2,6 +2,7 @@
 
 import difflib
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -74,11 +75,40 @@ def test_threshold_search_has_no_other_bound(spark, tmp_path):
 
 
 def test_evaluation(spark):
-    results = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 7)], "qid int, id int, rank int")
-    expected = spark.createDataFrame([(1, 11), (2, 12), (3, 1)], "qid int, id int")
-    assert retrieval.recall_and_mrr(results, expected).first() == (3, round(1 / 3, 6), round(2 / 3, 6), round((0.5 + 1 / 7) / 3, 6))
-    row = spark.range(1).select(same_source(F.lit("[[Docker Notes]]"), F.lit("Notes/docker.md")).alias("x")).first()
-    assert row.x
+    results = spark.createDataFrame([(1, 1, "Notes/other.md", "[[Other]]"), (1, 2, "Notes/Docker Notes.md", "[[Docker Notes]]"), (2, 7, "x/linux.md", "Linux")], "qid int, rank int, path string, title string")
+    expected = spark.createDataFrame([(1, "docker notes.md"), (1, "zzz"), (2, "Area/Linux.md"), (3, "nothing")], "qid int, source string")
+    got = retrieval.evaluated(results, expected).first()
+    assert got == (3, round(1 / 3, 6), round(2 / 3, 6), round((0.5 + 1 / 7) / 3, 6), round(1 / 3, 6))
+    rows = spark.createDataFrame([("[[Docker Notes]]", "Notes/docker.md", True), ("Notes/a/b.md", "b", True), ("Area/x.md", "y.md", False)], "g string, w string, ok boolean")
+    assert all(r.x == r.ok for r in rows.select("ok", same_source(F.col("g"), F.col("w")).alias("x")).collect())
+    assert retrieval.evaluated(results.limit(0), expected.limit(0)).first()[0] == 0
+
+
+def test_dense_rounds_filters_and_ties(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(3 if i % 9 else 2)] if i % 11 else None, rng.choice(["a", "b", None])) for i in range(300)]
+    v = spark.createDataFrame(rows, "id int, vector array<float>, label string")
+    q = v.where("id % 7 = 0").selectExpr("id as qid", "vector", "label")
+    got = {}
+    for r in retrieval.dense_topk(v, q, 4, same=["label"], per_round=10).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.id, r.score))
+    cos = lambda x, y: round(sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y)), 9)
+    for i, x, label in rows:
+        if i % 7 == 0 and x and any(x) and label:
+            near = sorted((-cos(x, y), j) for j, y, other in rows if j != i and other == label and y and any(y) and len(y) == len(x))[:4]
+            assert sorted(got.get(i, [])) == [(n, j, pytest.approx(-c)) for n, (c, j) in enumerate(near, 1)]
+        else:
+            assert i not in got
+    assert retrieval.dense_topk(v, q.limit(0)).count() == 0 and retrieval.dense_topk(v.limit(0), q).count() == 0
+
+
+def test_older_hybrid_search(spark):
+    d = docs(spark, ["red apple pie", "red car", "apple tree and red leaves", "", None])
+    vectors = retrieval.hashed_vectors(d, "id", "text")
+    q = docs(spark, ["red apple"]).withColumnRenamed("id", "qid")
+    asked = q.join(retrieval.hashed_vectors(q, "qid", "text").withColumnRenamed("id", "qid"), "qid")
+    got = [r.id for r in retrieval.matched_hybrid(vectors, asked, d, 3).orderBy("rank").collect()]
+    assert got[:2] == [1, 3]
 
 
 NOTES = [(1, "Alpha", ["A1", "First"], ["Beta", "gamma", "Nowhere", "[[Beta|b]]"], 1), (1, "Beta", None, ["first#x"], 2), (1, "Gamma", [], None, 3), (2, "Alpha", [], ["Beta"], 4), (1, None, [], ["Alpha"], 5)]
@@ -99,6 +129,27 @@ def test_graph(spark):
     assert graph.edges(nodes.limit(0)).count() == 0
 
 
+def test_graph_update_equals_a_new_graph(spark):
+    rng = random.Random(4)
+    names = [f"N{i}" for i in range(12)]
+    make = lambda: [(1, n, rng.sample(["x", "y", "z", "n1"], 2), rng.sample([*names, "x", "y", "none"], 4), i) for i, n in enumerate(names)]
+    cols = "scope int, title string, aliases array<string>, links array<string>, order int"
+    old = make()
+    for gone, new in ((3, 0), (0, 5), (7, 2)):
+        nodes = [r for r in old if r[4] != gone] + [(1, "Fresh", ["x"], ["N1", "Fresh"], 20)]
+        nodes = [r if r[4] != new else (1, r[1], ["q"], ["N2", "q", "y"], r[4]) for r in nodes]
+        changed = spark.createDataFrame([(1, "Fresh"), (1, names[new])] + [(1, names[gone])], "scope int, title string")
+        after = graph.update_notes(graph.edges(spark.createDataFrame(old, cols)), spark.createDataFrame(nodes, cols), changed)
+        assert sorted(map(tuple, after.collect())) == sorted(map(tuple, graph.edges(spark.createDataFrame(nodes, cols)).collect()))
+
+
+def test_nodes_of_notes(spark):
+    text = "---\naliases:\n  - One\n  - 'Two words'\ntags: A, b\n---\n# H\nsee [[X]] #c ^id1\n## K"
+    n = graph.parse_nodes(spark.createDataFrame([("a.md", "a", text), ("b.md", "b", None)], "path string, title string, text string")).orderBy("path").collect()
+    assert (n[0].aliases, n[0].tags, n[0].headings, n[0].links, n[0].block_ids) == (["One", "Two words"], ["#a", "#b", "#c"], ["H", "K"], ["X"], ["^id1"])
+    assert n[1].aliases == n[1].links == []
+
+
 def test_resolution(spark):
     notes = spark.createDataFrame([(1, x) for x in ["Distributed Systems", "Database Notes", "Local AI Architecture"]], "scope int, title string")
     aliases = spark.createDataFrame([(1, "ds", "Distributed Systems")], "scope int, alias string, title string")
@@ -137,9 +188,18 @@ def test_duplicate_titles(spark):
 
 
 def test_look_up(spark):
-    notes = spark.createDataFrame([(1, "Notes/AWS Architecture and Costs.md", "AWS Architecture and Costs", 0), (1, "Daily Notes/2026-08-15.md", "2026-08-15", 1)], "scope int, path string, stem string, dir_rank int")
-    asked = spark.createDataFrame([(1, 1, "aws architecture and costs"), (2, 1, "AWS Arch"), (3, 1, "Costs"), (4, 1, "2026-08-15"), (5, 1, "zzz"), (6, 1, None)], "qid int, scope int, name string")
-    assert {r.qid: r.match for r in resolve.look_up(asked, notes).collect()} == {1: 2, 2: 3, 3: 4, 4: 1}
+    notes = spark.createDataFrame([(1, "Notes/AWS Architecture and Costs.md", "AWS Architecture and Costs", 0), (1, "Daily Notes/2026-08-15.md", "2026-08-15", 1), (1, "Notes/a_b.md", "a_b", 0)], "scope int, path string, stem string, dir_rank int")
+    names = ["aws architecture and costs", "AWS Arch", "Costs", "2026-08-15", "zzz", None, "tecture an", "st", "2026-08-15 more", "a:b", "", "8"]
+    asked = spark.createDataFrame([(i, 1, n) for i, n in enumerate(names, 1)] + [(99, 2, "Costs")], "qid int, scope int, name string")
+    assert {r.qid: r.match for r in resolve.look_up(asked, notes).collect()} == {1: 2, 2: 3, 3: 4, 4: 1, 7: 4, 8: 4, 9: 3, 10: 1, 12: 4}
+
+
+def test_within_against_all_pairs(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("ab ") for _ in range(rng.randrange(n)))
+    texts, parts = [(i, i % 2, text(30)) for i in range(80)], [(i, i % 3, text(7)) for i in range(60)]
+    got = resolve.within(spark.createDataFrame(parts, "qid int, scope int, part string"), spark.createDataFrame(texts, "tid int, scope int, text string"))
+    assert {(r.qid, r.tid) for r in got.collect()} == {(q, t) for q, s, p in parts for t, o, x in texts if s == o and p and p in x}
 
 
 def test_tasks(spark):
@@ -149,8 +209,14 @@ def test_tasks(spark):
     today = F.lit("2026-08-21").cast("date")
     assert {r.task_text: r.bucket for r in tasks.bucketed(found, today).collect()} == {"first": "overdue", "second": "today"}
     assert {r.task_text: r.section for r in tasks.briefing(found, today).collect()} == {"first": "overdue", "second": "today"}
-    asked = spark.createDataFrame([(1, 1, "t1", None), (2, 1, None, "SECOND"), (3, 1, "zz", None)], "rid int, scope int, id string, pattern string")
-    assert {r.rid: r.line_number for r in tasks.pick_task(found, asked).collect()} == {1: 2, 2: 4}
+    asked = spark.createDataFrame([(1, 1, "t1", None), (2, 1, None, "SECOND"), (3, 1, "zz", None), (4, 1, None, None), (5, 2, None, None)], "rid int, scope int, id string, pattern string")
+    assert {r.rid: r.line_number for r in tasks.pick_task(found, asked).collect()} == {1: 2, 2: 4, 4: 2}
+    days = spark.createDataFrame([(1, f"Daily Notes/2026-08-{d:02d}.md", "- [ ] x\n- [ ] y") for d in (3, 21, 9)] + [(1, "Notes/a.md", "- [ ] x")], "scope int, path string, text string")
+    picked = tasks.pick_task(tasks.extract_tasks(days, "scope", F.col("path"), F.col("text")), spark.createDataFrame([(1, 1, None, "x"), (2, 1, None, "Y")], asked.schema)).collect()
+    assert {(r.rid, r.path, r.line_number) for r in picked} == {(1, "Daily Notes/2026-08-21.md", 0), (2, "Daily Notes/2026-08-21.md", 1)}
+    many = spark.createDataFrame([(1, "Daily Notes/2026-08-20.md", "\n".join(["- [ ] late 📅 2026-08-01"] * 12 + ["- [ ] now 📅 2026-08-21"] * 2 + ["- [ ] soon 📅 2026-08-22"] * 9))], "scope int, path string, text string")
+    report = tasks.pending_report(tasks.extract_tasks(many, "scope", F.col("path"), F.col("text")), today, "scope").collect()
+    assert {r.bucket: (r.n_tasks, r.n_buttons) for r in report} == {"overdue": (12, 12), "today": (2, 2), "next2": (9, 1)}
     ticked = notes.where("text is not null").select(tasks.complete(F.col("text"), F.lit(2)).alias("x")).first().x
     assert "- [x] first" in ticked and "+ [ ] second" in ticked
     added = notes.where("text is not null").select(tasks.insert_under(F.col("text"), F.lit("## 🎯 Priorities & Tasks"), F.lit("- [ ] new")).alias("a"), tasks.insert_under(F.col("text"), F.lit("## Log"), F.lit("- x")).alias("b")).first()
@@ -180,6 +246,16 @@ def test_legacy_registry(spark, tmp_path):
     assert (new.hash, new.model, new.chunks_count) == ("abc", "m", 3)
 
 
+def test_missing_and_kept_tables(spark, tmp_path):
+    assert registry.load_registry(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "broken.json").write_text("{oops")
+    assert registry.load_registry(spark, str(tmp_path / "broken.json")).count() == 0
+    assert registry.open_table(spark, str(tmp_path / "kept")) is None
+    for n in (1, 2):
+        registry.save_table(spark.range(n), str(tmp_path / "kept"))
+        assert registry.open_table(spark, str(tmp_path / "kept")).count() == n
+
+
 NOTE = "---\ncreated: 2026-08-15\nmemory_type: fact\n---\n# Docker\nintro [[Linux]] ^b1\n\n## Setup\n```\n# not a heading\n```\n- [ ] try #ops\n\n## Use\ntext"
 
 
@@ -198,8 +274,6 @@ def test_chunks(spark):
 
 
 def test_native_sections_match_the_fold(spark):
-    import random
-
     rng = random.Random(1)
     texts = ["\n".join(rng.choice(["# A", "## B", "### C ", "```", "text", "", "#no", "###### F"]) for _ in range(rng.randrange(1, 25))) for _ in range(120)]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")

@@ -6,7 +6,7 @@ import pytest
 
 from vellumflow.engine import NoteEngine
 from vellumflow.sources import vault
-from vellumflow.streaming.changes import debounce_sessions, debounce_timers
+from vellumflow.streaming.changes import debounce_sessions, debounce_timers, index_changes
 
 
 @pytest.fixture()
@@ -49,6 +49,33 @@ def test_engine(spark, root):
     assert {(r.src, r.dst) for r in engine.edges().collect()} == {("2026-08-15", "Docker")}
 
 
+def test_a_later_session_goes_on_from_the_store(spark, root, tmp_path_factory):
+    store = str(tmp_path_factory.mktemp("store"))
+    first = NoteEngine(spark, str(root), store=store).reindex()
+    again = NoteEngine(spark, str(root), store=store)
+    row = again.reindex()
+    assert (row["indexed"], row["skipped"]) == (0, 4) and row["total_vault_chunks"] == first["total_vault_chunks"]
+    assert {(r.title, tuple(r.aliases)) for r in again.nodes().collect()} >= {("Docker", ("Containers",))}
+
+
+def test_candidates_questions_and_vectors(spark, root, tmp_path):
+    assert {r.title for r in vault.candidates(vault.scan(spark, str(root))).collect()} == {"Docker", "Linux", "2026-08-15", "Root note"}
+    (tmp_path / "q.json").write_text('[{"id": "1", "question": "what?", "expected_sources": ["a.md", "b"]}]')
+    assert vault.read_questions(spark, str(tmp_path / "q.json")).first().expected_sources == ["a.md", "b"]
+    assert [r.text for r in vault.readable(spark.createDataFrame([("---\na: 1\n---\n x ",), (None,)], "text string")).collect()] == ["x", None]
+    assert vault.open_vectors(spark, str(tmp_path / "none"), 3).count() == 0
+
+
+def test_index_follows_a_stream(spark, tmp_path):
+    spark.createDataFrame([("a", "modified", T0, 1), ("b", "modified", T0, 1), ("b", "deleted", T0 + timedelta(seconds=5), 1)], "path string, kind string, fired_at timestamp, n_events long").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("path string, kind string, fired_at timestamp, n_events long").parquet(str(tmp_path / "in"))
+    seen = []
+    run = index_changes(source, lambda new, gone: seen.append(({r.path for r in new.collect()}, {r.path for r in gone.collect()})), str(tmp_path / "state"))
+    run.processAllAvailable()
+    run.stop()
+    assert seen == [({"a"}, {"b"})]
+
+
 def test_write_notes(spark, tmp_path):
     df = spark.createDataFrame([("a/b.md", "x"), ("c.md", None)], "path string, text string")
     vault.write_notes(df, str(tmp_path))

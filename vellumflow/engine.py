@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import citation, temporal_filter, wikilinks
+from .functions.text import citation, temporal_filter
 from .operators import chunking, graph, registry, resolve, retrieval, tasks
 from .session import saved
 from .sources import vault
@@ -16,12 +16,15 @@ VERSIONS = {"model": "hashed-64", "embedding_version": "1.0", "chunker_version":
 
 
 class NoteEngine:
-    """Tables of one vault, held as DataFrames. ``encode``: batch encoder; without one, hashed token vectors."""
-
-    def __init__(self, spark: SparkSession, root: str, encode: Callable | None = None):
-        self.spark, self.root, self.encode = spark, root, encode
-        self.registry: DataFrame | None = None
-        self.chunks: DataFrame | None = None
+    """Tables of one vault. ``encode``: batch encoder; without one, hashed token vectors. ``store``: a folder in which the
+    registry and the chunks are kept, so that another session goes on from them; without one they end with the session."""
+
+    def __init__(self, spark: SparkSession, root: str, encode: Callable | None = None, store: str | None = None):
+        self.spark, self.root, self.encode, self.store = spark, root, encode, store
+        self.registry: DataFrame | None = registry.open_table(spark, f"{store}/registry") if store else None
+        self.chunks: DataFrame | None = registry.open_table(spark, f"{store}/chunks") if store else None
+        if self.registry is None or self.chunks is None:  # one without the other: index anew
+            self.registry = self.chunks = None
         self.notes: DataFrame | None = None
 
     def snapshot(self) -> DataFrame:
@@ -49,12 +52,14 @@ class NoteEngine:
         self.chunks = new if self.chunks is None else saved(registry.replace_files(self.chunks, new, touched), "chunks")
         self.registry = saved(registry.record(known, now, states), "registry")
         self.notes = now
+        if self.store:  # the chunks first: a run that fails between the two is repeated
+            registry.save_table(self.chunks, f"{self.store}/chunks")
+            registry.save_table(self.registry, f"{self.store}/registry")
         row = registry.statistics(states).first().asDict()
         return row | {"chunks": new.count(), "total_vault_chunks": self.chunks.count()}
 
     def nodes(self) -> DataFrame:
-        aliases = F.split(F.regexp_replace(F.regexp_extract("text", r"(?m)^aliases:[ \t]*\[?([^\]\n]*)", 1), "[\"']", ""), r"\s*,\s*")
-        return self.notes.select(F.lit(0).alias("scope"), "title", F.filter(aliases, lambda a: a != "").alias("aliases"), wikilinks(F.col("text")).alias("links"), F.col("path").alias("order"))
+        return graph.parse_nodes(self.notes).withColumns({"scope": F.lit(0), "order": F.col("path")})
 
     def edges(self) -> DataFrame:
         return graph.edges(self.nodes())

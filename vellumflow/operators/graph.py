@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+from ..functions.python_udfs import yaml_fields
 from .orphans import strip
 
 
@@ -14,6 +16,21 @@ def link_target(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?s)[|#].*$", ""))
 
 
+def parse_nodes(notes: DataFrame) -> DataFrame:
+    """``(path, title, aliases, tags, headings, block_ids, links)`` of ``notes (path, title, text)``.
+
+    Aliases and tags come from the frontmatter, as a list of any YAML form or comma-separated; tags also from the whole
+    text; headings, block ids and links from the body. Null texts give empty lists.
+    """
+    none = F.array().cast("array<string>")
+    n = notes.select("path", "title", F.coalesce("text", F.lit("")).alias("text")).withColumn("front", yaml_fields(t.frontmatter_block(F.col("text")))).withColumn("body", t.body(F.col("text")))
+    listed = lambda name: F.coalesce(t.listed(F.element_at("front", name)), none)
+    return n.select(
+        "path", "title", listed("aliases").alias("aliases"), F.array_sort(F.array_union(t.as_tags(listed("tags")), t.tags(F.col("text")))).alias("tags"),
+        t.headings(F.col("body")).alias("headings"), t.block_ids(F.col("body")).alias("block_ids"), t.wikilinks(F.col("body")).alias("links"),
+    )
+
+
 def alias_table(nodes: DataFrame) -> DataFrame:
     """``(scope, alias, title)``: lower-cased titles and aliases; of several notes the last by ``order`` wins."""
     names = F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))
@@ -74,3 +91,23 @@ def drop_notes(links: DataFrame, removed: DataFrame) -> DataFrame:
     """Edges without those from or to the ``removed (scope, title)`` notes."""
     gone = removed.select("scope", "title")
     return links.join(gone.withColumnRenamed("title", "src"), ["scope", "src"], "left_anti").join(gone.withColumnRenamed("title", "dst"), ["scope", "dst"], "left_anti")
+
+
+def update_notes(links: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """``links`` of the graph after the ``changed (scope, title)`` notes were indexed again or came new; ``nodes`` is the state after.
+
+    Links from these notes are resolved anew, and so are those of every note that names one of them by title or alias, as
+    such a link may mean another note now; all other edges stay as they are. Equal to :func:`edges` of ``nodes`` where
+    no other note changed.
+    """
+    gone = changed.select("scope", "title").distinct()
+    named = nodes.join(gone, ["scope", "title"], "left_semi").select("scope", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
+    names = named.select("scope", F.lower("n").alias("low")).union(gone.select("scope", F.lower("title"))).where("low is not null").distinct()
+    raw = nodes.where("title is not null").select("scope", "title", F.explode("links").alias("raw")).select("scope", "title", F.lower(link_target(F.col("raw"))).alias("low"))
+    touched = raw.join(names, ["scope", "low"], "left_semi").select("scope", "title").union(gone)
+    # what pointed at a changed note by an alias that it no longer has
+    touched = touched.union(links.join(gone.withColumnRenamed("title", "dst"), ["scope", "dst"], "left_semi").select("scope", F.col("src").alias("title"))).distinct()
+    kept = links.join(touched.withColumnRenamed("title", "src"), ["scope", "src"], "left_anti")
+    own = nodes.where("title is not null").join(touched, ["scope", "title"], "left_semi").select("scope", F.col("title").alias("src"), F.explode("links").alias("raw"))
+    own = own.select("scope", "src", link_target(F.col("raw")).alias("name")).where("name <> ''").distinct()
+    return kept.unionByName(resolve_links(own, nodes).where("target is not null").select("scope", "src", F.col("target").alias("dst")).distinct())

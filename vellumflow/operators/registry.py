@@ -88,19 +88,19 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def save_registry(registry: DataFrame, path: str) -> None:
-    """Write the registry as a Parquet table for :func:`open_registry`; written beside and then moved, so a failed run leaves the old one."""
-    spark = registry.sparkSession
+def save_table(rows: DataFrame, path: str) -> None:
+    """Keep a table (registry, chunks, vectors) at ``path``; written beside and then moved, so a failed run leaves the old one."""
+    spark = rows.sparkSession
     beside = f"{path.rstrip('/')}.new"
-    registry.write.mode("overwrite").parquet(beside)
+    rows.write.mode("overwrite").parquet(beside)
     here, there = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path.rstrip("/")))
     files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.delete(there, True)
     files.rename(here, there)
 
 
-def open_registry(spark: SparkSession, path: str) -> DataFrame | None:
-    """The registry saved at ``path``, None if there is none."""
+def open_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table kept at ``path``, None if there is none."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
     return spark.read.parquet(path) if exists else None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.python_udfs import nearest_titles, sequence_ratio
-from ..functions.text import strip, term_stem
+from ..functions.text import safe_file_name, strip, term_stem
 from ..session import saved, shuffle_width
 
 THRESHOLD = 0.65
@@ -91,24 +91,51 @@ def ground_links(rows: DataFrame, key: str, links: Column, resolved: DataFrame)
     return named.groupBy(key).agg(F.array_sort(F.collect_set(F.coalesce("title", "term"))).alias("links"))
 
 
+def within(queries: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
+    """``(qid, tid)``: which of ``texts (tid, scope, text)`` contain ``queries (qid, scope, part)`` of the same scope; exact.
+
+    A text that contains a part has all its runs of ``size`` characters. Of a part only the run that the fewest texts of
+    its scope have is joined, and ``contains`` decides. Parts shorter than ``size`` are joined by themselves with the runs of
+    their own length. Empty parts are in nothing.
+    """
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n) if isinstance(n, int) else n)))
+    q = queries.where("part is not null and part <> ''").select("qid", "scope", "part", F.least(F.lit(size), F.length("part")).alias("n"))
+    lengths = [r[0] for r in q.select("n").distinct().collect()]  # 1 to size
+    if not lengths:
+        return queries.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, tid {texts.schema['tid'].dataType.simpleString()}")
+    t = texts.where("text is not null").select("tid", "scope", "text", F.explode(F.flatten(F.array(*[runs(F.col("text"), n) for n in lengths]))).alias("run"))
+    t = t.distinct()
+    asked = q.select("qid", "scope", "part", F.explode(runs(F.col("part"), F.col("n"))).alias("run"))
+    common = t.join(asked.select("scope", "run").distinct(), ["scope", "run"], "left_semi").groupBy("scope", "run").agg(F.count("*").alias("texts"))
+    rarest = asked.join(common, ["scope", "run"], "left").groupBy("qid", "scope", "part").agg(F.min_by("run", F.struct(F.coalesce("texts", F.lit(0)), "run")).alias("run"))
+    return rarest.join(t, ["scope", "run"]).where(F.contains("text", F.col("part"))).select("qid", "tid")
+
+
 def look_up(queries: DataFrame, notes: DataFrame) -> DataFrame:
     """``(qid, path, match)``: the note meant by each of ``queries (qid, scope, name)`` among ``notes (scope, path, stem, dir_rank)``:
-    the exact stem, the same in any case, one a prefix of the other, the query within the stem; then the folder's rank and the name.
+    1 the exact stem, 2 the same in any case, 3 one a prefix of the other, 4 the query within the stem; then the folder's rank and the name.
 
-    Candidates come from equality joins on the lower-cased name, on its first three characters and on its words.
+    Exact: stems that contain a name come from :func:`within`, stems that a name begins with from an equality join on the
+    name's beginnings. A name without the characters that file names can't have is tried beside the name as it stands.
     """
-    q = queries.withColumn("low", F.lower(strip(F.col("name")))).where("low <> ''")
-    n = notes.withColumn("stem_low", F.lower("stem"))
-    keys = lambda c: F.array_distinct(F.concat(F.array(c), F.array(F.concat(F.lit("^"), F.substring(c, 1, 3))), words(c)))
-    pairs = q.withColumn("k", F.explode(keys(F.col("low")))).join(n.withColumn("k", F.explode(keys(F.col("stem_low")))), ["scope", "k"]).drop("k").distinct()
+    names = queries.select("qid", "scope", F.explode(F.array_distinct(F.array(strip(F.col("name")), safe_file_name(F.col("name"))))).alias("name")).where("name <> ''")
+    q = names.withColumn("low", F.lower("name")).withColumn("k", F.xxhash64("scope", "low"))
+    n = notes.where("stem is not null").withColumn("stem_low", F.lower("stem"))
+    stems = n.select("scope", "stem_low").distinct().withColumn("tid", F.xxhash64("scope", "stem_low"))
+    parts = q.select(F.col("k").alias("qid"), "scope", F.col("low").alias("part")).distinct()
+    inside = within(parts, stems.select("tid", "scope", F.col("stem_low").alias("text"))).select(F.col("qid").alias("k"), "tid")
+    begins = parts.select(F.col("qid").alias("k"), "scope", F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.substr("part", F.lit(1), i))).alias("stem_low"))
+    begun = begins.join(stems, ["scope", "stem_low"]).select("k", "tid")
+    pairs = inside.union(begun).distinct().join(stems, "tid").select("k", "scope", "stem_low")
+    hits = q.join(pairs, ["k", "scope"]).join(n, ["scope", "stem_low"])
     match = (
-        F.when(F.col("stem") == strip(F.col("name")), 1).when(F.col("stem_low") == F.col("low"), 2)
+        F.when(F.col("stem") == F.col("name"), 1).when(F.col("stem_low") == F.col("low"), 2)
         .when(F.startswith(F.col("stem_low"), F.col("low")) | F.startswith(F.col("low"), F.col("stem_low")), 3)
         .when(F.contains(F.col("stem_low"), F.col("low")), 4)
     )
-    hits = pairs.withColumn("match", match).where("match is not null")
-    order = Window.partitionBy("qid").orderBy("match", "dir_rank", "stem", "path")
-    return hits.withColumn("n", F.row_number().over(order)).where("n = 1").select("qid", "path", "match")
+    hits = hits.withColumn("match", match).where("match is not null")
+    best = hits.groupBy("qid").agg(F.min(F.struct("match", "dir_rank", "stem", "path")).alias("b"))
+    return best.select("qid", "b.path", "b.match")
 
 
 def blocks(titles: DataFrame) -> DataFrame:
@@ -116,15 +143,15 @@ def blocks(titles: DataFrame) -> DataFrame:
     return titles.select("scope", "title").distinct().select("scope", "title", F.explode(words(F.col("title"))).alias("word")).where("length(word) > 2").groupBy("scope", "word").agg(F.count("*").alias("n"))
 
 
-def duplicate_titles(titles: DataFrame, ratio: float = 0.70, fuzzy: bool = True) -> DataFrame:
+def duplicate_titles(titles: DataFrame, ratio: float = 0.70, fuzzy: bool = True, block: tuple[int, int] = BLOCK) -> DataFrame:
     """Pairs ``(scope, note_a, note_b, similarity)`` of titles that share a word of 2 to 50 titles and whose words are
     contained in one another (the first with two words or more) or, with ``fuzzy``, whose sequence ratio reaches ``ratio``.
 
-    The bounds on a word's titles are part of the definition: words of more titles say nothing about sameness.
+    The bounds on a word's titles, ``block``, are part of the definition: words of more titles say nothing about sameness.
     """
     t = titles.select("scope", "title").where("title is not null").distinct().withColumn("ws", words(F.col("title")))
     flat = t.select("scope", "title", "ws", F.explode("ws").alias("word")).where("length(word) > 2")
-    useful = blocks(titles).where(F.col("n").between(*BLOCK)).select("scope", "word")
+    useful = blocks(titles).where(F.col("n").between(*block)).select("scope", "word")
     flat = flat.join(useful, ["scope", "word"])
     pairs = flat.select("scope", "word", F.col("title").alias("note_a"), F.col("ws").alias("wa")).join(flat.select("scope", "word", F.col("title").alias("note_b"), F.col("ws").alias("wb")), ["scope", "word"])
     pairs = pairs.where((F.col("note_a") < F.col("note_b")) & (F.lower("note_a") != F.lower("note_b"))).select("scope", "note_a", "note_b", "wa", "wb").distinct()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_tokens
+from ..functions.text import lexical_tokens, same_source
 from ..session import saved
 
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -70,35 +72,85 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None = 30, same: list[str] | None = None, threshold: float | None = None, skip_self: bool = True) -> DataFrame:
+def dense_topk(
+    vectors: DataFrame, queries: DataFrame, k: int | None = 30, same: list[str] | None = None, threshold: float | None = None, skip_self: bool = True, per_round: int = 20_000
+) -> DataFrame:
     """Cosine top ``k`` ``(qid, id, score, rank)`` of ``queries (qid, vector)`` among ``vectors (id, vector, ...)``.
 
-    Exact: a stated query set against all rows. Norms are taken once per side; the queries are broadcast if Spark finds
-    them small. ``same``: columns that must be equal on both sides (payload filter, an equality join). With ``skip_self`` a vector is not
-    its own neighbour. Null or zero vectors and other lengths score null and don't rank. ``k`` None: no bound, for a
-    search by ``threshold`` that returns every vector at or above it.
+    Exact: a stated query set against all rows, in rounds of about ``per_round`` queries. A round's queries are one matrix
+    that goes to the tasks; each batch of vectors is multiplied with it once and keeps the best ``k`` of each query, so
+    only those are shuffled. ``same``: columns that must be equal on both sides (payload filter). With ``skip_self`` a
+    vector is not its own neighbour. Null or zero vectors and other lengths don't rank; nor do null values of ``same``.
+    ``k`` None: no bound, for a search by ``threshold`` that returns every vector at or above it. Queries with equal
+    ``qid`` count as one query each.
     """
-    norm = lambda c: F.sqrt(dot(c, c))
-    q = queries.select("qid", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), *[F.col(c).alias(f"q_{c}") for c in same or []])
-    v = vectors.withColumn("vn", norm(F.col("vector")))
-    on = F.lit(True)
-    for c in same or []:
-        on = on & (F.col(c) == F.col(f"q_{c}"))
-    if skip_self:
-        on = on & (F.col("id") != F.col("qid"))
-    scored = v.join(q, on & (F.size("vector") == F.size("qv")), "inner")
-    scored = scored.select("qid", "id", F.round(dot(F.col("vector"), F.col("qv")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0)), 9).alias("score")).where("score is not null")
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
+    same = same or []
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"), *[F.col(c).cast("string").alias(f"q_{c}") for c in same]).where("vector is not null")
+    rounds = -(-asked.count() // per_round)
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    rows = vectors.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"), *[F.col(c).cast("string").alias(c) for c in same])
+    scored = None
+    for n in range(rounds):
+        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == n).toPandas()  # about per_round rows
+        found = rows.mapInArrow(_scores(part, k, same, threshold, skip_self), kinds)
+        scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        scored = vectors.sparkSession.createDataFrame([], kinds)
     out = scored.withColumn("rank", ranked(scored))
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def _scores(asked: pd.DataFrame, k: int | None, same: list[str], threshold: float | None, skip_self: bool) -> Callable:
+    """Scores of one round's queries for batches of vectors: per batch the best ``k`` of each query, ties by id."""
+    lengths = {}
+    for size, part in asked.groupby(asked["vector"].map(len)):
+        matrix = np.stack(part["vector"].to_list()).astype(np.float64)
+        norms = np.sqrt((matrix * matrix).sum(axis=1))
+        there = norms > 0
+        if size and there.any():
+            lengths[int(size)] = (part["qid"].to_numpy()[there], matrix[there] / norms[there, None], [part[f"q_{c}"].to_numpy()[there] for c in same])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                sizes = batch.column(1).value_lengths().to_numpy()
+                for size, (qids, matrix, wanted) in lengths.items():
+                    mine = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                    if not mine.num_rows:
+                        continue
+                    ids = mine.column(0).to_numpy(zero_copy_only=False)
+                    v = mine.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                    norms = np.sqrt((v * v).sum(axis=1))
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        v = v / norms[:, None]
+                    for low in range(0, len(qids), 1024):
+                        score = np.round(matrix[low : low + 1024] @ v.T, 9)
+                        ok = np.isfinite(score)
+                        if skip_self:
+                            ok &= qids[low : low + 1024, None] != ids[None, :]
+                        for column, want in zip(mine.columns[2:], wanted):
+                            have = column.to_numpy(zero_copy_only=False)
+                            ok &= (want[low : low + 1024, None] == have[None, :]) & np.array([x is not None for x in have])[None, :]
+                        if threshold is not None:
+                            ok &= score >= threshold
+                        score = np.where(ok, score, -np.inf)
+                        if k is not None and score.shape[1] > k:
+                            # everything that ties with the k-th stays, so that the rank decides among all of them
+                            ok &= score >= np.partition(score, -k, axis=1)[:, -k][:, None]
+                        q, n = np.nonzero(ok)
+                        yield pa.RecordBatch.from_arrays([pa.array(qids[low + q]), pa.array(ids[n], mine.column(0).type), pa.array(score[q, n])], names=["qid", "id", "score"])
+
+    return run
+
+
 def hashed_vectors(docs: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """A deterministic stand-in for an encoder: token counts hashed to ``size`` signed dimensions, unit length."""
-    slots = F.transform(lexical_tokens(F.col(text)), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("at"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    raw = docs.select(F.col(key).alias("id"), slots.alias("slots"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter("slots", lambda s: s["at"] == i), F.lit(0.0), lambda a, s: a + s["sign"]))
+    """A deterministic stand-in for an encoder: token counts hashed to ``size`` signed dimensions, unit length. No model: for tests and as the default where none is given."""
+    digest = lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int")
+    slots = F.transform(lexical_tokens(F.col(text)), lambda w: digest(w))
+    raw = docs.select(F.col(key).alias("id"), F.transform(slots, lambda h: F.pmod(F.floor(h / 2), F.lit(size)).cast("int") * 2 + h % 2).alias("slots"))
+    count = lambda i, sign: F.size(F.filter("slots", lambda s: s == i * 2 + sign))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (count(i, 0) - count(i, 1)).cast("double"))
     raw = raw.withColumn("v", cells).withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
     return raw.select("id", F.transform("v", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(F.lit(0.0)).cast("float")).alias("vector"))
 
@@ -126,6 +178,25 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = RRF_K, dense_weight: float
     return both.select("qid", "id", "rrf_score", F.coalesce("dense_score", F.lit(0.0)).alias("dense_score"), F.coalesce("sparse_score", F.lit(0.0)).alias("sparse_score"), "dense_rank", "sparse_rank", F.row_number().over(order).alias("rank"))
 
 
+def matched_hybrid(vectors: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+    """The older hybrid search: the dense list fused with the dense list of only those documents that have all words of the
+    question, the latter weighing 1.5. ``vectors (id, vector)``, ``queries (qid, vector, text)``, ``docs (id, text)``; twice ``k`` of each list.
+
+    A question without words has no second list. The documents of a question come from an equality join on words.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), F.lit(1)))
+    first = dense_topk(vectors, queries, 2 * k, skip_self=False)
+    asked = queries.select("qid", words(F.col("text")).alias("w")).where("size(w) > 0")
+    terms = asked.select("qid", F.size("w").alias("n"), F.explode("w").alias("word"))
+    has = docs.select("id", F.explode(words(F.col("text"))).alias("word")).join(terms, "word").groupBy("qid", "id").agg(F.count("*").alias("got"), F.first("n").alias("n")).where("got = n")
+    both = has.join(vectors.select("id", "vector"), "id").join(queries.select("qid", F.col("vector").alias("asked")), "qid")
+    norm = lambda c: F.sqrt(dot(F.col(c).cast("array<double>"), F.col(c).cast("array<double>")))
+    score = F.round(dot(F.col("vector"), F.col("asked")) / F.nullif(norm("vector") * norm("asked"), F.lit(0.0)), 9)
+    second = both.select("qid", "id", score.alias("score")).where("score is not null")
+    second = second.withColumn("rank", ranked(second)).where(F.col("rank") <= 2 * k)
+    return rrf(first, second, sparse_weight=1.5).where(F.col("rank") <= k)
+
+
 def temporal_boost(fused: DataFrame, when: Column, path: Column, date: Column, month: Column) -> DataFrame:
     """Raise results whose date or path contains the asked date (x 1.8) or month (x 1.4) and rank anew."""
     has = lambda x: F.coalesce(F.contains(when, x), F.lit(False)) | F.coalesce(F.contains(path, x), F.lit(False))
@@ -163,9 +234,24 @@ def overlap_score(question: Column, content: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, c)) / F.size(q)).otherwise(0.0)
 
 
-def recall_and_mrr(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: Recall@5, Recall@10, MRR and the number of queries, over ``results (qid, id, rank)`` and ``expected (qid, id)``; queries without a hit count 0."""
-    first = results.join(expected, ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("first"))
-    per = expected.select("qid").distinct().join(first, "qid", "left")
+def recall_and_mrr(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: number of queries, Recall@5, Recall@10 and MRR over ``results (qid, id, rank, hit)``; of ``queries (qid)`` those without a hit count 0."""
+    first = results.where("hit").groupBy("qid").agg(F.min("rank").alias("first"))
+    per = queries.select("qid").distinct().join(first, "qid", "left")
     hit = lambda n: F.round(F.avg(F.when(F.col("first") <= n, 1.0).otherwise(0.0)), 6)
     return per.agg(F.count("*").alias("n_queries"), hit(5).alias("recall_5"), hit(10).alias("recall_10"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def evaluated(results: DataFrame, expected: DataFrame, cited: int = 5) -> DataFrame:
+    """One row of :func:`recall_and_mrr` and ``citation_accuracy`` over ``results (qid, rank, path, title)``, a few a question, and ``expected (qid, source)``.
+
+    A result is right if its path answers for an expected source (:func:`..functions.text.same_source`); a question's
+    citations, the titles of its first ``cited`` results, are right if one of them does. Expected sources are joined by
+    question, so a question's pairs are its few results times its sources.
+    """
+    paired = results.join(expected.select("qid", "source"), "qid", "left")
+    right = lambda c: F.coalesce(F.max(F.coalesce(same_source(F.col(c), F.col("source")), F.lit(False))), F.lit(False))
+    judged = paired.groupBy("qid", "rank").agg(right("path").alias("hit"), right("title").alias("cited_hit"))
+    asked = expected.select("qid").distinct()
+    cites = asked.join(judged.where((F.col("rank") <= cited) & F.col("cited_hit")).select("qid").distinct().withColumn("ok", F.lit(1.0)), "qid", "left")
+    return recall_and_mrr(judged, asked).crossJoin(cites.agg(F.round(F.avg(F.coalesce("ok", F.lit(0.0))), 6).alias("citation_accuracy")))  # one row each

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import due_bucket, parse_task, task_id
+from .resolve import within
 
 ORDER = ["overdue", "today", "next2", "upcoming"]
 
@@ -24,11 +25,14 @@ def bucketed(tasks: DataFrame, today: Column) -> DataFrame:
 
 
 def pending_report(tasks: DataFrame, today: Column, by: str, buttons: int = 15) -> DataFrame:
-    """Per ``by`` and bucket the number of open tasks, and the first ``buttons`` of all buckets in their order (a top-k report)."""
-    rows = bucketed(tasks, today).withColumn("place", F.array_position(F.array(*map(F.lit, ORDER)), F.col("bucket")))
-    order = Window.partitionBy(by).orderBy("place", F.asc_nulls_last("due_date"), "path", "line_number")
-    rows = rows.withColumn("n", F.row_number().over(order))
-    return rows.groupBy(by, "bucket").agg(F.count("*").alias("n_tasks"), F.sum(F.when(F.col("n") <= buttons, 1).otherwise(0)).alias("n_buttons"))
+    """Per ``by`` and bucket the number of open tasks, and how many of them are among the first ``buttons`` of all buckets in their order.
+
+    A bucket gets what the counts of the buckets before it leave, so only counts meet in a window: four rows per ``by``.
+    """
+    counts = bucketed(tasks, today).groupBy(by, "bucket").agg(F.count("*").alias("n_tasks"))
+    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("bucket"))
+    before = F.coalesce(F.sum("n_tasks").over(Window.partitionBy(by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("n_buttons", F.greatest(F.lit(0), F.least(F.col("n_tasks"), F.lit(buttons) - before)))
 
 
 def briefing(tasks: DataFrame, today: Column) -> DataFrame:
@@ -40,19 +44,22 @@ def briefing(tasks: DataFrame, today: Column) -> DataFrame:
 def pick_task(tasks: DataFrame, requests: DataFrame) -> DataFrame:
     """``(rid, path, line_number)``: the open task that each of ``requests (rid, scope, id, pattern)`` means.
 
-    A request with an id means the task of that id or block id; else, with a pattern, the first whose text contains it
-    in any case. Order: daily notes newest first, then notes, then the rest, by name and line. ``tasks`` has ``scope``.
+    A request with an id means the task of that id or block id; else, with a pattern, the first whose line contains it
+    in any case; with neither, the first open task. Order: daily notes newest first, then notes, then the rest, by name
+    and line. ``tasks`` has ``scope``. Requests of a scope without such a task give no row.
     """
     rank = F.when(F.startswith("path", F.lit("Daily Notes/")), 0).when(F.startswith("path", F.lit("Notes/")), 1).otherwise(2)
-    open_ = tasks.where("not completed").withColumn("dir_rank", rank)
-    same = open_.select("*", F.explode(F.array_distinct(F.array("task_id", "block_id"))).alias("id")).where("id is not null")
-    by_id = requests.where("id is not null").select("rid", "scope", "id").join(same, ["scope", "id"])
-    by_text = requests.where("id is null and pattern is not null").select("rid", "scope", "pattern").join(open_, "scope").where(F.contains(F.lower("raw_line"), F.lower("pattern")))
-    kept = ["rid", "dir_rank", "path", "line_number"]
-    hits = by_id.select(*kept).unionByName(by_text.select(*kept))
-    newest = F.when(F.col("dir_rank") == 0, F.col("path"))
-    order = Window.partitionBy("rid").orderBy("dir_rank", F.desc_nulls_last(newest), "path", "line_number")
-    return hits.withColumn("n", F.row_number().over(order)).where("n = 1").select("rid", "path", "line_number")
+    newest = F.when(F.col("dir_rank") == 0, F.concat(F.transform(F.split(F.col("path"), ""), lambda c: -F.ascii(c)), F.array(F.lit(1))))
+    order = F.struct("dir_rank", newest.alias("newest"), "path", "line_number")  # falling names of daily notes: by their characters, negated
+    open_ = tasks.where("not completed").withColumn("dir_rank", rank).withColumn("o", order)
+    same = open_.select("scope", "o", F.explode(F.array_distinct(F.array("task_id", "block_id"))).alias("id")).where("id is not null")
+    by_id = requests.where("id is not null").select("rid", "scope", "id").join(same, ["scope", "id"]).select("rid", "o")
+    asked = requests.where("id is null and pattern is not null and pattern <> ''").select(F.col("rid").alias("qid"), "scope", F.lower("pattern").alias("part"))
+    lines = open_.select(F.struct("scope", "o").alias("tid"), "scope", F.lower("raw_line").alias("text"))
+    by_text = within(asked, lines).select(F.col("qid").alias("rid"), "tid.o")
+    first = open_.groupBy("scope").agg(F.min("o").alias("o"))
+    any_ = requests.where("id is null and (pattern is null or pattern = '')").select("rid", "scope").join(first, "scope").select("rid", "o")
+    return by_id.union(by_text).union(any_).groupBy("rid").agg(F.min("o").alias("o")).select("rid", "o.path", "o.line_number")
 
 
 def complete(text: Column, line_number: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -44,7 +44,38 @@ def loose_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf: str) -> DataFrame:
-    return _documents(spark, sf).select("doc_id", F.explode(t.tags(F.col("text"))).alias("tag"))
+    """Tags in the text of chunks."""
+    return _chunks(spark, sf).select("chunk_no", F.explode(t.tags(F.col("content"))).alias("tag"))
+
+
+def frontmatter_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags in the frontmatter of documents, in one form."""
+    fields = _documents(spark, sf).select("doc_id", yaml_fields(t.frontmatter_block(F.col("text"))).alias("fields"))
+    return fields.select("doc_id", F.explode(t.as_tags(t.listed(F.element_at("fields", "tags")))).alias("tag"))
+
+
+def tag_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags of notes as they would be file names and buttons."""
+    return table(spark, sf, "note_nodes").select("node_no", t.safe_file_name(F.col("title")).alias("file"), t.button_text(F.concat(F.lit("[["), F.col("rel_path"), F.lit("|"), F.col("title"), F.lit("]] note"))).alias("button"))
+
+
+def note_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as they are shown for reading: digests of the text without frontmatter and first heading."""
+    return _documents(spark, sf).select("doc_id", F.md5(t.view_text(F.col("text"))).alias("digest"))
+
+
+def atomic_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of the notes written from the entries that asked for one of their own."""
+    e = _entries(spark, sf).where("atomic_note_title is not null")
+    note = t.atomic_note(F.col("atomic_note_title"), F.coalesce("atomic_note_content", F.lit("")), F.coalesce("extracted_tags", F.array().cast("array<string>")), F.col("entry_date"), F.col("entry_date"))
+    return e.select("entry_no", t.safe_file_name(F.col("atomic_note_title")).alias("file"), F.md5(note).alias("digest"))
+
+
+def model_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents wrapped as a model's answer and taken out again; chatter is told from content."""
+    c = F.coalesce(F.col("text"), F.lit(""))
+    wrapped = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(c.alias("response")))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```json\n"), c, F.lit("\n```"))).otherwise(c)
+    return _documents(spark, sf).where("text is null or not text like '%`%'").select("doc_id", F.md5(t.payload_of(wrapped)).alias("digest"), F.coalesce(t.is_chatter(c), F.lit(False)).alias("chatter"))
 
 
 def dataview_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,21 +140,31 @@ def section_headers(spark: SparkSession, sf: str) -> DataFrame:
     return _entries(spark, sf).groupBy(t.section_header(F.col("category")).alias("header")).agg(F.count("*").alias("n_entries"))
 
 
+def _line() -> Column:
+    return t.entry_line(F.col("content"), F.col("timestamp"), F.col("category"), F.col("due_date"), F.col("dataview_fields"), F.col("block_id"), F.col("callout_type"), F.col("entry_date"))
+
+
 def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Entries as the lines of their daily note."""
-    e = _entries(spark, sf)
-    line = t.entry_line(F.col("content"), F.col("timestamp"), F.col("category"), F.col("due_date"), F.col("dataview_fields"), F.col("block_id"), F.col("callout_type"), F.col("entry_date"))
-    return e.select("entry_no", t.section_header(F.col("category")).alias("header"), line.alias("line"))
+    return _entries(spark, sf).select("entry_no", t.section_header(F.col("category")).alias("header"), _line().alias("line"))
 
 
 def daily_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Daily notes put together from their entries: per vault and date the lines of each section, in order of arrival."""
-    lines = entry_lines(spark, sf).join(_entries(spark, sf).select("entry_no", "vault_id", "entry_date"), "entry_no").where("line is not null")
-    parts = lines.groupBy("vault_id", "entry_date", "header").agg(F.array_sort(F.collect_list(F.struct("entry_no", "line"))).alias("x"))
+    e = _entries(spark, sf)
+    parts = e.select("vault_id", "entry_date", "entry_no", t.section_header(F.col("category")).alias("header"), _line().alias("line")).where("line is not null")
+    parts = parts.groupBy("vault_id", "entry_date", "header").agg(F.array_sort(F.collect_list(F.struct("entry_no", "line"))).alias("x"))
     section = F.concat(F.col("header"), F.lit("\n"), F.array_join("x.line", "\n"))
     return parts.groupBy("vault_id", "entry_date").agg(F.array_join(F.array_sort(F.collect_list(section)), "\n\n").alias("body"), F.sum(F.size("x")).alias("n_entries"))
 
 
+def notes_with_entry(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a line put under a section of the daily note: digests of the new texts."""
+    d = _documents(spark, sf).where("text is not null")
+    header = F.when(F.col("doc_id") % 2 == 0, F.lit(t.LOG)).otherwise(F.coalesce(F.nullif(F.regexp_extract("text", r"(?m)^(## .*\S)$", 1), F.lit("")), F.lit(t.TASKS)))
+    return d.select("doc_id", F.md5(tasks.insert_under(F.col("text"), header, F.concat(F.lit("- filed "), F.col("doc_id").cast("string")))).alias("digest"))
+
+
 def captured_items(spark: SparkSession, sf: str) -> DataFrame:
     """Deliveries as the Markdown text each would be filed with."""
     u = table(spark, sf, "telegram_updates").where("update_kind = 'message'")
@@ -214,10 +255,19 @@ def dense_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.dense_topk(_vectors(spark, sf), _asked_vectors(spark, sf), None, threshold=0.3)
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth topic as a question, with the vector of its words."""
+    q = _questions(spark, sf)
+    return q.join(retrieval.hashed_vectors(q, "qid", "text").withColumnRenamed("id", "qid"), "qid")
+
+
+def _text_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.hashed_vectors(_documents(spark, sf), "doc_id", "text")
+
+
 def _hybrid(spark: SparkSession, sf: str, k: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Dense and lexical lists of the same questions: the topic's words, and the vector of the same number."""
-    asked = _vectors(spark, sf).where("id % 20 = 0 and id between 1 and 320").select(F.col("id").alias("qid"), "vector")
-    return retrieval.dense_topk(_vectors(spark, sf), asked, k), retrieval.bm25_topk(_index(spark, sf), _questions(spark, sf), k)
+    """Dense and lexical lists of the same questions over the same documents."""
+    return retrieval.dense_topk(_text_vectors(spark, sf), _asked(spark, sf), k, skip_self=False), retrieval.bm25_topk(_index(spark, sf), _questions(spark, sf), k)
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,37 +275,60 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rrf_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    """The older hybrid search: the lexical side weighs 1.5."""
+    """Dense and lexical lists, the lexical side weighing 1.5."""
     return retrieval.rrf(*_hybrid(spark, sf), sparse_weight=1.5).where("rank <= 10").drop("dense_rank", "sparse_rank")
 
 
+def matched_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The older hybrid search: dense, fused with dense among the documents that have all words of the question."""
+    docs = _documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return retrieval.matched_hybrid(_text_vectors(spark, sf), _asked(spark, sf), docs).select("qid", "id", "rrf_score", "rank")
+
+
+def _boosted(spark: SparkSession, sf: str) -> DataFrame:
+    fused = retrieval.rrf(*_hybrid(spark, sf)).join(_documents(spark, sf).select(F.col("doc_id").alias("id"), "created_at", "file_path"), "id")
+    return retrieval.temporal_boost(fused, F.col("created_at").cast("string"), F.col("file_path"), F.lit(None).cast("string"), F.lit("2025-03"))
+
+
 def temporal_boost(spark: SparkSession, sf: str) -> DataFrame:
     """Fused results with those of one month raised."""
-    fused = retrieval.rrf(*_hybrid(spark, sf)).join(_documents(spark, sf).select(F.col("doc_id").alias("id"), "created_at", "file_path"), "id")
-    out = retrieval.temporal_boost(fused, F.col("created_at").cast("string"), F.col("file_path"), F.lit(None).cast("string"), F.lit("2025-03"))
-    return out.select("qid", "id", "boosted", "rank")
+    return _boosted(spark, sf).select("qid", "id", "boosted", "rank")
+
+
+def _document_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, vault, title)``: a document's title is the first note that it links to, else its file's name."""
+    name = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.md$", "")
+    return _documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("vault_id").alias("vault"), F.coalesce(F.get(t.wikilinks(F.col("text")), F.lit(0)), name).alias("title"))
 
 
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole pipeline: fuse, boost, append neighbours (documents of the same vault day), cut, rerank, keep 5."""
+    """The whole pipeline: fuse, boost, append neighbours in the graph of notes, cut, rerank, keep 5."""
     docs = _documents(spark, sf)
-    boosted = temporal_boost(spark, sf).select("qid", "id", F.col("boosted").alias("score"), "rank")
-    titles = docs.select(F.col("doc_id").alias("id"), F.concat_ws("/", F.col("vault_id").cast("string"), F.date_format("created_at", "yyyy-MM-dd")).alias("title")).where("title is not null")
-    days = titles.select("title").distinct()
-    next_day = F.concat_ws("/", F.substring_index("title", "/", 1), F.date_add(F.substring_index("title", "/", -1).cast("date"), 1).cast("string"))
-    near = days.select("title", next_day.alias("neighbour"))
+    boosted = _boosted(spark, sf).select("qid", "id", F.col("boosted").alias("score"), "rank")
+    key = lambda scope, title: F.concat_ws("/", F.col(scope).cast("string"), F.col(title))
+    titles = _document_titles(spark, sf).select("id", key("vault", "title").alias("title"))
+    near = graph.neighbours(graph.edges(_nodes(spark, sf))).select(key("scope", "title").alias("title"), key("scope", "neighbour").alias("neighbour"))
     pool = retrieval.expand_with_neighbours(boosted, titles, near).where("rank <= 10")
     pool = pool.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(_questions(spark, sf).withColumnRenamed("text", "question"), "qid")
     return retrieval.rerank(pool, F.round(retrieval.overlap_score(F.col("question"), F.col("text")), 9)).select("qid", "id", "rerank_score", "rank")
 
 
 def eval_recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    """Retrieval quality of the dense search: a vector of the same label is a right answer."""
-    found = dense_topk(spark, sf)
+    """Retrieval quality of the dense search: a vector of the same label is a right answer. Queries whose label no other vector has don't count."""
     label = _vectors(spark, sf).select("id", "label")
-    asked = _asked_vectors(spark, sf).select("qid", F.col("label").alias("asked"))
-    expected = label.join(asked, label["label"] == asked["asked"]).where("id <> qid").select("qid", "id")
-    return retrieval.recall_and_mrr(found, expected)
+    sizes = label.groupBy("label").agg(F.count("*").alias("n"))
+    asked = _asked_vectors(spark, sf).select("qid", "label").join(sizes.where("n > 1"), "label").select("qid", F.col("label").alias("wanted"))
+    found = dense_topk(spark, sf).join(asked, "qid").join(label, "id")
+    return retrieval.recall_and_mrr(found.select("qid", "id", "rank", (F.col("label") == F.col("wanted")).alias("hit")), asked)
+
+
+def eval_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall, MRR and citation accuracy of the lexical search: right are the files of documents that name the topic as it is written."""
+    docs = _documents(spark, sf)
+    best = retrieval.bm25_topk(_index(spark, sf), _questions(spark, sf), 10).join(docs.select(F.col("doc_id").alias("id"), F.col("file_path").alias("path")), "id")
+    results = best.select("qid", "rank", "path", F.concat(F.lit("[["), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""), F.lit("]]")).alias("title"))
+    named = resolve.within(_questions(spark, sf).select("qid", F.lit(0).alias("scope"), F.lower("text").alias("part")), docs.where("text is not null").select(F.col("file_path").alias("tid"), F.lit(0).alias("scope"), F.lower("text").alias("text")), size=6)
+    return retrieval.evaluated(results, named.select("qid", F.col("tid").alias("source")))
 
 
 def qa_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,22 +393,34 @@ def tasks_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 def tasks_report(spark: SparkSession, sf: str) -> DataFrame:
     """Open tasks per vault and bucket, and how many of them get a button."""
-    scoped = _tasks(spark, sf).join(_entries(spark, sf).select("entry_no", "vault_id"), "entry_no").drop("entry_no").withColumnRenamed("vault_id", "vault_id")
-    return tasks.pending_report(scoped, today(), "vault_id")
+    path = F.concat(F.lit("Daily Notes/"), F.col("entry_date"), F.lit(".md"))
+    return tasks.pending_report(tasks.extract_tasks(_entries(spark, sf), "vault_id", path, F.col("content")), today(), "vault_id")
 
 
 def tasks_briefing(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.briefing(_tasks(spark, sf), today()).select("entry_no", "line_number", "section")
 
 
+def _scoped_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("Daily Notes/"), F.col("entry_date"), F.lit(".md"))
+    keyed = _entries(spark, sf).withColumn("key", F.struct("entry_no", F.col("vault_id").alias("scope")))
+    return tasks.extract_tasks(keyed, "key", path, F.col("content")).select("key.*", "path", "line_number", "raw_line", "completed", "task_text", "task_id", "block_id")
+
+
 def mark_task_pick(spark: SparkSession, sf: str) -> DataFrame:
     """The task each "done" button means: its note, line and the line's new text."""
-    e = _entries(spark, sf)
-    scoped = _tasks(spark, sf).join(e.select("entry_no", F.col("vault_id").alias("scope")), "entry_no")
-    asked = table(spark, sf, "telegram_updates").where("callback_data like 'done:%'").select(F.col("delivery_id").alias("rid"), F.col("vault_id").alias("scope"), F.substring("callback_data", 6, 40).alias("id"), F.lit(None).cast("string").alias("pattern"))
-    own = scoped.where("not completed").select(F.col("entry_no").alias("rid"), "scope", F.col("task_id").alias("id"), F.lit(None).cast("string").alias("pattern"))
-    picked = tasks.pick_task(scoped, asked.unionByName(own))
-    return picked
+    scoped, none = _scoped_tasks(spark, sf), F.lit(None).cast("string")
+    asked = table(spark, sf, "telegram_updates").where("callback_data like 'done:%'").select(F.col("delivery_id").alias("rid"), F.col("vault_id").alias("scope"), F.substring("callback_data", 6, 40).alias("id"), none.alias("pattern"))
+    own = scoped.where("not completed").select(F.col("entry_no").alias("rid"), "scope", F.col("task_id").alias("id"), none.alias("pattern"))
+    return tasks.pick_task(scoped, asked.unionByName(own))
+
+
+def mark_task_by_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The task that two words of it mean, or any open one where nothing is named."""
+    scoped = _scoped_tasks(spark, sf)
+    words = F.regexp_extract("task_text", r"(\S+ \S+)$", 1)
+    asked = scoped.where("not completed").select(F.col("entry_no").alias("rid"), "scope", F.lit(None).cast("string").alias("id"), F.when(F.col("entry_no") % 5 != 0, F.upper(words)).alias("pattern"))
+    return tasks.pick_task(scoped, asked)
 
 
 # --- index upkeep -----------------------------------------------------------------------------------------------------
@@ -363,10 +448,10 @@ def registry_after(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The chunk table with one row per id, that of the latest index run."""
-    c = _chunks(spark, sf)
-    last = Window.partitionBy("id").orderBy(F.desc("indexed_at"), F.desc("chunk_no"))
-    return c.withColumn("n", F.row_number().over(last)).where("n = 1").select("id", "chunk_no")
+    """The chunk table as its first index run left it, with the rows that later runs wrote again in their place."""
+    run = F.struct("indexed_at", "chunk_no")
+    c = _chunks(spark, sf).groupBy("id").agg(F.min_by("chunk_no", run).alias("first"), F.max_by("chunk_no", run).alias("last"))
+    return registry.upsert(c.select("id", F.col("first").alias("chunk_no")), c.where("first <> last").select("id", F.col("last").alias("chunk_no")), "id")
 
 
 # --- resolution -------------------------------------------------------------------------------------------------------
@@ -397,11 +482,12 @@ def grounded_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def note_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """The note that each view button or alias means."""
+    """The note that each name means: of every twentieth note the title in another case, its aliases, a part of the title and the title with more behind it."""
     n = table(spark, sf, "note_nodes").where("title is not null")
     rank = F.when(F.startswith("rel_path", F.lit("Notes/")), 0).when(F.startswith("rel_path", F.lit("Daily Notes/")), 1).otherwise(2)
     notes = n.select(F.col("vault_id").alias("scope"), F.col("rel_path").alias("path"), F.col("title").alias("stem"), rank.alias("dir_rank"))
-    asked = n.where("node_no % 20 = 0").select(F.col("node_no").alias("qid"), F.col("vault_id").alias("scope"), F.lower("title").alias("name"))
+    names = F.concat(F.array(F.lower("title"), F.substring("title", 3, 7), F.concat("title", F.lit(" v2"))), F.coalesce("aliases", F.array().cast("array<string>")))
+    asked = n.where("node_no % 20 = 0").select("node_no", F.col("vault_id").alias("scope"), F.posexplode(names).alias("pos", "name")).select((F.col("node_no") * 100 + F.col("pos")).alias("qid"), "scope", "name")
     return resolve.look_up(asked, notes)
 
 
@@ -441,15 +527,71 @@ def dql_tagged(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "note_nodes").select("vault_id", "node_no", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("vault_id", "tag").agg(F.count("*").alias("n_notes"))
 
 
+def dql_recent_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """TABLE created, tags FROM "Notes" SORT file.ctime DESC LIMIT 12, for each vault (a top-k report)."""
+    n = table(spark, sf, "note_nodes").where("rel_path like 'Notes/%'")
+    return n.withColumn("n", F.row_number().over(Window.partitionBy("vault_id").orderBy(F.desc("indexed_at"), "node_no"))).where("n <= 12").select("vault_id", "n", "node_no", "created", F.array_join("tags", ",").alias("tags"))
+
+
+def _tagged_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return _entries(spark, sf).where(F.array_contains("extracted_tags", "#log") | F.array_contains("extracted_tags", "#field-notes"))
+
+
+def dql_tagged_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """TASK FROM #tag WHERE file.name = this.file.name AND !completed: open tasks of the tagged entries of each daily note."""
+    path = F.concat(F.lit("Daily Notes/"), F.col("entry_date"), F.lit(".md"))
+    return tasks.extract_tasks(_tagged_entries(spark, sf), "entry_no", path, F.col("content")).where("not completed").select("entry_no", "daily_date", "line_number", "task_text")
+
+
+def dql_backlinks(spark: SparkSession, sf: str) -> DataFrame:
+    """LIST FROM [[#]]: the notes that link to each note."""
+    return graph_edges(spark, sf).select("scope", F.col("dst").alias("title"), F.col("src").alias("linked_from"))
+
+
+def dql_entries_by_time(spark: SparkSession, sf: str) -> DataFrame:
+    """TABLE timestamp, category, content FROM #tag SORT timestamp ASC: tagged entries with their place in their daily note, unknown times last."""
+    place = F.row_number().over(Window.partitionBy("vault_id", "entry_date").orderBy(F.asc_nulls_last("timestamp"), "entry_no"))
+    return _tagged_entries(spark, sf).select("vault_id", "entry_date", "entry_no", "timestamp", "category", "content", place.alias("place"))
+
+
+def dql_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    """TASK WHERE !due OR due > today + 2 SORT file.mtime DESC: upcoming tasks, in order of their note's last change within each vault."""
+    path = F.concat(F.lit("Daily Notes/"), F.col("entry_date"), F.lit(".md"))
+    keyed = _entries(spark, sf).withColumn("key", F.struct("entry_no", "vault_id", "received_at"))
+    open_ = tasks.bucketed(tasks.extract_tasks(keyed, "key", path, F.col("content")), today()).where("bucket = 'upcoming'")
+    return open_.select("key.entry_no", "key.vault_id", "line_number", "due_date", F.date_format("key.received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("changed")).orderBy("vault_id", F.desc("changed"), "entry_no", "line_number")
+
+
+def recent_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    """The 30 documents changed last with the beginning of each (a top-k report)."""
+    d = _documents(spark, sf).select(F.col("file_path").alias("path"), F.col("doc_id").cast("string").alias("title"), "text", F.col("created_at").alias("modified"))
+    return ingest.recent_excerpts(d)
+
+
+def node_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as nodes of the graph: numbers of their tags, headings, block ids and links, and their aliases."""
+    n = graph.parse_nodes(_documents(spark, sf).select(F.col("doc_id").alias("path"), F.col("file_path").alias("title"), "text"))
+    return n.select(F.col("path").alias("doc_id"), F.array_join("tags", ",").alias("tags"), F.size("headings").alias("n_headings"), F.size("block_ids").alias("n_blocks"), F.size("links").alias("n_links"), F.size("aliases").alias("n_aliases"))
+
+
+def graph_update(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph after every third note was left out and then indexed again."""
+    nodes = _nodes(spark, sf).where("title is not null")
+    changed = nodes.where("order % 3 = 0").select("scope", "title").distinct()
+    before = graph.edges(nodes.join(changed, ["scope", "title"], "left_anti"))
+    return graph.update_notes(before, nodes, changed)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        wikilinks, loose_links, tags, dataview_fields, entry_fields, block_ids, headings, frontmatter, frontmatter_yaml, term_stems, uuid5_ids, temporal_intent,
+        wikilinks, loose_links, tags, frontmatter_tags, tag_names, note_bodies, atomic_notes, model_answers, notes_with_entry, dataview_fields, entry_fields, block_ids, headings, frontmatter, frontmatter_yaml, term_stems, uuid5_ids, temporal_intent,
         task_sentences, routes, section_headers, entry_lines, daily_notes, captured_items, filed_entries, message_split, chat_rendering, citations, chunk_exact, sections_native, bm25_topk,
-        bm25_term_stats, bm25_filtered, dense_topk, dense_filtered, dense_threshold, rrf_fuse, rrf_weighted, temporal_boost, hybrid_topk, eval_recall_mrr, qa_sources,
+        bm25_term_stats, bm25_filtered, dense_topk, dense_filtered, dense_threshold, rrf_fuse, rrf_weighted, matched_hybrid, temporal_boost, hybrid_topk, eval_recall_mrr, eval_sources, qa_sources, graph_update, node_fields,
         graph_edges, graph_backlinks, graph_neighbors_1hop, graph_neighbors_2hop, graph_expand, tasks_parse, tasks_all, tasks_buckets, tasks_report, tasks_briefing,
-        mark_task_pick, registry_diff, registry_stats, registry_after, upsert_chunks, resolve_exact, resolve_fuzzy, grounded_links, note_lookup, dup_blocks,
-        dup_subset_pairs, dup_fuzzy_pairs, recent_notes, dql_open_tasks, dql_recent_daily, dql_tagged,
+        mark_task_pick, mark_task_by_text, registry_diff, registry_stats, registry_after, upsert_chunks, resolve_exact, resolve_fuzzy, grounded_links, note_lookup, dup_blocks,
+        dup_subset_pairs, dup_fuzzy_pairs, recent_notes, recent_excerpts, dql_open_tasks, dql_recent_daily, dql_tagged, dql_recent_notes, dql_tagged_tasks, dql_backlinks,
+        dql_entries_by_time, dql_backlog,
     )
 }
 SQL = notes_sql.SQL

@@ -54,6 +54,14 @@ def checked_vectors(vectors: DataFrame, size: int, column: str = "vector") -> Da
     return vectors.withColumn(column, F.when(wrong, F.raise_error(F.concat(F.lit(f"vector length differs from {size}: "), F.size(column).cast("string"))).cast("array<float>")).otherwise(F.col(column)))
 
 
+def open_vectors(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """The vector table kept at ``path`` (:func:`..operators.registry.save_table`), empty if there is none; a vector of another length fails the query."""
+    from ..operators.registry import open_table
+
+    kept = open_table(spark, path)
+    return spark.createDataFrame([], "id string, vector array<float>, content string") if kept is None else checked_vectors(kept, size)
+
+
 def vector_points(chunks: DataFrame, key: str, vector: str, content: str) -> DataFrame:
     """Rows for a vector table: those with a vector, with UUID keys (others become name-based ones)."""
     from ..functions.text import uuid5
