@@ -98,12 +98,13 @@ def within(queries: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
     its scope have is joined, and ``contains`` decides. Parts shorter than ``size`` are joined by themselves with the runs of
     their own length. Empty parts are in nothing.
     """
-    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n) if isinstance(n, int) else n)))
+    # all runs of n characters in one pass: a look-ahead takes no character
+    runs = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)))
     q = queries.where("part is not null and part <> ''").select("qid", "scope", "part", F.least(F.lit(size), F.length("part")).alias("n"))
     lengths = [r[0] for r in q.select("n").distinct().collect()]  # 1 to size
     if not lengths:
         return queries.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, tid {texts.schema['tid'].dataType.simpleString()}")
-    t = texts.where("text is not null").select("tid", "scope", "text", F.explode(F.flatten(F.array(*[runs(F.col("text"), n) for n in lengths]))).alias("run"))
+    t = texts.where("text is not null").select("tid", "scope", "text", F.explode(F.flatten(F.array(*[runs(F.col("text"), F.lit(n)) for n in lengths]))).alias("run"))
     t = t.distinct()
     asked = q.select("qid", "scope", "part", F.explode(runs(F.col("part"), F.col("n"))).alias("run"))
     common = t.join(asked.select("scope", "run").distinct(), ["scope", "run"], "left_semi").groupBy("scope", "run").agg(F.count("*").alias("texts"))
@@ -111,6 +112,19 @@ def within(queries: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
     return rarest.join(t, ["scope", "run"]).where(F.contains("text", F.col("part"))).select("qid", "tid")
 
 
+def mentions(texts: DataFrame, parts: DataFrame, per_round: int = 1000) -> DataFrame:
+    """``(qid, tid)``: which of the long ``texts (tid, text)`` contain ``parts (qid, part)``, a stated set taken in rounds of about ``per_round``; each text is read once a round."""
+    parts = parts.where("part is not null and part <> ''")
+    rounds = max(1, -(-parts.count() // per_round))
+    found = None
+    for n in range(rounds):
+        asked = parts.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == n).collect()  # about per_round rows
+        known = F.array(*[F.struct(F.lit(r["qid"]).alias("qid"), F.lit(r["part"]).alias("part")) for r in asked]) if asked else F.lit(None).cast("array<struct<qid:long,part:string>>")
+        hits = texts.select("tid", F.explode(F.filter(known, lambda k: F.contains("text", k["part"]))).alias("k")).select("k.qid", "tid")
+        found = hits if found is None else found.union(hits)
+    return found
+
+
 def look_up(queries: DataFrame, notes: DataFrame) -> DataFrame:
     """``(qid, path, match)``: the note meant by each of ``queries (qid, scope, name)`` among ``notes (scope, path, stem, dir_rank)``:
     1 the exact stem, 2 the same in any case, 3 one a prefix of the other, 4 the query within the stem; then the folder's rank and the name.

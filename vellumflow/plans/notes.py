@@ -327,7 +327,7 @@ def eval_sources(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
     best = retrieval.bm25_topk(_index(spark, sf), _questions(spark, sf), 10).join(docs.select(F.col("doc_id").alias("id"), F.col("file_path").alias("path")), "id")
     results = best.select("qid", "rank", "path", F.concat(F.lit("[["), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""), F.lit("]]")).alias("title"))
-    named = resolve.within(_questions(spark, sf).select("qid", F.lit(0).alias("scope"), F.lower("text").alias("part")), docs.where("text is not null").select(F.col("file_path").alias("tid"), F.lit(0).alias("scope"), F.lower("text").alias("text")), size=6)
+    named = resolve.mentions(docs.select(F.col("file_path").alias("tid"), F.lower("text").alias("text")), _questions(spark, sf).select("qid", F.lower("text").alias("part")))
     return retrieval.evaluated(results, named.select("qid", F.col("tid").alias("source")))
 
 

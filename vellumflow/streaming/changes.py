@@ -60,6 +60,25 @@ def debounce_timers(events: DataFrame, gap_ms: int = 2000) -> DataFrame:
     return events.groupBy("path").applyInPandasWithState(step, DEBOUNCED, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def run_to_end(events: DataFrame, beats: str, step: Callable[[DataFrame], DataFrame], out: str, state: str, late: str, last: object) -> None:
+    """Run ``step`` over the stream ``events`` until all is read, then flush what its state still holds.
+
+    ``beats`` is an empty folder that stands beside the source as a second one. When the events are read, one row without a
+    path and with the time ``last`` is written there and the query runs on from its checkpoint: the watermark passes
+    ``last`` and closes every burst before it. Rows without a path are the caller's to drop. Meant for the end of a
+    stream: later events would be late.
+    """
+    spark = events.sparkSession
+    spark.createDataFrame([], events.schema).write.mode("append").parquet(beats)
+    beat = spark.readStream.schema(events.schema).parquet(beats)
+    for flush in (False, True):
+        if flush:
+            time = F.lit(last).cast("timestamp")
+            spark.range(1).select(*[(time if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).write.mode("append").parquet(beats)
+        both = step(events.unionByName(beat).withWatermark("ts", late))
+        both.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def index_changes(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str):
     """Start a stream that hands each micro-batch's ``(updated paths, deleted paths)`` to ``apply``; deletes come first.
 
