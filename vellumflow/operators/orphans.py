@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 FOREVER = "9999-12-31 23:59:59"
 
 
@@ -29,23 +31,24 @@ def link_name(c: Column) -> Column:
     return F.lower(strip(c))
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, hot_share: int = 500, salts: int = 32) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, per_task: int = 500_000) -> DataFrame:
     """Orphans among ``refs (scope, name, at, ...)`` given ``parents (scope, name, since, until)``.
 
     A parent answers references of its scope and name with ``since <= at < until`` (null ``until``: still there).
     Result: the columns of ``refs`` other than ``name`` and ``scope`` plus ``why``: ``missing`` (no parent ever),
     ``deleted`` (all that had begun had ended) or ``late`` (all began later). A null ``at`` is answered by no parent; a
     null ``scope`` matches nothing; a parent without ``since`` is ignored. Repeated references stay repeated rows.
-    A name with more than 1/``hot_share`` of the references is salted and its parents are copied to each salt; at most
-    ``hot_share`` such names exist, so their list is broadcast. Its parents are first reduced to one row per start.
+    The references of a name with more than ``per_task`` of them are cut by hash into parts of about so many, and its
+    parents, first reduced to one row per start, are copied to each part. ``per_task`` is raised where more than a million
+    names would be such, so their list is broadcast.
     """
-    total = refs.count()
-    hot = refs.groupBy("scope", "name").count().where(F.col("count") > total // hot_share + 1000).select("scope", "name", F.lit(salts).alias("salts"))
-    hot = F.broadcast(hot)
+    limit = max(per_task, refs.count() // 1_000_000)
+    hot = refs.groupBy("scope", "name").count().where(F.col("count") > limit).select("scope", "name", F.ceil(F.col("count") / limit).cast("int").alias("salts"))
+    hot = F.broadcast(saved(hot, "hot_names"))
     n = F.coalesce("salts", F.lit(1))
     payload = F.struct(*[F.col(f"`{c}`") for c in refs.columns if c not in ("scope", "name")])
     r = refs.join(hot, ["scope", "name"], "left").select(
-        "scope", "name", F.pmod(F.xxhash64(F.rand(7)), n).cast("int").alias("salt"), F.col("at").cast("timestamp").alias("t"),
+        "scope", "name", F.pmod(F.xxhash64("at", *[F.col(f"`{c}`") for c in refs.columns if c not in ("scope", "name", "at")]), n).cast("int").alias("salt"), F.col("at").cast("timestamp").alias("t"),
         F.lit(1).alias("side"), F.lit(None).cast("timestamp").alias("until"), payload.alias("row"),
     )
     p = (
