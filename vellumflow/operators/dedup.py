@@ -1,24 +1,30 @@
 """Messages delivered more than once: an identifier index of sorted arrays, searched batch by batch.
 
-The index is a table of immutable *runs*. A run holds, per hash prefix, the identifiers of some batches as arrays
-sorted by hash, with the lowest delivery that brought each. A batch is first reduced to its distinct identifiers
-(partial aggregation before the shuffle, so one hot identifier is one row per task), co-grouped with the runs by
-prefix, looked up by binary search, and only its novel identifiers become a new run. Runs are merged every
-``merge_every`` batches. Identifiers that were ever delivered together (an update number and a message number in one
-row) are joined into classes by label contraction over the links between their owners, as distributed joins.
+The index is a folder of immutable *runs*. A run holds, per hash prefix, the identifiers of some batches as arrays sorted
+by hash, with the lowest delivery that brought each; its files are bucketed by prefix, so a search shuffles the batch and
+never the index. A batch is first reduced to its distinct identifiers (partial aggregation before the shuffle, so one hot
+identifier is one row per task), packed per prefix, looked up in each run by binary search, and only its novel identifiers
+become a new run. Runs of one level are merged into one of the next when there are ``fan`` of them, so an identifier is
+written anew once per level, not once per batch. Identifiers that were ever delivered together (an update number and a
+message number in one row) are joined into classes by label contraction over the links between their owners, as
+distributed joins.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import saved, working_path
 
-RUN_SCHEMA = "run int, prefix int, hashes array<long>, kinds array<byte>, scopes array<long>, ids array<long>, owners array<long>"
-OWNED = "kind byte, scope long, id long, owner long, novel boolean"
+KEY = ["kind", "scope", "id"]
+RUN_SCHEMA = "prefix int, hashes array<long>, kinds array<tinyint>, scopes array<long>, ids array<long>, owners array<long>"
+FOUND = "kind byte, scope long, id long, owner long"
 
 
 def identifiers(updates: DataFrame) -> DataFrame:
@@ -45,19 +51,25 @@ def identifiers(updates: DataFrame) -> DataFrame:
     )
 
 
-def _hashed(df: DataFrame, prefixes: int) -> DataFrame:
-    h = F.xxhash64("kind", "scope", "id")
-    return df.withColumn("h", h).withColumn("prefix", F.pmod(h, F.lit(prefixes)).cast("int"))
+def _prefix(h: Column, bits: int) -> Column:
+    """The upper ``bits`` of a hash."""
+    return F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
+
 
+def _packed(df: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """``df (kind, scope, id, owner)`` as one row per prefix with arrays sorted by hash."""
+    hashed = df.select(*KEY, "owner", F.xxhash64(*KEY).alias("h")).withColumn("prefix", _prefix(F.col("h"), bits)).repartition(buckets, "prefix")
+    grouped = hashed.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("h", *KEY, "owner"))).alias("a"))
+    return grouped.select("prefix", F.col("a.h").alias("hashes"), F.col("a.kind").alias("kinds"), F.col("a.scope").alias("scopes"), F.col("a.id").alias("ids"), F.col("a.owner").alias("owners"))
 
-def _find(run: pd.Series, want: pd.DataFrame) -> np.ndarray:
-    """Owners in one run of the wanted identifiers (-1: not there); rows of equal hash are told apart by the identifier itself."""
-    hashes = np.asarray(run["hashes"])
-    owners, kinds, scopes, ids = (np.asarray(run[c]) for c in ("owners", "kinds", "scopes", "ids"))
-    at = np.searchsorted(hashes, want["h"].to_numpy())
-    found = np.full(len(want), -1, dtype=np.int64)
+
+def _find(run: list[np.ndarray], want: list[np.ndarray]) -> np.ndarray:
+    """Owners in one run of the wanted identifiers (-1: not there), both ``(hashes, kinds, scopes, ids, owners)``; rows of equal hash are told apart by the identifier itself."""
+    hashes, kinds, scopes, ids, owners = run
+    h, k, s, i, _ = want
+    at = np.searchsorted(hashes, h)
+    found = np.full(len(h), -1, dtype=np.int64)
     open_ = np.flatnonzero(at < len(hashes))
-    k, s, i, h = (want[c].to_numpy() for c in ("kind", "scope", "id", "h"))
     while len(open_):
         pos = at[open_]
         same_hash = hashes[pos] == h[open_]
@@ -70,91 +82,119 @@ def _find(run: pd.Series, want: pd.DataFrame) -> np.ndarray:
     return found
 
 
-def _search(batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-    owner = batch["delivery_id"].to_numpy().copy()
-    novel = np.ones(len(batch), dtype=bool)
-    for _, run in runs.iterrows():
-        found = _find(run, batch)
-        known = found >= 0
-        owner[known] = np.minimum(owner[known], found[known])
-        novel &= ~known
-    return pd.DataFrame({"kind": batch["kind"], "scope": batch["scope"], "id": batch["id"], "owner": owner, "novel": novel})
-
-
-def _as_run(df: DataFrame, number: int, prefixes: int) -> DataFrame:
-    packed = F.array_sort(F.collect_list(F.struct("h", "kind", "scope", "id", "owner")))
-    grouped = _hashed(df, prefixes).groupBy("prefix").agg(packed.alias("a"))
-    return grouped.select(
-        F.lit(number).alias("run"), "prefix", F.col("a.h").alias("hashes"), F.col("a.kind").alias("kinds"), F.col("a.scope").alias("scopes"),
-        F.col("a.id").alias("ids"), F.col("a.owner").alias("owners"),
-    )
-
-
-def merge_runs(runs: DataFrame, number: int) -> DataFrame:
-    """One run with all identifiers of ``runs``; of an identifier that several hold, the lowest owner."""
-    flat = runs.select("prefix", F.explode(F.arrays_zip("hashes", "kinds", "scopes", "ids", "owners")).alias("e"))
-    best = flat.groupBy("prefix", "e.hashes", "e.kinds", "e.scopes", "e.ids").agg(F.min("e.owners").alias("owner"))
-    packed = F.array_sort(F.collect_list(F.struct(F.col("hashes").alias("h"), F.col("kinds").alias("kind"), F.col("scopes").alias("scope"), F.col("ids").alias("id"), "owner")))
-    return best.groupBy("prefix").agg(packed.alias("a")).select(
-        F.lit(number).alias("run"), "prefix", F.col("a.h").alias("hashes"), F.col("a.kind").alias("kinds"), F.col("a.scope").alias("scopes"),
-        F.col("a.id").alias("ids"), F.col("a.owner").alias("owners"),
-    )
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            want, run = ([batch.column(c)[k].values.to_numpy() for c in range(5 * side, 5 * side + 5)] for side in (0, 1))
+            found = _find(run, want)
+            hit = found >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(want[1][hit], pa.int8()), pa.array(want[2][hit], pa.int64()), pa.array(want[3][hit], pa.int64()), pa.array(found[hit], pa.int64())], names=["kind", "scope", "id", "owner"])
 
 
 class IdentifierIndex:
-    """Persistent index of delivered identifiers. ``add`` takes batches in order of arrival.
+    """Index of delivered identifiers in the folder ``path``; opening a folder that holds one goes on from it.
 
-    ``prefixes`` bounds what one task holds: choose identifiers / prefixes around 100 000 (:func:`prefixes_for`).
+    ``add`` takes batches in order of arrival, from one writer at a time. ``per_prefix``: identifiers that one row of a run
+    holds at most, about; a larger run has more prefixes. ``fan``: runs of a level that are merged. A run's name tells the
+    batches it covers, its level, prefix bits and buckets; a run that another covers (a merge that failed before it
+    removed its parts) is passed over.
     """
 
-    def __init__(self, spark: SparkSession, prefixes: int, merge_every: int = 4):
-        self.spark, self.prefixes, self.merge_every = spark, prefixes, merge_every
-        self.runs: list[DataFrame] = []
-        self.added = 0
+    def __init__(self, spark: SparkSession, path: str | None = None, per_prefix: int = 100_000, fan: int = 4):
+        self.spark, self.path, self.per_prefix, self.fan = spark, (path or working_path(spark, "index")).rstrip("/"), per_prefix, fan
+        self.written = 0  # identifiers written by this object, merges included
+        self._tables: dict[str, DataFrame] = {}
+
+    def _files(self):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def runs(self) -> list[tuple[int, int, int, int, int, str]]:
+        """``(first batch, last batch, level, bits, buckets, name)`` of the runs that count, in order."""
+        at, files = self._files()
+        names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+        found = sorted((*map(int, n.split("-")[1:6]), n) for n in names if n.startswith("run-"))
+        return [r for r in found if not any(o[0] <= r[0] and r[1] <= o[1] and o != r for o in found)]
+
+    def _open(self, run: tuple) -> DataFrame:
+        name = run[5]
+        if name not in self._tables:
+            table = f"vellumflow_run_{uuid.uuid4().hex}"
+            self.spark.sql(f"create table {table} ({RUN_SCHEMA}) using parquet clustered by (prefix) into {run[4]} buckets location '{self.path}/{name}'")
+            self._tables[name] = self.spark.table(table)
+        return self._tables[name]
+
+    def _write(self, owned: DataFrame, rows: int, first: int, last: int, level: int) -> None:
+        """A run of ``owned``; it gets its name when all its files are there."""
+        bits = max(0, int(np.ceil(np.log2(max(1, rows / self.per_prefix)))) + (rows > self.per_prefix // 8) * 3)
+        buckets = min(1 << bits, 1024)
+        name, beside, table = f"run-{first:08d}-{last:08d}-{level}-{bits}-{buckets}", f"new-{uuid.uuid4().hex}", f"vellumflow_run_{uuid.uuid4().hex}"
+        _packed(owned, bits, buckets).write.bucketBy(buckets, "prefix").option("path", f"{self.path}/{beside}").format("parquet").saveAsTable(table)
+        self.spark.sql(f"drop table {table}")  # its files stay
+        _, files = self._files()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files.rename(path(f"{self.path}/{beside}"), path(f"{self.path}/{name}"))
+        self.written += rows
+
+    def _rows(self, run: tuple) -> DataFrame:
+        flat = self._open(run).select(F.explode(F.arrays_zip("kinds", "scopes", "ids", "owners")).alias("e"))
+        return flat.select(F.col("e.kinds").cast("byte").alias("kind"), F.col("e.scopes").alias("scope"), F.col("e.ids").alias("id"), F.col("e.owners").alias("owner"))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Owners ``(kind, scope, id, owner, novel)`` of the batch's distinct identifiers; novel ones enter the index."""
-        own = _hashed(batch.groupBy("kind", "scope", "id").agg(F.min("delivery_id").alias("delivery_id")), self.prefixes)
-        if self.runs:
-            index = self.runs[0]
-            for run in self.runs[1:]:
-                index = index.unionByName(run)
-            owned = own.groupBy("prefix").cogroup(index.groupBy("prefix")).applyInPandas(lambda a, b: _search(a, b), OWNED)
-        else:
-            owned = own.select("kind", "scope", "id", F.col("delivery_id").alias("owner"), F.lit(True).alias("novel"))
-        owned = saved(owned, "owners")
-        self.added += 1
-        self.runs.append(saved(_as_run(owned.where("novel"), self.added, self.prefixes), "run"))
-        if len(self.runs) >= self.merge_every:
-            index = self.runs[0]
-            for run in self.runs[1:]:
-                index = index.unionByName(run)
-            self.runs = [saved(merge_runs(index, self.added), "merged")]
+        """Owners ``(kind, scope, id, owner, novel)`` of the distinct identifiers of ``batch (delivery_id, kind, scope, id)``; novel ones enter the index."""
+        own = saved(batch.groupBy(*KEY).agg(F.min("delivery_id").alias("owner")), "batch")
+        runs = self.runs()
+        owned = own.withColumn("novel", F.lit(True))
+        for run in runs:
+            wanted = _packed(own, run[3], run[4]).select("prefix", *[F.col(c).alias(f"w_{c}") for c in ("hashes", "kinds", "scopes", "ids", "owners")])
+            both = self._open(run).join(wanted.hint("shuffle_hash"), "prefix")
+            found = both.select("w_hashes", "w_kinds", "w_scopes", "w_ids", "w_owners", "hashes", "kinds", "scopes", "ids", "owners").mapInArrow(_search, FOUND)
+            owned = owned.unionByName(found.withColumn("novel", F.lit(False)))
+        owned = saved(owned.groupBy(*KEY).agg(F.min("owner").alias("owner"), F.min("novel").alias("novel")) if runs else owned, "owners")
+        number = runs[-1][1] + 1 if runs else 1
+        novel = owned.where("novel")
+        rows = novel.count()
+        if rows:
+            self._write(novel, rows, number, number, 0)
+            self._merge()
         return owned
 
-
-def prefixes_for(rows: int, per_prefix: int = 100_000) -> int:
-    return max(8, 2 * rows // per_prefix)
-
-
-def contract(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    def _merge(self) -> None:
+        while True:
+            runs = self.runs()
+            level = next((n for n in sorted({r[2] for r in runs}) if sum(r[2] == n for r in runs) >= self.fan), None)
+            if level is None:
+                return
+            parts = [r for r in runs if r[2] == level]
+            rows = self._rows(parts[0])
+            for r in parts[1:]:
+                rows = rows.unionByName(self._rows(r))
+            rows = rows.groupBy(*KEY).agg(F.min("owner").alias("owner"))
+            self._write(saved(rows, "merged"), rows.count(), parts[0][0], parts[-1][1], level + 1)
+            _, files = self._files()
+            for r in parts:
+                files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{r[5]}"), True)
+
+
+def contract(links: DataFrame, max_rounds: int = 60, per_task: int = 100_000) -> DataFrame:
     """Lowest node reachable from each node of ``links (a, b)`` as ``(node, label)``, over any number of links.
 
-    Alternating large-star and small-star steps: every step is one aggregation and one join on the node, and the
-    number of steps grows with the logarithm of the longest chain. A node with very many links is aggregated by
-    partial minimum first; the joins leave its skew to the adaptive skew split.
+    Alternating large-star and small-star steps: every step is one aggregation and one join on the node, and the number
+    of steps grows with the logarithm of the longest chain. A node with more than ``per_task`` links is one row after
+    the aggregation and is cut into parts of about so many links in the join; at most a million such nodes are told apart
+    (``per_task`` is raised beyond that), so their list is broadcast.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(max_rounds):
-        if edges.isEmpty():
+        total = edges.count()
+        if not total:
             break
+        limit = max(per_task, 2 * total // 1_000_000)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v")))
-        new = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "star")
+        large = _with_lowest(both, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_lowest(large, limit)
+        down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v")))
+        new = saved(down.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "star")
         same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
         edges = new
         if same:
@@ -164,7 +204,15 @@ def contract(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def surplus_deliveries(updates: DataFrame, batches: int = 4, per_prefix: int = 100_000, hot_share: int = 200) -> DataFrame:
+def _with_lowest(edges: DataFrame, limit: int) -> DataFrame:
+    """``edges (u, v)`` with ``m``, the lowest of each ``u`` and its neighbours; the links of a large ``u`` spread over several tasks."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    hubs = F.broadcast(low.where("parts > 1").select("u", F.col("parts").alias("cut")))
+    spread = edges.join(hubs, "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("cut", F.lit(1))).cast("int")).drop("cut")
+    return spread.join(low.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), ["u", "part"]).select("u", "v", "m")
+
+
+def surplus_deliveries(updates: DataFrame, batches: int = 4, per_prefix: int = 100_000, per_task: int = 100_000) -> DataFrame:
     """``delivery_id`` of every delivery that an earlier one makes surplus.
 
     Two deliveries are the same if they share an update number of a vault or a message number of a chat, and sameness
@@ -172,8 +220,9 @@ def surplus_deliveries(updates: DataFrame, batches: int = 4, per_prefix: int = 1
     fed to the index in that many batches, in order of ``delivery_id``.
 
     Null identifiers identify nothing: such rows are never surplus by them. Rows with a null ``delivery_id`` are
-    ignored. An empty table gives no rows. Extra columns are ignored. An identifier with more than 1/``hot_share`` of
-    all rows (at most ``2 * hot_share`` of them exist, so their list is broadcast) is salted in the join back.
+    ignored. An empty table gives no rows. Extra columns are ignored. The deliveries of an identifier with more than
+    ``per_task`` of them are cut into parts of about so many in the join back; ``per_task`` is raised where more than a
+    million identifiers would be such, so their list is broadcast.
     """
     spark = updates.sparkSession
     keys = saved(identifiers(updates), "identifiers")
@@ -181,22 +230,20 @@ def surplus_deliveries(updates: DataFrame, batches: int = 4, per_prefix: int = 1
     if not stat["n"]:
         return updates.select("delivery_id").limit(0)
     cuts = [stat["lo"] + (stat["hi"] + 1 - stat["lo"]) * k // batches for k in range(batches + 1)]
-    index = IdentifierIndex(spark, prefixes_for(stat["n"], per_prefix))
+    index = IdentifierIndex(spark, per_prefix=per_prefix)
     owners = None
     for lo, hi in zip(cuts, cuts[1:]):
         got = index.add(keys.where(F.col("delivery_id").between(lo, hi - 1)))
         owners = got if owners is None else owners.unionByName(got)
-    owners = owners.groupBy("kind", "scope", "id").agg(F.min("owner").alias("owner"))
-    hot = keys.groupBy("kind", "scope", "id").count().where(F.col("count") > stat["n"] // hot_share + 1000)
-    hot = F.broadcast(hot.select("kind", "scope", "id", F.lit(16).alias("salts")))
-    on = ["kind", "scope", "id"]
-    salted = keys.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64("delivery_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    spread = owners.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    per_row = saved(
-        salted.join(spread, [*on, "salt"]).groupBy("delivery_id").agg(F.min("owner").alias("low"), F.max("owner").alias("high")), "row_owners"
-    )
+    owners = owners.groupBy(*KEY).agg(F.min("owner").alias("owner"))
+    limit = max(per_task, stat["n"] // 1_000_000)
+    hot = keys.groupBy(*KEY).count().where(F.col("count") > limit).select(*KEY, F.ceil(F.col("count") / limit).cast("int").alias("salts"))
+    hot = F.broadcast(saved(hot, "hot"))
+    salted = keys.join(hot, KEY, "left").withColumn("salt", F.pmod(F.xxhash64("delivery_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    spread = owners.join(hot, KEY, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    per_row = saved(salted.join(spread, [*KEY, "salt"]).groupBy("delivery_id").agg(F.min("owner").alias("low"), F.max("owner").alias("high")), "row_owners")
     # A row that owns one of its identifiers and not the other links the two owners, one of them itself.
     links = per_row.select(F.col("low").alias("a"), F.col("high").alias("b")).where("a <> b")
-    classes = contract(links.distinct())
+    classes = contract(links.distinct(), per_task=per_task)
     of = per_row.join(classes, per_row["low"] == classes["node"], "left")
     return of.where(F.coalesce("label", "low") < F.col("delivery_id")).select("delivery_id")
