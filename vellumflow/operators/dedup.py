@@ -150,7 +150,7 @@ class IdentifierIndex:
             both = self._open(run).join(wanted.hint("shuffle_hash"), "prefix")
             found = both.select("w_hashes", "w_kinds", "w_scopes", "w_ids", "w_owners", "hashes", "kinds", "scopes", "ids", "owners").mapInArrow(_search, FOUND)
             owned = owned.unionByName(found.withColumn("novel", F.lit(False)))
-        owned = saved(owned.groupBy(*KEY).agg(F.min("owner").alias("owner"), F.min("novel").alias("novel")) if runs else owned, "owners")
+        owned = saved(owned.groupBy(*KEY).agg(F.min("owner").alias("owner"), F.min("novel").alias("novel")), "owners") if runs else owned
         number = runs[-1][1] + 1 if runs else 1
         novel = owned.where("novel")
         rows = novel.count()
@@ -185,19 +185,19 @@ def contract(links: DataFrame, max_rounds: int = 60, per_task: int = 100_000) ->
     (``per_task`` is raised beyond that), so their list is broadcast.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()  # noqa: E731  distinct rows: equal marks, equal edges
+    now = mark(edges)
     for _ in range(max_rounds):
-        total = edges.count()
-        if not total:
+        if not now["n"]:
             break
-        limit = max(per_task, 2 * total // 1_000_000)
+        limit = max(per_task, 2 * now["n"] // 1_000_000)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_lowest(both, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _with_lowest(large, limit)
         down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v")))
-        new = saved(down.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "star")
-        same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
-        edges = new
-        if same:
+        edges = saved(down.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "star")
+        before, now = now, mark(edges)
+        if before == now:
             break
     else:
         raise RuntimeError("label contraction did not settle")
@@ -230,7 +230,7 @@ def surplus_deliveries(updates: DataFrame, batches: int = 4, per_prefix: int = 1
     if not stat["n"]:
         return updates.select("delivery_id").limit(0)
     cuts = [stat["lo"] + (stat["hi"] + 1 - stat["lo"]) * k // batches for k in range(batches + 1)]
-    index = IdentifierIndex(spark, per_prefix=per_prefix)
+    index = IdentifierIndex(spark, per_prefix=per_prefix, fan=3)
     owners = None
     for lo, hi in zip(cuts, cuts[1:]):
         got = index.add(keys.where(F.col("delivery_id").between(lo, hi - 1)))
