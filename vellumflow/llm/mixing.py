@@ -9,8 +9,6 @@ its share. Documents are then taken in seeded order up to what the flow grants.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +21,61 @@ def source_name(c: Column) -> Column:
 
 
 def largest_total(patterns: dict[frozenset[str], int], shares: dict[str, float], repeats: dict[str, int]) -> int:
-    """Largest total for which all sources that occur can reach their quotas together (Hall's condition on each set of sources)."""
+    """Largest total for which all sources that occur can reach their quotas together.
+
+    A total is tried on the flow network; where it doesn't fit, the minimum cut names the sources that ask for more than
+    their patterns offer, and the total that just fits these is tried next. Every try rules out one more set of sources.
+    """
     room = {p: t * min(repeats[s] for s in p) for p, t in patterns.items()}
     there = [s for s in shares if shares[s] > 0 and any(s in p for p in patterns)]
-    best = None
-    for size in range(1, len(there) + 1):
-        for group in combinations(there, size):
-            offered = sum(r for p, r in room.items() if not p.isdisjoint(group))
-            limit = offered / sum(shares[s] for s in group)
-            best = limit if best is None else min(best, limit)
-    return int(best or 0)
+    if not there:
+        return 0
+    fits = lambda group: sum(r for p, r in room.items() if not p.isdisjoint(group)) / sum(shares[s] for s in group)
+    total = min([fits(there), *(fits([s]) for s in there)])
+    while True:
+        lacking = _unserved(room, {s: total * shares[s] for s in there})
+        lower = fits(lacking) if lacking else total
+        if not lacking or lower >= total * (1 - 1e-12):
+            return int(total)
+        total = lower
+
+
+def _unserved(room: dict[frozenset[str], int], quotas: dict[str, float]) -> list[str]:
+    """Sources on the far side of the minimum cut if the quotas can't all be met, else none."""
+    sent: dict[tuple[frozenset[str], str], float] = {}
+    left, open_ = dict(room), dict(quotas)
+    small = 1e-9 * max(1.0, sum(quotas.values()))
+    of = {s: [p for p in room if s in p] for s in quotas}
+    while True:
+        # breadth first from patterns with room over sources, back over what they already take from other patterns
+        came: dict = {p: None for p in room if left[p] > small}
+        queue, end = list(came), None
+        for node in queue:
+            if isinstance(node, frozenset):
+                steps = [s for s in quotas if s in node and s not in came]
+            else:
+                if open_[node] > small:
+                    end = node
+                    break
+                steps = [p for p in of[node] if p not in came and sent.get((p, node), 0) > small]
+            for step in steps:
+                came[step] = node
+                queue.append(step)
+        if end is None:
+            unmet = sum(x for x in open_.values() if x > small)
+            return [s for s in quotas if s not in came] if unmet > small else []
+        path = [end]
+        while came[path[-1]] is not None:
+            path.append(came[path[-1]])
+        path.reverse()
+        push = min([left[path[0]], open_[end], *(sent[path[n + 1], path[n]] for n in range(1, len(path) - 1, 2))])
+        left[path[0]] -= push
+        open_[end] -= push
+        for n in range(len(path) - 1):
+            if n % 2 == 0:
+                sent[path[n], path[n + 1]] = sent.get((path[n], path[n + 1]), 0) + push
+            else:
+                sent[path[n + 1], path[n]] -= push
 
 
 def route(patterns: dict[frozenset[str], int], quotas: dict[str, int], repeats: dict[str, int]) -> dict[tuple[frozenset[str], str], int]:
@@ -79,19 +122,20 @@ def route(patterns: dict[frozenset[str], int], quotas: dict[str, int], repeats:
     return taken
 
 
-def mix(docs: DataFrame, targets: list[tuple[str, str, float, int]], seed: int = 42, buckets: int = 256) -> DataFrame:
+def mix(docs: DataFrame, targets: list[tuple[str, str, float, int]], seed: int = 42, per_bucket: int = 20_000) -> DataFrame:
     """``(mix_name, source, doc_id, n_tokens, uses)`` of the documents of each mix.
 
     ``docs (doc_id, sources array<string>, n_tokens)``: one row per text with all sources it occurs in. ``targets``:
     ``(mix_name, source, target_share, max_repeats)``; a short list read on the driver. A document serves any of its
     sources, and all its uses together stay within the least ``max_repeats`` of those of its sources that the mix names.
-    The order of documents is that of a seeded hash; the last one taken for a source is the one that brings it nearest
+    The order of documents is that of a seeded hash, those of more than about half a grant behind the others; the last one taken for a source is the one that brings it nearest
     to its quota. Texts without tokens or without a source of the mix are not used. A source that doesn't occur gets
-    nothing; the others keep their proportions. Prefix sums run over ``buckets`` hash ranges per pattern, then within
-    a range, so no task holds a whole pattern.
+    nothing; the others keep their proportions. Prefix sums run over hash ranges of about ``per_bucket`` documents per
+    pattern, then within a range, so no task holds a whole pattern.
     """
     spark = docs.sparkSession
     docs = docs.where("n_tokens > 0 and size(sources) > 0")
+    buckets = max(16, docs.count() // per_bucket)
     names = sorted({t[0] for t in targets})
     parts = []
     for name in names:
@@ -100,7 +144,8 @@ def mix(docs: DataFrame, targets: list[tuple[str, str, float, int]], seed: int =
         parts.append(F.struct(F.lit(name).alias("mix_name"), pattern.alias("pattern")))
     spread = docs.select("doc_id", "n_tokens", F.explode(F.array(*parts)).alias("m")).select("doc_id", "n_tokens", "m.*").where("pattern <> ''")
     spread = spread.withColumn("h", F.xxhash64("mix_name", "doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    ranges = saved(spread.groupBy("mix_name", "pattern", "bucket").agg(F.sum("n_tokens").cast("long").alias("tokens")), "p7_ranges")
+    spread = spread.withColumn("size_class", F.floor(F.log2(F.col("n_tokens").cast("double"))).cast("int"))
+    ranges = saved(spread.groupBy("mix_name", "pattern", "bucket", "size_class").agg(F.sum("n_tokens").cast("long").alias("tokens")), "p7_ranges")
     sums = ranges.groupBy("mix_name", "pattern").agg(F.sum("tokens").alias("tokens")).collect()  # at most 2^sources rows a mix
 
     grants = []
@@ -119,10 +164,14 @@ def mix(docs: DataFrame, targets: list[tuple[str, str, float, int]], seed: int =
                     start += flow
     grants = spark.createDataFrame(grants, "mix_name string, pattern string, source string, lo long, hi long, size long, rounds long")
     # the k-th use of a document stands at k times the pattern's size plus what comes before it in seeded order
-    before = Window.partitionBy("mix_name", "pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("mix_name", "pattern", "bucket", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("mix_name", "pattern", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = spread.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(ranges, ["mix_name", "pattern", "bucket"])
+    # documents of more than half the least grant of their pattern come last: one of them would miss the quota by much
+    least = F.broadcast(grants.groupBy("mix_name", "pattern").agg(F.floor(F.log2(F.min(F.col("hi") - F.col("lo")).cast("double"))).cast("int").alias("least")))
+    late = lambda df: df.join(least, ["mix_name", "pattern"]).withColumn("late", F.col("size_class") >= F.col("least")).drop("least", "size_class")
+    before = Window.partitionBy("mix_name", "pattern").orderBy("late", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = late(ranges).groupBy("mix_name", "pattern", "late", "bucket").agg(F.sum("tokens").alias("tokens"))
+    ranges = ranges.select("mix_name", "pattern", "late", "bucket", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("mix_name", "pattern", "late", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = late(spread).withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(ranges, ["mix_name", "pattern", "late", "bucket"])
     placed = placed.withColumn("middle", F.col("base") + F.col("inner") + F.floor(F.col("n_tokens") / 2).cast("long"))
     used = placed.join(F.broadcast(grants), ["mix_name", "pattern"])  # at most sources * 2^sources rows a mix
     upto = lambda x: F.greatest(F.lit(0), F.ceil((F.col(x) - F.col("middle")) / F.col("size")))
@@ -131,13 +180,13 @@ def mix(docs: DataFrame, targets: list[tuple[str, str, float, int]], seed: int =
 
 
 def mix_shares(mixed: DataFrame, targets: list[tuple[str, str, float, int]]) -> DataFrame:
-    """Per mix and source: target and reached share of all tokens, documents, tokens and the most often a document is used."""
+    """Per mix and source: target and reached share of all tokens, documents, tokens, the most often a document is used, the tokens of the largest one."""
     wanted = mixed.sparkSession.createDataFrame(targets, "mix_name string, source string, target_share double, max_repeats int")
     got = mixed.groupBy("mix_name", "source").agg(
-        F.count("*").alias("n_documents"), F.sum(F.col("n_tokens").cast("long") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses")
+        F.count("*").alias("n_documents"), F.sum(F.col("n_tokens").cast("long") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"), F.max("n_tokens").alias("largest")
     )
     all_ = F.sum("tokens").over(Window.partitionBy("mix_name"))
     return wanted.join(got, ["mix_name", "source"], "left").select(
         "mix_name", "source", "target_share", "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
-        F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce(F.col("tokens") / all_, F.lit(0.0)).alias("actual_share"),
+        F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce(F.col("tokens") / all_, F.lit(0.0)).alias("actual_share"), F.coalesce("largest", F.lit(0)).alias("largest"),
     )
