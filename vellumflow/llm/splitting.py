@@ -6,9 +6,10 @@ characters, ``x`` inside a character). Pieces are then extracted from the marks
 its alternatives, ordered by boundary strength, consume up to the limit, with the character as the last resort. Piece
 starts look back by the overlap; offsets and texts follow with SQL array functions.
 
-A cut between two tokens of a byte-pair encoding leaves both sides with the very same tokens (no merge ever crossed
-it), so a piece has exactly the tokens of its slice; the one exception, white space that a cut joins into another
-pre-token, is marked so that it can't add tokens. Limits therefore hold when a piece is encoded anew.
+A cut between two tokens of a byte-pair encoding leaves both sides with the very same tokens, as no merge ever crossed it.
+The one exception is white space that ends a piece: there it is one pre-token, in the text its last character may be one of
+its own. The marks say by how many tokens such an end differs: one less is subtracted, anything else is no place to cut.
+So ``n_tokens`` is what a piece has when it is encoded anew.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ PART = 128
 _BREAK = re.compile("[\n\r\x0b\x0c\x85  ]\\s*")
 _LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 _SENTENCE = re.compile("[.!?…؟।]+[\"'”’»)\\]]*(?=\\s)|[。！？｡]+[」』”’）]*")
+_SPACES = re.compile(r"\s{2,}(?=\S)")
 _SECTION = re.compile("#{1,6}\\s|```|~~~|---|\\* \\* \\*")
 _SECTION_STARTS = "#`~-*"
 
@@ -41,11 +43,10 @@ class _Marker(Encoder):
         self.lengths = np.array([len(p) for p in pieces])
         self.marks: dict[str, bytes] = {}
         self.chars: dict[str, bytes] = {}
-        self.growing: dict[str, bool] = {}
 
     def forget(self) -> None:
         super().forget()
-        self.marks.clear(), self.chars.clear(), self.growing.clear()
+        self.marks.clear(), self.chars.clear()
 
     def learn(self, new: list[str]) -> None:
         super().learn(new)
@@ -75,48 +76,57 @@ class _Marker(Encoder):
         for (begin, end, run), k in zip(breaks, last.tolist()):
             while k >= 0 and marks[k] == 120:
                 k -= 1
-            if k < 0 or ends[k] <= begin or (len(run) > 1 or text[begin - 1 : begin].isspace()) and self.grows(text, begin, int(ends[k])):
+            if k < 0 or ends[k] <= begin:
                 continue
             marks[k] = 104 if text[end : end + 1] in _SECTION_STARTS and _SECTION.match(text, end) else 112 if len(run) > 1 and len(_LINE.findall(run)) > 1 else 108
+        self.end_otherwise(text, marks, ends)
         return marks, ends
 
-    def grows(self, text: str, begin: int, end: int) -> bool:
-        """Would the white space that ends at ``end`` take more tokens as one pre-token, at the end of a piece, than it takes in the whole text?"""
-        while begin and text[begin - 1].isspace() and end - begin < 64:
-            begin -= 1
-        run = text[begin:end]
-        if len(run) < 2:
-            return False
-        if run not in self.growing:
-            self.learn([w for w in {run, run[:-1], run[-1]} if w not in self.seen])
-            self.growing[run] = len(self.seen[run]) > len(self.seen[run[:-1]]) + len(self.seen[run[-1]])
-        return self.growing[run]
+    def end_otherwise(self, text: str, marks: np.ndarray, ends: np.ndarray) -> None:
+        """Mark the last tokens of white space that has another number of tokens where a text ends with it: 128 more for one less, ``x`` else."""
+        runs = [m.span() for m in _SPACES.finditer(text)]
+        if not runs:
+            return
+        begins, stops = np.array(runs).T
+        last = np.searchsorted(ends, stops)
+        whole = last + 1 - np.searchsorted(ends, begins, side="right")
+        # where the last white-space character belongs to the next word, no token ends with the run
+        for k, n, (begin, stop) in zip(last.tolist(), whole.tolist(), runs):
+            if ends[k] == stop:
+                run = text[begin:stop]
+                if run not in self.seen:
+                    self.learn([run])
+                less = n - len(self.seen[run])
+                if less:
+                    marks[k] = marks[k] | 128 if less == 1 else 120
 
 
 def piece_pattern(limit: int, overlap: int) -> str:
     """Regex of the new tokens of each piece: up to ``limit`` in the first, up to ``limit - overlap`` in the others.
 
     A strong boundary is taken if it leaves the piece at least half full; before a cut between words, any sentence,
-    line or paragraph end will do.
+    line or paragraph end will do. The first piece has more tokens than the overlap, else the second would begin where it
+    does and hold it whole.
     """
 
-    def ways(most: int, start: str) -> list[str]:
-        half = most // 2
+    def ways(most: int, start: str, least: int) -> list[str]:
+        half = max(most // 2, least)
         return [
             rf"{start}.{{1,{most}}}\z",
             rf"{start}.{{{half},{most - 1}}}[hp]",
             rf"{start}.{{{half},{most - 1}}}l",
             rf"{start}.{{{half},{most - 1}}}s",
-            rf"{start}.{{0,{most - 1}}}[hpls]",
-            rf"{start}.{{0,{most - 1}}}w",
-            rf"{start}.{{0,{most - 1}}}c",
+            rf"{start}.{{{least},{most - 1}}}[hpls]",
+            rf"{start}.{{{least},{most - 1}}}w",
+            rf"{start}.{{{least},{most - 1}}}c",
+            rf"{start}.{{{most}}}",
         ]
 
-    return "|".join(ways(limit, r"\A") + ways(limit - overlap, r"(?!\A)"))
+    return "|".join(ways(limit, r"\A", overlap) + ways(limit - overlap, r"(?!\A)", 0))
 
 
 def marked(docs: DataFrame, least: int, tokenizers: str = TOKENIZERS, vocabulary_name: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, marks, raw, ends, parts)``, ``raw`` the marks as bytes for access by place, of texts of more than ``least`` tokens; ``docs`` has ``doc_id`` and ``text``."""
+    """``(doc_id, marks, raw, ends, parts)``, ``raw`` the marks as bytes for access by place (128 more where a piece that ends there has one token less), of texts of more than ``least`` tokens; ``docs`` has ``doc_id`` and ``text``."""
     pieces = vocabulary(tokenizers, vocabulary_name)
     model = model_bytes(pieces)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -124,35 +134,47 @@ def marked(docs: DataFrame, least: int, tokenizers: str = TOKENIZERS, vocabulary
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker = _Marker(model, pieces)
         for batch in batches:
-            ids, marks, ends, parts = [], [], [], []
+            ids, marks, raw, ends, parts = [], [], [], [], []
             for group in in_groups([(k, t) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and len(t) * 4 > least]):
                 for (key, text), words in zip(group, marker.pretokens([t for _, t in group])):
                     m, e = marker.of(text, words)
                     if len(m) > least:
+                        plain = m & 127
                         cuts = [0, *e[PART - 1 : -1 : PART].tolist(), len(text)]
-                        ids.append(key), marks.append(m.tobytes()), ends.append(e), parts.append([text[a:b] for a, b in zip(cuts, cuts[1:])])
+                        ids.append(key), marks.append(plain.tobytes()), raw.append(m.tobytes()), ends.append(e), parts.append([text[a:b] for a, b in zip(cuts, cuts[1:])])
             offsets = np.zeros(len(ends) + 1, dtype=np.int32)
             np.cumsum([len(e) for e in ends], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ends) if ends else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.column(0).type), pa.array(marks, pa.binary()).cast(pa.string()), pa.array(marks, pa.binary()), lists, pa.array(parts, pa.list_(pa.string()))], names=["doc_id", "marks", "raw", "ends", "parts"]
+                [pa.array(ids, batch.column(0).type), pa.array(marks, pa.binary()).cast(pa.string()), pa.array(raw, pa.binary()), lists, pa.array(parts, pa.list_(pa.string()))], names=["doc_id", "marks", "raw", "ends", "parts"]
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, marks string, raw binary, ends array<int>, parts array<string>")
 
 
+def running_sums(lengths: Column, block: int = 128) -> Column:
+    """0 and the running sums of an array, in blocks, as an array that grows element by element is copied each time."""
+    of = lambda b: F.slice(lengths, b * block + 1, F.lit(block))
+    grown = lambda array, first: F.aggregate(array, F.array(first), lambda seen, k: F.concat(seen, F.array(F.element_at(seen, -1) + k)))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int"))
+    sums = F.transform(numbers, lambda b: F.aggregate(of(b), F.lit(0), lambda a, k: a + k))
+    blocks = F.flatten(F.transform(F.array(grown(sums, F.lit(0))), lambda bases: F.transform(numbers, lambda b: F.struct(b.alias("b"), F.get(bases, b).alias("base")))))
+    inner = F.transform(blocks, lambda x: F.slice(grown(of(x["b"]), x["base"]), F.lit(2), F.lit(block)))
+    return F.when(F.size(lengths) > 0, F.concat(F.array(F.lit(0)), F.flatten(inner))).otherwise(F.array(F.lit(0)))
+
+
 def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizers: str = TOKENIZERS, vocabulary_name: str = VOCABULARY) -> DataFrame:
     """Pieces ``(doc_id, profile, piece_no, start_token, n_tokens, overlap_tokens, boundary, piece)`` of too long texts.
 
     ``profiles``: ``(name, max_tokens, overlap_tokens)``; a text is split for each profile whose limit it exceeds,
     others (null, empty and short texts too) give no row. Pieces are numbered from 0, have at most ``max_tokens``
-    tokens and begin ``overlap_tokens`` tokens before the end of the piece before; where that would fall inside a
+    tokens (``n_tokens``, as encoded anew) and begin ``overlap_tokens`` tokens before the end of the piece before; where that would fall inside a
     character, after that character. ``boundary`` is the mark behind the piece (``e``: end of the text). Repeated ids
     are split row by row. Without their overlap the pieces add up to the text.
     """
     for name, most, shared in profiles:
-        if not 0 <= shared < most:
-            raise ValueError(f"profile {name}: overlap {shared} must be below the limit {most}")
+        if not 0 <= shared <= most - 4:  # a character may take four tokens
+            raise ValueError(f"profile {name}: overlap {shared} must be at least four below the limit {most}")
     if not profiles:
         profiles = [("", 2**31 - 1, 0)]
     text_marks = marked(docs, min(p[1] for p in profiles), tokenizers, vocabulary_name)
@@ -161,7 +183,7 @@ def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizer
 
     def pieces(name: str, most: int, shared: int) -> Column:
         runs = F.regexp_extract_all("marks", F.lit("(?s)" + piece_pattern(most, shared)), F.lit(0))
-        stops = F.aggregate(F.transform(runs, lambda r: F.length(r)), F.array(F.lit(0)), lambda seen, k: F.concat(seen, F.array(F.element_at(seen, -1) + k)))
+        stops = running_sums(F.transform(runs, lambda r: F.length(r)))
 
         def bounds(stop: Column) -> Column:
             def one(i: Column) -> Column:
@@ -178,9 +200,10 @@ def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizer
             first, last = F.floor(p["start"] / PART).cast("int"), F.floor((p["stop"] - 1) / PART).cast("int")
             base = F.when(first == 0, 0).otherwise(element("ends", first * PART - 1))
             begin = F.when(p["start"] == 0, 0).otherwise(element("ends", p["start"] - 1))
+            mark = F.conv(F.hex(F.substr("raw", p["stop"], F.lit(1))), 16, 10).cast("int")
             return F.struct(
-                F.lit(name).alias("profile"), p["n"].alias("piece_no"), p["start"].alias("start_token"), (p["stop"] - p["start"]).alias("n_tokens"), (p["new"] - p["start"]).alias("overlap_tokens"),
-                F.when(p["stop"] == n, F.lit("e")).otherwise(F.substr("raw", p["stop"], F.lit(1)).cast("string")).alias("boundary"),
+                F.lit(name).alias("profile"), p["n"].alias("piece_no"), p["start"].alias("start_token"), (p["stop"] - p["start"] - F.when((p["stop"] < n) & (mark >= 128), 1).otherwise(0)).alias("n_tokens"),
+                (p["new"] - p["start"]).alias("overlap_tokens"), F.when(p["stop"] == n, F.lit("e")).otherwise(F.char(mark % 128)).alias("boundary"),
                 F.substr(F.array_join(F.slice("parts", first + 1, last - first + 1), ""), begin - base + 1, element("ends", p["stop"] - 1) - begin).alias("piece"),
             )
 
