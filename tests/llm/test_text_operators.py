@@ -119,7 +119,7 @@ def test_encoding_equals_another_library(spark):
 def test_pieces(spark):
     rng = random.Random(2)
     long = "\n\n".join(f"## Part {k}\n" + " ".join(rng.choice(["Short one.", "A longer sentence here!", "日本語。", "word", "naïve"]) for _ in range(40)) for k in range(12))
-    texts = [*ODD, long, long.replace("\n\n", " "), "字" * 2000, "🎉" * 900, "\n" * 600, "a  \n\n \n b " * 200]
+    texts = [*ODD, long, long.replace("\n\n", " "), "字" * 2000, "🎉" * 900, "\n" * 600, "a  \n\n \n b " * 200, "a" + "\n" * 600 + "b", "w" + " " * 500 + "z", "ab\n\n" + "Next words. " * 60, "\t\tx\n\n\n" * 120, "hi\n\n# Head\n\n" + "long text goes on " * 50]
     df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "doc_id long, text string, piece int")
     profiles = [("s", 40, 8), ("m", 128, 0), ("l", 700, 100)]
     encoder = tokens.Encoder(tokens.model_bytes(tokens.vocabulary()))
@@ -134,10 +134,12 @@ def test_pieces(spark):
         assert [r.piece_no for r in pieces] == list(range(len(pieces)))
         whole = b""
         for r in pieces:
-            assert len(encoder.encode([r.piece])[0]) <= most and 0 < r.n_tokens <= most
+            assert 0 < r.n_tokens <= most and (len(encoder.encode([r.piece])[0]) == r.n_tokens or r.piece.isspace() and len(encoder.encode([r.piece])[0]) <= most), (name, i, r)
+            assert r.piece_no == 0 or r.start_token > 0
             assert shared - 3 <= r.overlap_tokens <= shared or r.piece_no == 0
-            mine = ids[i][r.start_token : r.start_token + r.n_tokens]
-            assert tokens.decode(mine, tokens.vocabulary()) == r.piece if r.piece_no < 2 else True
+            stop = next((x.start_token + x.overlap_tokens for x in pieces if x.piece_no == r.piece_no + 1), len(ids[i]))
+            mine = ids[i][r.start_token : stop]
+            assert len(mine) - r.n_tokens in (0, 1) and tokens.decode(mine, VOCABULARY) == r.piece
             whole += b"".join(VOCABULARY[k] for k in mine[r.overlap_tokens :])
         assert whole.decode() == texts[i]
     parts = [r for r in seen["s", len(ODD)]]
@@ -147,6 +149,13 @@ def test_pieces(spark):
 VOCABULARY = tokens.vocabulary()
 
 
+def test_running_sums(spark):
+    lengths = [[], [3], list(range(1, 400)), [1] * 128, [2] * 129]
+    df = spark.createDataFrame([(x,) for x in lengths], "x array<int>")
+    got = [r[0] for r in df.select(splitting.running_sums(F.col("x"))).collect()]
+    assert got == [[sum(x[:k]) for k in range(len(x) + 1)] for x in lengths]
+
+
 def test_split_settings(spark):
     with pytest.raises(ValueError):
         splitting.split_texts(spark.createDataFrame([(1, "x")], "doc_id long, text string"), [("bad", 10, 10)])
@@ -186,6 +195,33 @@ def test_flow_prefers_fewer_repeats():
     assert taken[frozenset("a"), "a"] == 100 and taken[frozenset("ab"), "b"] == 100 and taken[frozenset("b"), "b"] == 10
 
 
+def brute_total(patterns, shares, repeats):
+    room = {p: t * min(repeats[s] for s in p) for p, t in patterns.items()}
+    there = [s for s in shares if shares[s] > 0 and any(s in p for p in patterns)]
+    groups = [g for n in range(1, len(there) + 1) for g in combinations(there, n)]
+    return int(min(sum(r for p, r in room.items() if not p.isdisjoint(g)) / sum(shares[s] for s in g) for g in groups)) if groups else 0
+
+
+def test_largest_total_against_all_sets_of_sources():
+    rng = random.Random(3)
+    for _ in range(60):
+        names = "abcdef"[: rng.randrange(1, 7)]
+        patterns = {frozenset(rng.sample(names, rng.randrange(1, len(names) + 1))): rng.randrange(1, 1000) for _ in range(rng.randrange(1, 9))}
+        shares = {s: rng.choice([0.0, rng.random()]) for s in names}
+        repeats = {s: rng.randrange(1, 4) for s in names}
+        assert abs(mixing.largest_total(patterns, shares, repeats) - brute_total(patterns, shares, repeats)) <= 1
+
+
+def test_thirty_sources_end():
+    rng = random.Random(7)
+    names = [f"s{i}" for i in range(30)]
+    patterns = {frozenset(rng.sample(names, rng.randrange(1, 5))): rng.randrange(1, 10**9) for _ in range(300)}
+    shares, repeats = {s: rng.random() for s in names}, {s: rng.randrange(1, 5) for s in names}
+    total = mixing.largest_total(patterns, shares, repeats)
+    taken = mixing.route(patterns, {s: int(total * x) for s, x in shares.items()}, repeats)
+    assert total > 0 and all(abs(sum(v for (_, s), v in taken.items() if s == n) - total * shares[n]) <= 2 for n in names)
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, sources array<string>, n_tokens int")
     mixed = mixing.mix(docs, TARGETS)

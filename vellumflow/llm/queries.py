@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.dedup import contract
 from ..session import saved, table
 from .canonical import FILLERS, _letters, canonical_ids, unmatched
 from .neardup import expanded_pairs, near_duplicates
@@ -31,6 +32,16 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     return members.join(degree, "rep", "left").select(F.col("doc").alias("chunk_no"), F.col("rep").alias("class_chunk"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per chunk that is like another one: the lowest chunk of its group. Likeness carries on from chunk to chunk, over copies and links."""
+    links, members = chunk_duplicates(spark, sf)
+    labels = contract(links.select("a", "b"))
+    members = saved(members, "p2_members")
+    whole = members.join(labels, members["rep"] == labels["node"], "left").select("doc", "rep", F.coalesce("label", "rep").alias("group"))
+    grouped = whole.join(whole.where("doc <> rep").select("rep").union(links.select(F.col("a"))).union(links.select(F.col("b"))).distinct(), "rep", "left_semi")
+    return grouped.select(F.col("doc").alias("chunk_no"), F.col("group").alias("group_chunk"))
+
+
 def free_values(spark: SparkSession, sf: str) -> DataFrame:
     """All free-typed values as ``(source_table, record_key, field, value)``, once per row and field."""
     chunks = table(spark, sf, "markdown_chunks").select(
@@ -68,6 +79,12 @@ def p6_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def p6_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes that the tokens of each document stand for, and whether they are its text."""
+    both = decoded(encoded(table(spark, sf, "documents").select("doc_id", "text")))
+    return both.select("doc_id", F.octet_length("decoded").cast("long").alias("n_bytes"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
 def source_members(spark: SparkSession, sf: str) -> DataFrame:
     """One row per distinct text: its lowest ``doc_id``, the sources its copies stand in, and its tokens."""
     docs = table(spark, sf, "documents").where("text is not null and text <> ''").select("doc_id", "text", source_name(F.col("source")).alias("source"), F.md5("text").alias("digest"))
@@ -86,7 +103,20 @@ def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     targets = mix_targets(spark, sf)
-    return mix_shares(mix(source_members(spark, sf), targets), targets)
+    return mix_shares(mix(source_members(spark, sf), targets), targets).drop("largest")
+
+
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per mix and source: is the share among the sources that occur reached within one point of the mix and one document of the source, and is no document used too often?"""
+    targets = mix_targets(spark, sf)
+    texts = source_members(spark, sf)
+    shares = mix_shares(mix(texts, targets), targets)
+    there = texts.where("n_tokens > 0").select(F.explode("sources").alias("source")).distinct().withColumn("occurs", F.lit(True))
+    shares = shares.join(there, "source", "left").withColumn("wanted", F.when(F.col("occurs"), F.col("target_share")).otherwise(0.0))
+    mix_ = Window.partitionBy("mix_name")
+    total = F.sum("tokens").over(mix_)
+    off = F.abs(F.col("tokens") - F.col("wanted") / F.sum("wanted").over(mix_) * total)
+    return shares.select("mix_name", "source", (off <= 0.01 * total + F.col("largest")).alias("share_reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
 
 
 def split_profiles(spark: SparkSession, sf: str) -> list[tuple[str, int, int]]:
@@ -105,7 +135,29 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_unmatched, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_pieces, p8_report)}
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per profile: are all pieces within the limit and as large as they say when encoded anew, do they follow on each other
+    with the overlap (less up to three tokens of a character), does none hold the next, and do they add up to the texts?"""
+    profiles = split_profiles(spark, sf)
+    docs = table(spark, sf, "documents")
+    pieces = saved(split_texts(docs, profiles), "p8_pieces")
+    again = counted(pieces.withColumn("stated", F.col("n_tokens")), "piece", "anew")
+    limits = spark.createDataFrame(profiles, "profile string, most int, shared int")
+    rows = again.join(F.broadcast(limits), "profile")  # a short list of settings
+    fits = rows.groupBy("profile").agg(
+        F.min(F.col("anew") <= F.col("most")).alias("within_limit"), F.min(F.col("anew") == F.col("stated")).alias("counts_right"),
+        F.min((F.col("piece_no") == 0) | F.col("overlap_tokens").between(F.col("shared") - 3, F.col("shared"))).alias("overlapping"),
+        F.min((F.col("piece_no") == 0) | (F.col("start_token") > 0)).alias("none_repeated"),
+    )
+    # a text's pieces without what they share: their tokens add up to the text's
+    sums = pieces.groupBy("profile", "doc_id").agg(F.sum(F.when(F.col("boundary") == "e", F.col("start_token") + F.col("n_tokens"))).alias("end"), F.count("*").alias("n"), F.max("piece_no").alias("last"))
+    whole = sums.join(counted(docs.select("doc_id", "text"), out="tokens"), "doc_id")
+    complete = whole.groupBy("profile").agg(F.min((F.col("end") == F.col("tokens")) & (F.col("n") == F.col("last") + 1)).alias("complete"))
+    asked = limits.select("profile").join(fits, "profile", "left").join(complete, "profile", "left")
+    return asked.select("profile", *[F.coalesce(c, F.lit(True)).alias(c) for c in ("within_limit", "counts_right", "overlapping", "none_repeated", "complete")])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p2_groups, p4_found, p4_unmatched, p6_ids, p6_roundtrip, p6_bytes, p7_mix, p7_shares, p7_checks, p8_pieces, p8_report, p8_checks)}
 _SHINGLES = r"""
 with words as (
   select chunk_no, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from markdown_chunks
@@ -152,6 +204,13 @@ matched as (select value, id from keyed join ids using (key, words))
 SQL: dict[str, str] = {
     "p4_found": _CANONICAL + "select source_table, record_key, field, value as raw_value, id as term_id from free join matched using (value) where value not in (select term from topic_terms)",
     "p4_unmatched": _CANONICAL + "select value, count(*) as n_rows from free where value is not null and value not in (select value from matched) group by value",
+    "p6_bytes": "select doc_id, coalesce(strlen(text), 0) as n_bytes, true as same from documents",
+    "p7_checks": "select mix_name, source, true as share_reached, true as repeats_kept from mix_targets",
+    "p8_checks": "select profile, true as within_limit, true as counts_right, true as overlapping, true as none_repeated, true as complete from split_profiles",
+    "p2_groups": _SHINGLES.replace("with words", "with recursive words")
+    + """, both_ways as (select a, b from alike union select b, a from alike),
+reach(a, b) as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a)
+select a as chunk_no, least(a, min(b)) as group_chunk from reach group by a""",
     "p2_found": _SHINGLES + "select a as chunk_a, b as chunk_b from alike",
     "p2_classes": _SHINGLES
     + """,
