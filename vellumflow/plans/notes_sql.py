@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import CHATTER, HEADERS, LOG, STOPWORDS, TASK_COMMANDS, TASK_PHRASES, TASK_PREFIXES, TASK_QUESTIONS, TASKS, WEEKDAYS
+from ..functions.text import CHAT_CALLOUTS, CHAT_HEADINGS, CHATTER, HEADERS, LOG, STOPWORDS, TASK_COMMANDS, TASK_PHRASES, TASK_PREFIXES, TASK_QUESTIONS, TASKS, WEEKDAYS
 
 TODAY = "date '2026-05-01'"
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -301,6 +301,30 @@ per as (select qid, f, cited from (select distinct qid from expected) left join
 select count(*) as n_queries, round(avg(case when f <= 5 then 1.0 else 0 end), 6) as recall_5, round(avg(case when f <= 10 then 1.0 else 0 end), 6) as recall_10, round(avg(coalesce(1.0 / f, 0)), 6) as mrr, round(avg(case when cited then 1.0 else 0 end), 6) as citation_accuracy from per"""
 _TAGGED = "(select * from interstitial_entries where list_contains(extracted_tags, '#log') or list_contains(extracted_tags, '#field-notes'))"
 
+def _chat(x: str) -> str:
+    """Chat Markdown of a text."""
+    x = _steps(normalised(x), (r"(?m)^(?:---|\*\*\*|___)\s*$", "─" * 23))
+    x = _steps(x, *((rf"(?m)^#{{{n}}}\s+(.+)$", rf"{icon} *\1*") for n, icon in CHAT_HEADINGS.items()))
+    x = _steps(x, *((rf"(?m)^>\s*\[!{name}\]\s*(.*)$", rf"{icon} *{name.title()}: \1*") for name, icon in CHAT_CALLOUTS.items()))
+    return _steps(x, (r"(?m)^\s+([A-Za-z0-9_\-\s]+:)\s*$", r"• *\1*"), (r"(?m)^\s{1,2}([A-Za-z0-9_\[])", r"• \1"))
+
+
+def _escaped(x: str) -> str:
+    return _chars(x, ("'&'", "'&amp;'"), ("'<'", "'&lt;'"), ("'>'", "'&gt;'"))
+
+
+def _restored(x: str, mark: int, kept: str) -> str:
+    return f"array_to_string(list_transform(string_split({x}, chr({mark})), lambda p, i: p || coalesce({kept}[i], '')), '')"
+
+
+_STAR, _LINE_ = (r"(^|[^\p{L}\p{N}_*])\*([^*\n]+)\*($|[^\p{L}\p{N}_*])", r"\1<b>\2</b>\3"), (r"(^|[^\p{L}\p{N}_])_([^_\n\x{E000}\x{E001}]+)_($|[^\p{L}\p{N}_])", r"\1<i>\2</i>\3")
+_RENDERED = f"""
+with chat as (select chunk_no, {_chat("content")} as c from markdown_chunks),
+blocks as (select *, regexp_extract_all(c, '(?s)```([a-zA-Z0-9_\\-+]*)\\n(.*?)```', 2) as b, regexp_replace(c, '(?s)```([a-zA-Z0-9_\\-+]*)\\n(.*?)```', chr(57344), 'g') as d from chat),
+spans as (select *, regexp_extract_all(d, '`([^`\\n]+)`', 1) as s, {_escaped("regexp_replace(d, '`([^`" + chr(92) + "n]+)`', chr(57345), 'g')")} as e from blocks),
+tagged as (select *, {_steps("e", (r"\[([^\]\n]+)\]\((https?://[^\s)]+)\)", r'<a href="\2">\1</a>'), (r"\*\*([^*\n]+)\*\*", r"<b>\1</b>"), _STAR, _STAR, _LINE_, _LINE_, (r"~~([^~\n]+)~~", r"<s>\1</s>"))} as t,
+  list_transform(b, lambda x: '<pre><code>' || {_escaped("x")} || '</code></pre>') as bb, list_transform(s, lambda x: '<code>' || {_escaped("x")} || '</code>') as ss from spans)
+select chunk_no, md5({_restored(_restored("t", 57345, "ss"), 57344, "bb")}) as digest from tagged"""
 SQL = {
     "wikilinks": f"select chunk_no, unnest(range(0, len(l)))::int as pos, unnest(l) as link from (select chunk_no, list_filter(list_transform(regexp_extract_all(content, '{_LINK}', 1), lambda x: {strip('x')}), lambda x: x <> '') as l from markdown_chunks)",
     "tags": r"select chunk_no, unnest(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(content, '(?:^|[^\p{L}\p{N}_])#([a-zA-Z0-9_\-/]*[a-zA-Z0-9_])', 1), lambda x: not regexp_matches(x, '^\d+$')), lambda x: '#' || lower(x))))) as tag from markdown_chunks",
@@ -387,6 +411,7 @@ select rid, path, line_number from (select *, row_number() over (partition by ri
     "daily_notes": _LINES + ", parts as (select vault_id, entry_date, header || chr(10) || string_agg(line, chr(10) order by entry_no) as section, count(*) as n from lines_ where line is not null group by vault_id, entry_date, header) select vault_id, entry_date, string_agg(section, chr(10) || chr(10) order by section) as body, sum(n)::bigint as n_entries from parts group by vault_id, entry_date",
     "filed_entries": _FILED,
     "message_split": _MESSAGES,
+    "chat_rendering": _RENDERED,
     "sections_native": _SECTIONS,
     "chunk_exact": _CHUNKS,
     "note_lookup": _LOOKUP,
