@@ -35,6 +35,23 @@ def test_bm25_against_formula(spark):
     assert got == {(1, d + 1): (n, pytest.approx(score(d))) for n, d in enumerate(order, 1)}
 
 
+def test_kept_index_after_updates_equals_a_new_one(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"])
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "none")], "qid int, text string")
+    now = {}
+    for _ in range(5):
+        new = {rng.randrange(30): " ".join(word() for _ in range(rng.randrange(0, 9))) for _ in range(8)}
+        gone = set(rng.sample(range(30), 3)) - set(new)
+        now = {k: v for k, v in now.items() if k not in gone} | new
+        index = retrieval.KeptIndex(spark, str(tmp_path / "index"), parts=4, fan=3)
+        index.add(spark.createDataFrame(list(new.items()), "id long, text string"), spark.createDataFrame([(g,) for g in gone], "id long"))
+        fresh = retrieval.postings(spark.createDataFrame(list(now.items()), "id long, text string"))
+        rows = lambda x: sorted(map(tuple, retrieval.bm25_topk(x, queries, 5).select("qid", "rank", "id", "score").collect()))
+        assert rows(retrieval.KeptIndex(spark, str(tmp_path / "index"), parts=4)) == rows(fresh)
+    assert len(index.segments()) < 3
+
+
 def test_fusion_boost_and_rerank(spark):
     cols = "qid int, id string, score double, rank int"
     dense = spark.createDataFrame([(1, "docA", 0.9, 1), (1, "docB", 0.8, 2), (1, None, 0.7, 3)], cols)

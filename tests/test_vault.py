@@ -55,6 +55,15 @@ def test_a_later_session_goes_on_from_the_store(spark, root, tmp_path_factory):
     again = NoteEngine(spark, str(root), store=store)
     row = again.reindex()
     assert (row["indexed"], row["skipped"]) == (0, 4) and row["total_vault_chunks"] == first["total_vault_chunks"]
+    questions = spark.createDataFrame([(1, "kernel notes")], "qid int, text string")
+    plain = NoteEngine(spark, str(root))
+    plain.reindex()
+    order = lambda e: [r.id for r in e.search(questions, "2026-08-15").orderBy("rank").collect()]
+    assert order(again) == order(plain)
+    (root / "Notes/Linux.md").write_text("# Linux\nkernel kernel notes")
+    (root / "Root note.md").unlink()
+    again.reindex(), plain.reindex()
+    assert order(again) == order(plain)
     assert {(r.title, tuple(r.aliases)) for r in again.nodes().collect()} >= {("Docker", ("Containers",))}
 
 

@@ -49,9 +49,13 @@ class NoteEngine:
             new = new.join(retrieval.hashed_vectors(new, "id", "content"), "id", "left")
         new = saved(new, "chunks")
         touched = states.where("state <> 'fresh'")
+        old = self.chunks
         self.chunks = new if self.chunks is None else saved(registry.replace_files(self.chunks, new, touched), "chunks")
         self.registry = saved(registry.record(known, now, states), "registry")
         self.notes = now
+        if self.store:
+            before = self.spark.createDataFrame([], "id string") if old is None else old.join(touched.select("path"), "path", "left_semi").select("id")
+            retrieval.KeptIndex(self.spark, f"{self.store}/lexical").add(new, before, "id", "content")
         if self.store:  # the chunks first: a run that fails between the two is repeated
             registry.save_table(self.chunks, f"{self.store}/chunks")
             registry.save_table(self.registry, f"{self.store}/registry")
@@ -73,7 +77,8 @@ class NoteEngine:
         asked = retrieval.hashed_vectors(questions, "qid", "text").withColumnRenamed("id", "qid") if not self.encode else retrieval.encode_with(questions, "text", self.encode).select("qid", "vector")
         numbered = pool.select("id", "vector", "content", "title", "path", "created")
         dense = retrieval.dense_topk(numbered.select("id", "vector"), asked, skip_self=False)
-        sparse = retrieval.bm25_topk(retrieval.postings(numbered, "id", "content"), questions)
+        kept = retrieval.KeptIndex(self.spark, f"{self.store}/lexical") if self.store and not filters else retrieval.postings(numbered, "id", "content")
+        sparse = retrieval.bm25_topk(kept, questions)
         fused = retrieval.rrf(dense, sparse).join(numbered.select("id", "path", "created"), "id")
         when = questions.select("qid", temporal_filter(F.col("text"), F.lit(as_of).cast("date")).alias("when"))
         boosted = retrieval.temporal_boost(fused.join(when, "qid"), F.col("created"), F.col("path"), F.col("when.date"), F.col("when.month"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens, same_source
@@ -25,6 +26,78 @@ def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).alias("id"), tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
+class KeptIndex:
+    """A lexical index in the folder ``path``: opened again by the next session, updated by what changed.
+
+    A segment holds the postings ``(term, id, tf, dl)`` of some documents, partitioned by a hash of the term, their ids and
+    lengths, and the ids that it takes out of the segments before it. A search reads only the partitions of its terms.
+    ``fan`` segments are merged into one. One writer at a time; a segment gets its name when all its files are there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64, fan: int = 8):
+        self.spark, self.path, self.parts, self.fan = spark, path.rstrip("/"), parts, fan
+
+    def _files(self):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def segments(self) -> list[str]:
+        at, files = self._files()
+        names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+        found = sorted(n for n in names if n.startswith("segment-"))
+        whole = [n for n in found if n.endswith("-merged")]  # a merged segment stands for all up to its number
+        return [n for n in found if not whole or n >= whole[-1]]
+
+    def add(self, docs: DataFrame, gone: DataFrame | None = None, key: str = "id", text: str = "text") -> None:
+        """Index ``docs`` in place of what the index has of their ids, and take out those of ``gone (id)``."""
+        tokens = saved(postings(docs, key, text), "postings")
+        names = tokens.select("id")
+        self._write(tokens.select("id", "dl"), self._counted(tokens), names if gone is None else names.union(gone.select("id")).distinct(), "")
+        if len(self.segments()) >= self.fan:
+            self._write(self.documents(), self._all("postings"), names.limit(0), "-merged")
+
+    def _counted(self, tokens: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int")
+        return tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).withColumn("part", part)
+
+    def _write(self, documents: DataFrame, terms: DataFrame, gone: DataFrame, end: str) -> None:
+        last = self.segments()
+        number = int(last[-1].split("-")[1]) + 1 if last else 1
+        beside = f"{self.path}/new-{uuid.uuid4().hex}"
+        documents.write.parquet(f"{beside}/documents")
+        terms.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{beside}/postings")
+        gone.write.parquet(f"{beside}/gone")
+        _, files = self._files()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files.rename(path(beside), path(f"{self.path}/segment-{number:08d}{end}"))
+        if end:
+            for old in last:
+                files.delete(path(f"{self.path}/{old}"), True)
+
+    def _all(self, what: str) -> DataFrame:
+        kinds = {"documents": "id {0}, dl int", "postings": "id {0}, dl int, term string, tf long, part int", "gone": "id {0}"}
+        names = self.segments()
+        if not names:
+            return self.spark.createDataFrame([], kinds[what].format("string"))
+        kind = self.spark.read.parquet(f"{self.path}/{names[0]}/gone").schema["id"].dataType.simpleString()
+        read = lambda n, w: self.spark.read.schema(kinds[w].format(kind)).parquet(f"{self.path}/{n}/{w}")
+        out, later = None, None
+        for n in reversed(names):
+            rows = read(n, what) if later is None else read(n, what).join(later, "id", "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+            later = read(n, "gone") if later is None else later.union(read(n, "gone"))
+        return out
+
+    def documents(self) -> DataFrame:
+        """``(id, dl)`` of all documents."""
+        return self._all("documents")
+
+    def hits(self, terms: DataFrame) -> DataFrame:
+        """Postings ``(id, dl, term, tf)`` of ``terms (term)``, the words of a batch of questions."""
+        numbers = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int")).distinct().collect()]  # at most ``parts``
+        return self._all("postings").where(F.col("part").isin(numbers)).join(terms.select("term").distinct(), "term").select("id", "dl", "term", "tf")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(qid, term, qtf)`` of ``queries (qid, text)``; a repeated word counts as often."""
     return queries.select("qid", F.explode(lexical_tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
@@ -39,19 +112,22 @@ def ranked(scores: DataFrame, score: str = "score", tie: str = "id", by: str = "
     return F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie))
 
 
-def bm25_topk(index: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
-    """BM25Plus ``(qid, id, score, rank)`` of the best ``k`` documents per query.
+def bm25_topk(index: DataFrame | KeptIndex, queries: DataFrame, k: int = 30) -> DataFrame:
+    """``index``: that of :func:`postings`, or a kept one. BM25Plus ``(qid, id, score, rank)`` of the best ``k`` documents per query.
 
     Only documents with a query term are scored term by term; the share that every document gets from a term (delta)
     is one constant per query, and documents without any of its terms all score that constant, so ``k`` of them, by id,
     are enough to fill up. Query terms are joined before the postings are aggregated. Scores are rounded to 9 digits
     before ranking so that copies tie exactly. A query without known terms gives no row.
     """
-    index = saved(index, "postings")  # tokens are made once; statistics, postings and fill-up read them
     terms = query_terms(queries)
+    if isinstance(index, KeptIndex):
+        hits, index = index.hits(terms), index.documents()
+    else:
+        index = saved(index, "postings")  # tokens are made once; statistics, postings and fill-up read them
+        hits = index.select("id", "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()  # two numbers
     n, average = stats["n"], stats["avgdl"] or 1.0
-    hits = index.select("id", "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     hits = saved(hits, "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weights = terms.join(df, "term").select("qid", "term", (F.col("qtf") * F.log((F.lit(n) + 1) / F.col("df"))).alias("w"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.python_udfs import yaml_fields
 from ..operators import chunking, graph, ingest, registry, resolve, retrieval, tasks
-from ..session import table
+from ..session import table, working_path
 from . import notes_sql
 
 #: The day that reports are made for.
@@ -235,6 +235,17 @@ def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25_topk(retrieval.postings(left, "doc_id", "text"), _questions(spark, sf), 10)
 
 
+def bm25_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as :func:`bm25_filtered` over a kept index: all documents, a part of them indexed again, and the files of one source taken out."""
+    docs = _documents(spark, sf).select(F.col("doc_id").alias("id"), "text", "source")
+    path = working_path(spark, "lexical")
+    retrieval.KeptIndex(spark, path).add(docs.withColumn("text", F.when(F.col("id") % 7 == 0, F.lit("an older text")).otherwise(F.col("text"))))
+    index = retrieval.KeptIndex(spark, path)  # as another session would open it
+    index.add(docs.where("id % 7 = 0"), docs.where("source = 'web_clip' and id % 7 <> 0"))
+    index.add(docs.limit(0), docs.where("source = 'web_clip'"))
+    return retrieval.bm25_topk(index, _questions(spark, sf), 10)
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -587,7 +598,7 @@ QUERIES = {
     for f in (
         wikilinks, loose_links, tags, frontmatter_tags, tag_names, note_bodies, atomic_notes, model_answers, notes_with_entry, dataview_fields, entry_fields, block_ids, headings, frontmatter, frontmatter_yaml, term_stems, uuid5_ids, temporal_intent,
         task_sentences, routes, section_headers, entry_lines, daily_notes, captured_items, filed_entries, message_split, chat_rendering, citations, chunk_exact, sections_native, bm25_topk,
-        bm25_term_stats, bm25_filtered, dense_topk, dense_filtered, dense_threshold, rrf_fuse, rrf_weighted, matched_hybrid, temporal_boost, hybrid_topk, eval_recall_mrr, eval_sources, qa_sources, graph_update, node_fields,
+        bm25_term_stats, bm25_filtered, bm25_kept, dense_topk, dense_filtered, dense_threshold, rrf_fuse, rrf_weighted, matched_hybrid, temporal_boost, hybrid_topk, eval_recall_mrr, eval_sources, qa_sources, graph_update, node_fields,
         graph_edges, graph_backlinks, graph_neighbors_1hop, graph_neighbors_2hop, graph_expand, tasks_parse, tasks_all, tasks_buckets, tasks_report, tasks_briefing,
         mark_task_pick, mark_task_by_text, registry_diff, registry_stats, registry_after, upsert_chunks, resolve_exact, resolve_fuzzy, grounded_links, note_lookup, dup_blocks,
         dup_subset_pairs, dup_fuzzy_pairs, recent_notes, recent_excerpts, dql_open_tasks, dql_recent_daily, dql_tagged, dql_recent_notes, dql_tagged_tasks, dql_backlinks,

@@ -349,6 +349,7 @@ select * from x where date is not null or month is not null""",
     "citations": "select chunk_no, concat_ws(chr(10), '• [[' || title || ']]', case when heading is distinct from title then '  → ## ' || heading end, '  → ^' || block_ids[1]) as citation from markdown_chunks",
     "bm25_topk": f"with {bm25(30)} select qid, id, score, rank from sparse",
     "bm25_filtered": f"with {bm25(10, '(select * from documents where source is distinct from ' + chr(39) + 'web_clip' + chr(39) + ')')} select qid, id, score, rank from sparse",
+    "bm25_kept": f"with {bm25(10, '(select * from documents where source is distinct from ' + chr(39) + 'web_clip' + chr(39) + ')')} select qid, id, score, rank from sparse",
     "bm25_term_stats": f"with {_INDEX.replace("{docs}", "documents")} words as (select id, unnest(list_distinct(tokens)) as term from index_) select term, count(*) as df from words group by term",
     "dense_topk": f"with {dense(30)} select qid, id, score, rank from dense",
     "dense_filtered": f"with {dense(10, same='and q.label = d.label')} select qid, id, score, rank from dense",
