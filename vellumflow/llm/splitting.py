@@ -30,7 +30,7 @@ PART = 128
 _BREAK = re.compile("[\n\r\x0b\x0c\x85  ]\\s*")
 _LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 _SENTENCE = re.compile("[.!?…؟।]+[\"'”’»)\\]]*(?=\\s)|[。！？｡]+[」』”’）]*")
-_SPACES = re.compile(r"\s{2,}(?=\S)")
+_SPACES = re.compile(r"\s+[^\S ](?=\S)")
 _SECTION = re.compile("#{1,6}\\s|```|~~~|---|\\* \\* \\*")
 _SECTION_STARTS = "#`~-*"
 
@@ -83,14 +83,16 @@ class _Marker(Encoder):
         return marks, ends
 
     def end_otherwise(self, text: str, marks: np.ndarray, ends: np.ndarray) -> None:
-        """Mark the last tokens of white space that has another number of tokens where a text ends with it: 128 more for one less, ``x`` else."""
+        """Mark the last tokens of white space that has another number of tokens where a text ends with it: a capital letter for one less, ``x`` else.
+
+        A last space belongs to the next word, so no token ends with such white space.
+        """
         runs = [m.span() for m in _SPACES.finditer(text)]
         if not runs:
             return
         begins, stops = np.array(runs).T
         last = np.searchsorted(ends, stops)
         whole = last + 1 - np.searchsorted(ends, begins, side="right")
-        # where the last white-space character belongs to the next word, no token ends with the run
         for k, n, (begin, stop) in zip(last.tolist(), whole.tolist(), runs):
             if ends[k] == stop:
                 run = text[begin:stop]
@@ -98,7 +100,7 @@ class _Marker(Encoder):
                     self.learn([run])
                 less = n - len(self.seen[run])
                 if less:
-                    marks[k] = marks[k] | 128 if less == 1 else 120
+                    marks[k] = marks[k] - 32 if less == 1 else 120
 
 
 def piece_pattern(limit: int, overlap: int) -> str:
@@ -126,7 +128,7 @@ def piece_pattern(limit: int, overlap: int) -> str:
 
 
 def marked(docs: DataFrame, least: int, tokenizers: str = TOKENIZERS, vocabulary_name: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, marks, raw, ends, parts)``, ``raw`` the marks as bytes for access by place (128 more where a piece that ends there has one token less), of texts of more than ``least`` tokens; ``docs`` has ``doc_id`` and ``text``."""
+    """``(doc_id, marks, raw, ends, parts)``, ``raw`` the marks as bytes for access by place (capital where a piece that ends there has one token less), of texts of more than ``least`` tokens; ``docs`` has ``doc_id`` and ``text``."""
     pieces = vocabulary(tokenizers, vocabulary_name)
     model = model_bytes(pieces)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -139,7 +141,7 @@ def marked(docs: DataFrame, least: int, tokenizers: str = TOKENIZERS, vocabulary
                 for (key, text), words in zip(group, marker.pretokens([t for _, t in group])):
                     m, e = marker.of(text, words)
                     if len(m) > least:
-                        plain = m & 127
+                        plain = m | 32
                         cuts = [0, *e[PART - 1 : -1 : PART].tolist(), len(text)]
                         ids.append(key), marks.append(plain.tobytes()), raw.append(m.tobytes()), ends.append(e), parts.append([text[a:b] for a, b in zip(cuts, cuts[1:])])
             offsets = np.zeros(len(ends) + 1, dtype=np.int32)
@@ -160,7 +162,7 @@ def running_sums(lengths: Column, block: int = 128) -> Column:
     sums = F.transform(numbers, lambda b: F.aggregate(of(b), F.lit(0), lambda a, k: a + k))
     blocks = F.flatten(F.transform(F.array(grown(sums, F.lit(0))), lambda bases: F.transform(numbers, lambda b: F.struct(b.alias("b"), F.get(bases, b).alias("base")))))
     inner = F.transform(blocks, lambda x: F.slice(grown(of(x["b"]), x["base"]), F.lit(2), F.lit(block)))
-    return F.when(F.size(lengths) > 0, F.concat(F.array(F.lit(0)), F.flatten(inner))).otherwise(F.array(F.lit(0)))
+    return F.when(F.size(lengths) <= block, grown(lengths, F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), F.flatten(inner)))
 
 
 def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizers: str = TOKENIZERS, vocabulary_name: str = VOCABULARY) -> DataFrame:
@@ -200,10 +202,10 @@ def split_texts(docs: DataFrame, profiles: list[tuple[str, int, int]], tokenizer
             first, last = F.floor(p["start"] / PART).cast("int"), F.floor((p["stop"] - 1) / PART).cast("int")
             base = F.when(first == 0, 0).otherwise(element("ends", first * PART - 1))
             begin = F.when(p["start"] == 0, 0).otherwise(element("ends", p["start"] - 1))
-            mark = F.conv(F.hex(F.substr("raw", p["stop"], F.lit(1))), 16, 10).cast("int")
+            mark = F.substr("raw", p["stop"], F.lit(1)).cast("string")
             return F.struct(
-                F.lit(name).alias("profile"), p["n"].alias("piece_no"), p["start"].alias("start_token"), (p["stop"] - p["start"] - F.when((p["stop"] < n) & (mark >= 128), 1).otherwise(0)).alias("n_tokens"),
-                (p["new"] - p["start"]).alias("overlap_tokens"), F.when(p["stop"] == n, F.lit("e")).otherwise(F.char(mark % 128)).alias("boundary"),
+                F.lit(name).alias("profile"), p["n"].alias("piece_no"), p["start"].alias("start_token"), (p["stop"] - p["start"] - F.when((p["stop"] < n) & (F.ascii(mark) < 97), 1).otherwise(0)).alias("n_tokens"),
+                (p["new"] - p["start"]).alias("overlap_tokens"), F.when(p["stop"] == n, F.lit("e")).otherwise(F.lower(mark)).alias("boundary"),
                 F.substr(F.array_join(F.slice("parts", first + 1, last - first + 1), ""), begin - base + 1, element("ends", p["stop"] - 1) - begin).alias("piece"),
             )
 
