@@ -261,14 +261,15 @@ def brute_ids(words_of, values):
             continue
         best = {}
         if key in short:
-            best[short[key]] = 0
+            best[short[key]] = (0, 0)
         for f, i in forms:
             ref = "".join(f)
             d = edits(key, ref)
             slip = lambda a, b: a == b or edits(a, b) == 1 and len(b) >= 2 or edits(a, b) == 2 and (len(b) >= 7 or len(b) >= 3 and sorted(a) == sorted(b))
             near = d == 0 or d <= len(ref) * 2 // 5 and (all(map(slip, w, f)) if len(f) == len(w) else d <= 2)
             if near:
-                best[i] = min(d, best.get(i, 99))
+                odd = sum(a[0] != b[0] for a, b in zip(w, f)) if d and len(f) == len(w) else 0
+                best[i] = min((d, odd), best.get(i, (99, 0)))
         low = [i for i, d in best.items() if d == min(best.values())]
         if len(low) == 1:
             out[v] = low[0]
@@ -280,7 +281,7 @@ MANY_SLIPS = ["Wlanut Cmoposting Porgramme Archive", "Walnt Compostng Program Ar
 
 def test_canonical_against_all_comparisons(spark):
     rng = random.Random(9)
-    values = ["[[fjord-taxonomy#x]]", "Notes on Fjord Taxonomy", "fjrt notes", "Taxonomy, Fjord", "PINATA PLANNING.md", "Glacier", "Fjord Taxonomy Basics", "Тimber Framewоrk", "Dir/walnut_composting_programme", "Tmber Framework", "Fjord Taxonomy", "", " ", "the", None, "x" * 5000, "FjordTaxonmy", "kepl archiivng", *MANY_SLIPS, "IA Ops", "A Ops", "AI Opps", "AIOps", "r", "rx", "walnutcomposting programme archive"]
+    values = ["[[fjord-taxonomy#x]]", "Notes on Fjord Taxonomy", "fjrt notes", "Taxonomy, Fjord", "PINATA PLANNING.md", "Glacier", "Fjord Taxonomy Basics", "Тimber Framewоrk", "Dir/walnut_composting_programme", "Tmber Framework", "Fjord Taxonomy", "", " ", "the", None, "x" * 5000, "FjordTaxonmy", "kepl archiivng", *MANY_SLIPS, "Embr Framework", "IA Ops", "A Ops", "AI Opps", "AIOps", "r", "rx", "walnutcomposting programme archive"]
     for _, name, _ in TERMS * 25:
         s = list(name)
         for _ in range(rng.randrange(0, 4)):
@@ -294,6 +295,7 @@ def test_canonical_against_all_comparisons(spark):
     got = canonical.canonical_ids(df, terms)
     assert {r.value: r.id for r in got.collect()} == brute_ids(words, {v for v in values if v is not None})
     assert {"[[fjord-taxonomy#x]]", "fjrt notes", "Taxonomy, Fjord", "PINATA PLANNING.md", "Тimber Framewоrk"} <= {r.value for r in got.collect()}
+    assert {r.value: r.id for r in got.where("value in ('Tmber Framework', 'Embr Framework')").collect()} == {"Tmber Framework": 5, "Embr Framework": 4}
     assert {r.value: r.id for r in got.where(F.col("value").isin(MANY_SLIPS)).collect()} == dict.fromkeys(MANY_SLIPS, 7)
     missing = {r.value: r.n_rows for r in canonical.unmatched(df, got).collect()}
     assert missing["Glacier"] == 1 and "Fjord Taxonomy Basics" in missing and not set(missing) & {r.value for r in got.collect()}

@@ -92,8 +92,8 @@ def canonical_ids(values: DataFrame, reference: DataFrame, salts: int = 8) -> Da
 
     A value means an entry if its plain words, in some rotation of the entry's, are the entry's up to one slip per word
     (:data:`SLIP`), in all no more than two fifths of the entry's letters, or if it is a short form. Words run together or
-    apart count as the entry within two edits in all. Of several entries the nearest counts; a tie between two entries
-    means none. Null and blank values mean none. Neither side is collected or capped; the number of slips follows from
+    apart count as the entry within two edits in all. Of several entries the nearest counts, of equally near ones that with
+    the fewest other first letters, as slips seldom touch these; a tie that is left means none. Null and blank values mean none. Neither side is collected or capped; the number of slips follows from
     the number of words. Every entry is found by its rarest word: distinct words of the values are matched with those
     first, and values then by equality on the word, its place and the number of words, spread over ``salts``.
     """
@@ -101,7 +101,7 @@ def canonical_ids(values: DataFrame, reference: DataFrame, salts: int = 8) -> Da
     keyed = saved(keyed.where("key <> ''"), "p4_keys")
     keys = keyed.select("key", "words").distinct()
     forms = saved(reference_forms(reference), "p4_forms")
-    exact = keys.select("key", "words").join(forms.select(F.col("ref").alias("key"), "id"), "key").select("key", "words", "id", F.lit(0).alias("distance"))
+    exact = keys.select("key", "words").join(forms.select(F.col("ref").alias("key"), "id"), "key").select("key", "words", "id", F.lit(0).alias("distance"), F.lit(0).alias("odd"))
     full = forms.where("not short").select("ref", F.col("words").alias("ref_words"), "id")
 
     # word by word
@@ -117,15 +117,17 @@ def canonical_ids(values: DataFrame, reference: DataFrame, salts: int = 8) -> Da
     pairs = at.join(near.withColumn("salt", salt(salts)), ["v", "salt"]).drop("v").join(anchors.withColumn("salt", salt(salts)), ["n", "pos", "r", "salt"])
     slips = pairs.where(F.expr(f"forall(zip_with(words, ref_words, (a, b) -> {SLIP.format(a='a', b='b')}), ok -> ok)"))
     slips = slips.withColumn("distance", F.levenshtein("key", "ref")).where("distance > 0 and distance <= length(ref) * 2 div 5")
+    slips = slips.withColumn("odd", F.size(F.filter(F.zip_with("words", "ref_words", lambda a, b: F.substring(a, 1, 1) != F.substring(b, 1, 1)), lambda x: x)))
 
     # run together or apart
     joined = _pigeonhole(keys.select(F.col("key").alias("v")).distinct(), full.select(F.col("ref").alias("r")).distinct(), F.least(F.lit(2), F.floor(F.col("len") * 2 / 5).cast("int")))
     apart = joined.join(full, F.col("r") == F.col("ref")).select(F.col("v").alias("key"), "ref", "ref_words", "id").join(keys, "key").where("size(words) <> size(ref_words)")
     apart = apart.withColumn("distance", F.levenshtein("key", "ref")).where("distance > 0")
 
-    found = exact.unionByName(slips.select("key", "words", "id", "distance")).unionByName(apart.select("key", "words", "id", "distance"))
-    best = found.groupBy("key", "words").agg(F.min("distance").alias("distance"), F.collect_set(F.struct("distance", "id")).alias("hits"))
-    best = best.select("key", "words", "distance", F.array_distinct(F.expr("transform(filter(hits, h -> h.distance = distance), h -> h.id)")).alias("ids"))
+    kept = ["key", "words", "id", "distance", "odd"]
+    found = exact.select(kept).unionByName(slips.select(kept)).unionByName(apart.withColumn("odd", F.lit(0)).select(kept))
+    best = found.groupBy("key", "words").agg(F.min(F.struct("distance", "odd")).alias("least"), F.collect_set(F.struct("distance", "odd", "id")).alias("hits"))
+    best = best.select("key", "words", "least.distance", F.array_distinct(F.expr("transform(filter(hits, h -> h.distance = least.distance and h.odd = least.odd), h -> h.id)")).alias("ids"))
     best = best.where("size(ids) = 1").select("key", "words", F.col("ids")[0].alias("id"), "distance")
     return keyed.join(best, ["key", "words"]).select("value", "id", "distance")
 

@@ -194,7 +194,7 @@ forms as (
   union select term_id, words, true from (select term_id, {_CONTENT} from (select term_id, {_plain_words("s")} as w from (select term_id, unnest(short_forms) as s from topic_terms)))),
 refs as (select *, array_to_string(words, '') as ref from forms),
 hits as (
-  select v.key, v.words, f.id, levenshtein(v.key, f.ref) as distance from keys v join refs f on v.key = f.ref
+  select v.key, v.words, f.id, (levenshtein(v.key, f.ref), case when v.key <> f.ref and len(v.words) = len(f.words) then len(list_filter(range(1, len(v.words) + 1), lambda i: left(v.words[i], 1) <> left(f.words[i], 1))) else 0 end) as distance from keys v join refs f on v.key = f.ref
     or (not f.short and abs(len(v.key) - len(f.ref)) <= 2 * len(f.words) and levenshtein(v.key, f.ref) <= len(f.ref) * 2 // 5
       and case when len(v.words) = len(f.words) then len(list_filter(range(1, len(v.words) + 1), lambda i: not {_SLIP})) = 0 else levenshtein(v.key, f.ref) <= 2 end)),
 nearest as (select key, words, id from (select *, min(distance) over (partition by key, words) as least from hits) where distance = least),
