@@ -40,7 +40,7 @@ def test_kept_index_after_updates_equals_a_new_one(spark, tmp_path):
     word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"])
     queries = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "none")], "qid int, text string")
     now = {}
-    for _ in range(5):
+    for _ in range(4):
         new = {rng.randrange(30): " ".join(word() for _ in range(rng.randrange(0, 9))) for _ in range(8)}
         gone = set(rng.sample(range(30), 3)) - set(new)
         now = {k: v for k, v in now.items() if k not in gone} | new
