@@ -161,7 +161,7 @@ def daily_notes(spark: SparkSession, sf: str) -> DataFrame:
 def notes_with_entry(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a line put under a section of the daily note: digests of the new texts."""
     d = _documents(spark, sf).where("text is not null")
-    header = F.when(F.col("doc_id") % 2 == 0, F.lit(t.LOG)).otherwise(F.coalesce(F.nullif(F.regexp_extract("text", r"(?m)^(## .*\S)$", 1), F.lit("")), F.lit(t.TASKS)))
+    header = F.when(F.col("doc_id") % 2 == 0, F.lit(t.LOG)).otherwise(F.coalesce(F.nullif(F.regexp_extract("text", r"(?md)^(## .*\S)$", 1), F.lit("")), F.lit(t.TASKS)))
     return d.select("doc_id", F.md5(tasks.insert_under(F.col("text"), header, F.concat(F.lit("- filed "), F.col("doc_id").cast("string")))).alias("digest"))
 
 

@@ -325,6 +325,22 @@ spans as (select *, regexp_extract_all(d, '`([^`\\n]+)`', 1) as s, {_escaped("re
 tagged as (select *, {_steps("e", (r"\[([^\]\n]+)\]\((https?://[^\s)]+)\)", r'<a href="\2">\1</a>'), (r"\*\*([^*\n]+)\*\*", r"<b>\1</b>"), _STAR, _STAR, _LINE_, _LINE_, (r"~~([^~\n]+)~~", r"<s>\1</s>"))} as t,
   list_transform(b, lambda x: '<pre><code>' || {_escaped("x")} || '</code></pre>') as bb, list_transform(s, lambda x: '<code>' || {_escaped("x")} || '</code>') as ss from spans)
 select chunk_no, md5({_restored(_restored("t", 57345, "ss"), 57344, "bb")}) as digest from tagged"""
+_RSTRIP = "regexp_replace({0}, '[ \\t\\n\\x0b\\f\\r]+$', '')"
+_INSERTED = f"""
+with d as (select doc_id, text, '- filed ' || doc_id as line, {_RSTRIP.format("text")} as bare, case when doc_id % 2 = 0 then '{LOG}' else coalesce(nullif(regexp_extract(text, '(?m)^(## .*\\S)$', 1), ''), '{TASKS}') end as header from documents where text is not null),
+f as (select *, chr(10) || bare || chr(10) as whole, strpos(chr(10) || bare || chr(10), chr(10) || header || chr(10)) as start from d),
+g as (select *, substr(whole, start + length(header) + 1) as tail from f),
+h as (select *, least(case when strpos(substr(tail, 1), chr(10) || '# ') > 0 then strpos(tail, chr(10) || '# ') else length(tail) + 1 end, case when strpos(tail, chr(10) || '## ') > 0 then strpos(tail, chr(10) || '## ') else length(tail) + 1 end) as at_ from g),
+i as (select *, left(tail, at_ - 1) as section, substr(tail, at_) as rest from h)
+select doc_id, md5(case when start > 0 then substr(whole, 2, start + length(header) - 1) || {_RSTRIP.format("section")} || chr(10) || line || case when trim(rest, {WS}) = '' then chr(10) else chr(10) || rest end
+  else bare || chr(10) || chr(10) || header || chr(10) || line || chr(10) end) as digest from i"""
+_NODES = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+f as (select *, case when text like '---%' and strpos(substr(text, 4), '---') > 0 then substr(text, 4, strpos(substr(text, 4), '---') - 1) end as front, case when text like '---%' and strpos(substr(text, 4), '---') > 0 then substr(text, strpos(substr(text, 4), '---') + 6) else text end as body from d),
+g as (select *, coalesce(list_transform(regexp_extract_all(regexp_extract(replace(front, chr(13), ''), '(?m)^tags:[ ]*\\n((?:[ ]*- .*\\n?)+)', 1), '- *(\\S.*)', 1), lambda t: '#' || lower(regexp_replace(t, '^#+', ''))), []) as ft,
+  list_transform(list_filter(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}_])#([a-zA-Z0-9_\\-/]*[a-zA-Z0-9_])', 1), lambda x: not regexp_matches(x, '^\\d+$')), lambda x: '#' || lower(x)) as bt from f)
+select doc_id, array_to_string(list_sort(list_distinct(list_concat(ft, bt))), ',') as tags, len(regexp_extract_all(body, '(?m)^#{{1,6}}[ \\t]+(.+)$', 1))::int as n_headings,
+  len(regexp_extract_all(body, '(?m)\\^([a-zA-Z0-9_-]+)\\s*$', 1))::int as n_blocks, len(list_filter(list_transform(regexp_extract_all(body, '{_LINK}', 1), lambda x: {strip("x")}), lambda x: x <> ''))::int as n_links, 0 as n_aliases from g"""
 SQL = {
     "wikilinks": f"select chunk_no, unnest(range(0, len(l)))::int as pos, unnest(l) as link from (select chunk_no, list_filter(list_transform(regexp_extract_all(content, '{_LINK}', 1), lambda x: {strip('x')}), lambda x: x <> '') as l from markdown_chunks)",
     "tags": r"select chunk_no, unnest(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(content, '(?:^|[^\p{L}\p{N}_])#([a-zA-Z0-9_\-/]*[a-zA-Z0-9_])', 1), lambda x: not regexp_matches(x, '^\d+$')), lambda x: '#' || lower(x))))) as tag from markdown_chunks",
@@ -451,4 +467,6 @@ from interstitial_entries where atomic_note_title is not null""",
 with {_TASKS}, asked as (select entry_no as rid, vault_id, case when entry_no % 5 <> 0 then upper(regexp_extract(task_text, '(\\S+ \\S+)$', 1)) end as p from identified where not completed),
 hits as (select rid, t.path, t.line_number from asked a join identified t on t.vault_id = a.vault_id and not t.completed and (coalesce(a.p, '') = '' or contains(lower(t.raw_line), lower(a.p))))
 select rid, path, line_number from (select *, row_number() over (partition by rid order by path desc, line_number) as n from hits) where n = 1""",
+    "notes_with_entry": _INSERTED,
+    "node_fields": _NODES,
 }
