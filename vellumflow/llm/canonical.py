@@ -71,7 +71,7 @@ def _pigeonhole(values: DataFrame, references: DataFrame, k: Column) -> DataFram
     """
     begin, end = F.expr("i * len div (k + 1)"), F.expr("(i + 1) * len div (k + 1)")
     cut = references.withColumn("len", F.length("r")).withColumn("k", k).where("k >= 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    segments = saved(cut.select("r", "k", "len", "i", F.substring("r", begin.cast("int") + 1, (end - begin).cast("int")).alias("segment")), "p4_segments")
+    segments = cut.select("r", "k", "len", "i", F.substring("r", begin.cast("int") + 1, (end - begin).cast("int")).alias("segment"))
     probe = values.withColumn("n", F.length("v")).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - 2), F.col("n") + 2)))
     probe = probe.withColumn("k", k).where((F.col("k") >= 0) & (F.abs(F.col("n") - F.col("len")) <= F.col("k"))).join(segments.select("len").distinct(), "len", "left_semi")
     probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("b", begin.cast("int")).withColumn("size", end.cast("int") - F.col("b"))
@@ -109,10 +109,9 @@ def canonical_ids(values: DataFrame, reference: DataFrame, salts: int = 8) -> Da
     common = placed.groupBy("r").agg(F.count_distinct("id").alias("entries"))
     anchors = placed.join(common, "r").groupBy("ref", "ref_words", "id").agg(F.min(F.struct("entries", (-F.length("r")).alias("short"), "pos", "r")).alias("a"))
     salt = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    anchors = saved(anchors.select("ref", "ref_words", "id", F.size("ref_words").alias("n"), "a.pos", "a.r"), "p4_anchors")
+    anchors = anchors.select("ref", "ref_words", "id", F.size("ref_words").alias("n"), "a.pos", "a.r")
     spelled = keys.select(F.explode("words").alias("v")).distinct()
     near = _pigeonhole(spelled, anchors.select("r").distinct(), F.least(F.lit(2), F.col("len") - 1)).where(F.expr(SLIP.format(a="v", b="r")))
-    near = saved(near, "p4_words")
     at = keys.select("key", "words", F.size("words").alias("n"), F.posexplode("words").alias("pos", "v")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
     pairs = at.join(near.withColumn("salt", salt(salts)), ["v", "salt"]).drop("v").join(anchors.withColumn("salt", salt(salts)), ["n", "pos", "r", "salt"])
     slips = pairs.where(F.expr(f"forall(zip_with(words, ref_words, (a, b) -> {SLIP.format(a='a', b='b')}), ok -> ok)"))
