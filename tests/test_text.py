@@ -140,11 +140,11 @@ def test_message_parts(spark):
 
 
 def test_chat_html(spark):
-    raw = "Based on [Microsoft Azure]:\n\n---\n\n### 1. Core Infrastructure\n Regions: Global\n [Availability Zones|AZs]: in [Azure]\n\n**Sources:**\n• [[2026-08-15]] → ## D"
+    raw = "What [Green Tea] needs:\n\n***\n\n### 2. Water\n Heat: eighty degrees\n [Steeping Time|minutes]: in [Kitchen]\n\n**Seen in:**\n• [[2026-01-09]] → ## Log"
     shown = run(spark, t.chat_markdown, [raw])[0]
-    assert "🔹 *1. Core Infrastructure*" in shown and "─" * 23 in shown and "[[Availability Zones|AZs]]" in shown
+    assert "🔹 *2. Water*" in shown and "─" * 23 in shown and "[[Steeping Time|minutes]]" in shown
     html = run(spark, lambda c: t.chat_html(t.chat_markdown(c)), [raw])[0]
-    assert "<b>1. Core Infrastructure</b>" in html and "<b>Sources:</b>" in html and "[[Microsoft Azure]]" in html
+    assert "<b>2. Water</b>" in html and "<b>Seen in:</b>" in html and "[[Green Tea]]" in html
     texts = ["**b** `a<b` <x> & *c* _it_ ~~s~~ a_b_c 2*3*4", "```py\nif a < b: *x*\n``` then `*y*` [t](https://u.v/w)", "*bold `code` on*", "", None]
     assert run(spark, t.chat_html, texts) == [
         "<b>b</b> <code>a&lt;b</code> &lt;x&gt; &amp; <b>c</b> <i>it</i> <s>s</s> a_b_c 2*3*4",
