@@ -219,6 +219,20 @@ def test_within_against_all_pairs(spark):
     assert {(r.qid, r.tid) for r in got.collect()} == {(q, t) for q, s, p in parts for t, o, x in texts if s == o and p and p in x}
 
 
+def test_runs_and_notes_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, "a/Estimate.md", "Estimate", 0), (1, "b/Meeting.md", "Meeting", 1)], "scope int, path string, stem string, dir_rank int").write.parquet(f"{tmp_path}/notes")
+    spark.createDataFrame([(1, 1, "estimate"), (2, 1, "eetin"), (3, 1, "Meeting v2")], "qid int, scope int, name string").write.parquet(f"{tmp_path}/asked")
+    notes, asked = spark.read.parquet(f"{tmp_path}/notes"), spark.read.parquet(f"{tmp_path}/asked")  # tables of files have a known size
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 50))  # the planner takes runs to be as small as their texts
+    try:
+        found = resolve.look_up(asked, notes)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.qid: r.match for r in found.collect()} == {1: 2, 2: 4, 3: 3}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_tasks(spark):
     text = "# Day\n## 🎯 Priorities & Tasks\n- [ ] first 📅 2026-08-20 ^t1\n* [x] done\n+ [ ] second"
     notes = spark.createDataFrame([(1, "Daily Notes/2026-08-21.md", text), (1, "Notes/x.md", None)], "scope int, path string, text string")

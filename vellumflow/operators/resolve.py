@@ -97,6 +97,9 @@ def within(queries: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
     A text that contains a part has all its runs of ``size`` characters. Of a part only the run that the fewest texts of
     its scope have is joined, and ``contains`` decides. Parts shorter than ``size`` are joined by themselves with the runs of
     their own length. Empty parts are in nothing.
+
+    Runs are many times their texts, which the planner doesn't know of: their joins are by sorting, or it would send
+    all runs to the driver to broadcast them.
     """
     # all runs of n characters in one pass: a look-ahead takes no character
     runs = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)))
@@ -104,12 +107,12 @@ def within(queries: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
     lengths = [r[0] for r in q.select("n").distinct().collect()]  # 1 to size
     if not lengths:
         return queries.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, tid {texts.schema['tid'].dataType.simpleString()}")
-    t = texts.where("text is not null").select("tid", "scope", "text", F.explode(F.flatten(F.array(*[runs(F.col("text"), F.lit(n)) for n in lengths]))).alias("run"))
-    t = t.distinct()
+    t = texts.where("text is not null").select("tid", "scope", "text").distinct()
+    t = t.select("tid", "scope", "text", F.explode(F.flatten(F.array(*[runs(F.col("text"), F.lit(n)) for n in lengths]))).alias("run"))
     asked = q.select("qid", "scope", "part", F.explode(runs(F.col("part"), F.col("n"))).alias("run"))
-    common = t.join(asked.select("scope", "run").distinct(), ["scope", "run"], "left_semi").groupBy("scope", "run").agg(F.count("*").alias("texts"))
-    rarest = asked.join(common, ["scope", "run"], "left").groupBy("qid", "scope", "part").agg(F.min_by("run", F.struct(F.coalesce("texts", F.lit(0)), "run")).alias("run"))
-    return rarest.join(t, ["scope", "run"]).where(F.contains("text", F.col("part"))).select("qid", "tid")
+    common = t.groupBy("scope", "run").agg(F.count("*").alias("texts"))
+    rarest = asked.join(common.hint("merge"), ["scope", "run"], "left").groupBy("qid", "scope", "part").agg(F.min_by("run", F.struct(F.coalesce("texts", F.lit(0)), "run")).alias("run"))
+    return rarest.join(t.hint("merge"), ["scope", "run"]).where(F.contains("text", F.col("part"))).select("qid", "tid")
 
 
 def mentions(texts: DataFrame, parts: DataFrame, per_round: int = 1000) -> DataFrame:
@@ -139,9 +142,9 @@ def look_up(queries: DataFrame, notes: DataFrame) -> DataFrame:
     parts = q.select(F.col("k").alias("qid"), "scope", F.col("low").alias("part")).distinct()
     inside = within(parts, stems.select("tid", "scope", F.col("stem_low").alias("text"))).select(F.col("qid").alias("k"), "tid")
     begins = parts.select(F.col("qid").alias("k"), "scope", F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.substr("part", F.lit(1), i))).alias("stem_low"))
-    begun = begins.join(stems, ["scope", "stem_low"]).select("k", "tid")
-    pairs = inside.union(begun).distinct().join(stems, "tid").select("k", "scope", "stem_low")
-    hits = q.join(pairs, ["k", "scope"]).join(n, ["scope", "stem_low"])
+    begun = begins.join(stems.hint("merge"), ["scope", "stem_low"]).select("k", "tid")
+    pairs = inside.union(begun).distinct().join(stems.hint("merge"), "tid").select("k", "scope", "stem_low")
+    hits = q.join(pairs.hint("merge"), ["k", "scope"]).join(n.hint("merge"), ["scope", "stem_low"])
     match = (
         F.when(F.col("stem") == F.col("name"), 1).when(F.col("stem_low") == F.col("low"), 2)
         .when(F.startswith(F.col("stem_low"), F.col("low")) | F.startswith(F.col("low"), F.col("stem_low")), 3)
