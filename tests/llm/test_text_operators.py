@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -307,3 +308,24 @@ def test_scheme_covers_every_pair_of_sizes():
     for s in range(5, 400):
         r = math.floor(s / 0.6)
         assert scheme.band(np.array([r]))[0] - scheme.band(np.array([s]))[0] in (0, 1)
+
+
+def test_marks_of_long_white_space_take_linear_time():
+    pieces = tokens.vocabulary()
+    marker = splitting._Marker(tokens.model_bytes(pieces), pieces)
+    text = "\n" * 60_000 + " b"  # each place of the run was the start of a search through the rest of it
+    marker.learn([text[:-2], " b"])
+    began = time.process_time()
+    marks, ends = marker.of(text, [text[:-2], " b"])
+    assert time.process_time() - began < 2
+    assert ends[-1] == len(text) and len(marks) == len(ends)
+
+
+def test_pieces_at_the_end_of_the_marks(spark):
+    rng = random.Random(3)
+    marks = ["".join(rng.choices("cccwwwslphx", k=rng.randint(1, 90))) for _ in range(300)]
+    pattern = splitting.piece_pattern(16, 4)
+    plain = pattern.replace("}+\\z", "}\\z")  # with all shorter ends tried as well
+    assert plain != pattern
+    found = [F.regexp_extract_all("m", F.lit("(?s)" + p), F.lit(0)) for p in (pattern, plain)]
+    assert spark.createDataFrame([(m,) for m in marks], "m string").where(found[0] != found[1]).count() == 0

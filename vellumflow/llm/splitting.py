@@ -29,24 +29,25 @@ from .tokens import TOKENIZERS, VOCABULARY, Encoder, in_groups, model_bytes, voc
 PART = 128
 _BREAK = re.compile("[\n\r\x0b\x0c\x85  ]\\s*")
 _LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
-_SENTENCE = re.compile("[.!?…؟।]+[\"'”’»)\\]]*(?=\\s)|[。！？｡]+[」』”’）]*")
-_SPACES = re.compile(r"\s+[^\S ](?=\S)")
+# patterns that begin with one set of characters are searched for many times faster than those that begin with a repeat
+_SENTENCE = re.compile("[.!?…؟।。！？｡](?:(?<=[.!?…؟।])[.!?…؟।]*[\"'”’»)\\]]*(?=\\s)|(?<=[。！？｡])[。！？｡]*[」』”’）]*)")
+_SPACES_END = re.compile(r"[^\S ](?<=\s\s)(?=\S)")
 _SECTION = re.compile("#{1,6}\\s|```|~~~|---|\\* \\* \\*")
 _SECTION_STARTS = "#`~-*"
 
 
 class _Marker(Encoder):
-    """Remembers of each pre-token its marks (a leading ``_`` says that it begins with white space) and the characters each token completes, as bytes."""
+    """Remembers of each pre-token, two bytes a token, its marks (the first with the upper bit if it begins with white space) and the characters each token completes."""
 
     def __init__(self, model: bytes, pieces: list[bytes]):
         super().__init__(model)
         self.lengths = np.array([len(p) for p in pieces])
-        self.marks: dict[str, bytes] = {}
-        self.chars: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.lines: dict[str, int] = {"\n": 108, "\n\n": 112}
 
     def forget(self) -> None:
         super().forget()
-        self.marks.clear(), self.chars.clear()
+        self.known.clear(), self.lines.clear()
 
     def learn(self, new: list[str]) -> None:
         super().learn(new)
@@ -54,31 +55,42 @@ class _Marker(Encoder):
         closes = np.append((raw[1:] & 0xC0) != 0x80, True)  # does a character end with this byte?
         ids = [self.seen[w] for w in new]
         stops = np.cumsum(self.lengths[np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int64)]) - 1
-        marks = np.where(closes[stops], 99, 120).astype(np.uint8).tobytes()
-        chars = np.diff(np.cumsum(closes)[stops], prepend=0).astype(np.uint8).tobytes()
-        at = 0
-        for w, n in zip(new, map(len, ids)):
-            self.marks[w] = b"_" * w[0].isspace() + marks[at : at + n]
-            self.chars[w] = chars[at : at + n]
-            at += n
+        both = np.empty((len(stops), 2), dtype=np.uint8)
+        both[:, 0] = np.where(closes[stops], 99, 120)
+        both[:, 1] = np.diff(np.cumsum(closes)[stops], prepend=0)
+        upto = np.cumsum([len(i) for i in ids])
+        first = np.r_[0, upto[:-1]]
+        both[first[np.array([w[0].isspace() for w in new])], 0] |= 128
+        raw = both.tobytes()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(new, (2 * first).tolist(), (2 * upto).tolist()))
 
     def of(self, text: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Marks (as bytes) and end offsets in characters of all tokens of a text of known pre-tokens."""
-        joined = b"".join(map(self.marks.__getitem__, words))
-        marks = np.frombuffer(joined.replace(b"c_", b"w").replace(b"_", b""), dtype=np.uint8).copy()
-        ends = np.cumsum(np.frombuffer(b"".join(map(self.chars.__getitem__, words)), dtype=np.uint8), dtype=np.int32)
+        both = np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.uint8).reshape(-1, 2)
+        marks = both[:, 0] & 127
+        marks[:-1][(both[1:, 0] > 127) & (marks[:-1] == 99)] = 119
+        ends = np.cumsum(both[:, 1], dtype=np.int32)
         stops = np.array([m.end() for m in _SENTENCE.finditer(text)], dtype=np.int32)
         at = np.searchsorted(ends, stops)
         at = at[ends[np.minimum(at, len(ends) - 1)] == stops]
         marks[at[marks[at] != 120]] = 115
-        breaks = [(m.start(), m.end(), m.group()) for m in _BREAK.finditer(text)]
-        last = np.searchsorted(ends, np.array([b[1] for b in breaks], dtype=np.int32), side="right") - 1
-        for (begin, end, run), k in zip(breaks, last.tolist()):
-            while k >= 0 and marks[k] == 120:
-                k -= 1
-            if k < 0 or ends[k] <= begin:
-                continue
-            marks[k] = 104 if text[end : end + 1] in _SECTION_STARTS and _SECTION.match(text, end) else 112 if len(run) > 1 and len(_LINE.findall(run)) > 1 else 108
+        breaks = [m.span() for m in _BREAK.finditer(text)]
+        last = np.searchsorted(ends, np.array([b for _, b in breaks], dtype=np.int32), side="right") - 1
+        while (inside := (last >= 0) & (marks[last] == 120)).any():
+            last = last - inside
+        found = []
+        for (begin, end), k, stop in zip(breaks, last.tolist(), ends[last].tolist()):
+            if k < 0 or stop <= begin:
+                found.append(0)
+            elif text[end : end + 1] in _SECTION_STARTS and _SECTION.match(text, end):
+                found.append(104)
+            else:
+                run = text[begin:end]
+                if run not in self.lines:
+                    self.lines[run] = 112 if len(_LINE.findall(run)) > 1 else 108
+                found.append(self.lines[run])
+        found = np.array(found, dtype=np.uint8)
+        marks[last[found > 0]] = found[found > 0]
         self.end_otherwise(text, marks, ends)
         return marks, ends
 
@@ -87,7 +99,12 @@ class _Marker(Encoder):
 
         A last space belongs to the next word, so no token ends with such white space.
         """
-        runs = [m.span() for m in _SPACES.finditer(text)]
+        runs = []
+        for m in _SPACES_END.finditer(text):
+            begin = m.start() - 1
+            while begin and text[begin - 1].isspace():
+                begin -= 1
+            runs.append((begin, m.end()))
         if not runs:
             return
         begins, stops = np.array(runs).T
@@ -114,7 +131,7 @@ def piece_pattern(limit: int, overlap: int) -> str:
     def ways(most: int, start: str, least: int) -> list[str]:
         half = max(most // 2, least)
         return [
-            rf"{start}.{{1,{most}}}\z",
+            rf"{start}.{{1,{most}}}+\z",  # fewer would not reach the end either
             rf"{start}.{{{half},{most - 1}}}[hp]",
             rf"{start}.{{{half},{most - 1}}}l",
             rf"{start}.{{{half},{most - 1}}}s",
