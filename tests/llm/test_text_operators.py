@@ -329,3 +329,22 @@ def test_pieces_at_the_end_of_the_marks(spark):
     assert plain != pattern
     found = [F.regexp_extract_all("m", F.lit("(?s)" + p), F.lit(0)) for p in (pattern, plain)]
     assert spark.createDataFrame([(m,) for m in marks], "m string").where(found[0] != found[1]).count() == 0
+
+
+def test_shingles_of_many_texts_at_once():
+    rng = random.Random(8)
+    texts = [None, "", "a b", "é 漢字 x_y"] + [" ".join(rng.choices("abcdefg", k=rng.randint(1, 40))) for _ in range(200)]
+    shingler = neardup.Shingler(3, 5)
+    places, sizes, shingles = shingler.of(texts)
+    words = [shingler.words(t or "") for t in texts]
+    assert places == [k for k, w in enumerate(words) if len(w) >= 5]
+    assert sizes.tolist() == [len(set(zip(words[k], words[k][1:], words[k][2:]))) for k in places]  # none reaches into the next text
+    alone = [shingler.of([texts[k]])[2] for k in places]
+    assert np.array_equal(shingles, np.concatenate(alone)) and all((np.diff(a.astype(np.int64)) > 0).all() for a in alone)
+
+
+def test_stable_order():
+    rng = np.random.default_rng(1)
+    for top in (5, 1 << 40, (1 << 63) - 1):
+        keys = rng.integers(0, top, 5000)
+        assert np.array_equal(neardup.stable_order(keys), np.argsort(keys, kind="stable"))

@@ -52,39 +52,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """A stable argsort of numbers from 0 on: each takes its place into its lower bits, where there is room, so that plain numbers are sorted."""
+    low = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + low > 64:
+        return np.argsort(keys, kind="stable")
+    placed = (keys.astype(np.uint64) << U(low)) | np.arange(len(keys), dtype=np.uint64)
+    placed.sort()
+    return (placed & U((1 << low) - 1)).astype(np.int64)
+
+
+class _Digests(dict):
+    """Words' hashes as bytes, each made when it is first asked for."""
+
+    def __init__(self):
+        import xxhash
+
+        self.digest = xxhash.xxh3_64_digest
+
+    def __missing__(self, word: str) -> bytes:
+        made = self[word] = self.digest(word)
+        return made
+
+
 class Shingler:
     """Distinct shingles of texts as sorted 40-bit numbers; the hash of a word is kept once it was made."""
 
     def __init__(self, words: int, least_words: int):
-        import xxhash
-
-        self.n, self.least, self.known, self.digest = words, max(words, least_words), {}, xxhash.xxh3_64_intdigest
+        self.n, self.least, self.known = words, max(words, least_words), _Digests()
 
     def words(self, text: str) -> list[str]:
         return _WORD.findall(text.lower())
 
-    def of(self, text: str | None) -> np.ndarray | None:
-        """None if the text has too few words to count."""
-        if not text:
-            return None
-        words = self.words(text)
-        if len(words) < self.least:
-            return None
-        try:
-            h = list(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = self.digest(w)
-            h = list(map(self.known.__getitem__, words))
-        h = np.array(h, dtype=np.uint64)
+    def of(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """``(places, sizes, shingles)`` of some texts, one behind the other; those of too few words are left out."""
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        places, many, hashes = [], [], []
+        for k, text in enumerate(texts):
+            words = self.words(text) if text else []
+            if words and len(words) >= self.least:
+                places.append(k), many.append(len(words)), hashes.append(b"".join(map(self.known.__getitem__, words)))
+        if not places:
+            return [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        h = np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64)
         n = len(h) - self.n + 1
         x = h[:n]
         for k in range(1, self.n):
             x = mixed(x) + h[k : k + n]
-        return np.unique(mixed(x) >> U(24))
+        doc, left = np.repeat(np.arange(len(many)), many)[:n], np.repeat(np.cumsum(many), many)[:n] - np.arange(n)
+        keys = ((doc.astype(np.uint64) << U(40)) | (mixed(x) >> U(24)))[left >= self.n]  # none goes over the end of its text
+        keys.sort()
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+        return places, np.bincount((keys >> U(40)).astype(np.int64), minlength=len(many)), keys & U((1 << 40) - 1)
+
+
+def _parts(batch: pa.RecordBatch, texts: int = 1024, characters: int = 2_000_000) -> Iterator[tuple[list[int], list[str | None]]]:
+    """Keys and texts of a batch, so many at a time that their words take little memory."""
+    keys, held, size = [], [], 0
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        keys.append(key), held.append(text)
+        size += len(text or "")
+        if len(held) == texts or size >= characters:
+            yield keys, held
+            keys, held, size = [], [], 0
+    if held:
+        yield keys, held
 
 
 def shingle_blocks(docs: DataFrame, words: int, least_words: int) -> DataFrame:
@@ -101,18 +134,19 @@ def shingle_blocks(docs: DataFrame, words: int, least_words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["block", "docs", "sizes", "digests", "shingles"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingler.of(text)
-                if s is None:
+            for keys, texts in _parts(batch):
+                places, many, s = shingler.of(texts)
+                if not places:
                     continue
-                ids.append(key), sizes.append(len(s)), packed.append(s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-                a = mixed(s + U(1))
-                digests.append(f"{int(a.sum(dtype=np.uint64)):016x}{int(mixed(s + U(2)).sum(dtype=np.uint64)):016x}")
-                held += len(s)
-                if len(ids) == BLOCK or held >= 2_000_000:
-                    yield block()
-                    number, held = number + 1, 0
-                    ids, sizes, digests, packed = [], [], [], []
+                raw, stops = s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), np.cumsum(many)
+                sums = [np.add.reduceat(mixed(s + U(k)), stops - many).tolist() for k in (1, 2)]
+                for place, size, stop, first, second in zip(places, many.tolist(), stops.tolist(), *sums):
+                    ids.append(keys[place]), sizes.append(size), packed.append(raw[5 * (stop - size) : 5 * stop]), digests.append(f"{first:016x}{second:016x}")
+                    held += size
+                    if len(ids) == BLOCK or held >= 2_000_000:
+                        yield block()
+                        number, held = number + 1, 0
+                        ids, sizes, digests, packed = [], [], [], []
         if ids:
             yield block()
 
@@ -245,7 +279,7 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, size: np.ndarray, counts:
     band = own[d]
     seg = (mixed(x + U(7)) % scheme.segments(band).astype(np.uint64)).astype(np.int64)
     width = int(scheme.segments(np.array([own.max(initial=0)]))[0]) + 1
-    order = np.argsort(d * width + seg, kind="stable")
+    order = stable_order(d * width + seg)
     d, x, seg, band = d[order], x[order], seg[order], band[order]
     if not len(d):
         none = np.zeros(0, np.int64)
@@ -266,7 +300,7 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, size: np.ndarray, counts:
     item = np.r_[np.arange(len(first)), pairs]
     cost = np.r_[one, more[pairs]]
     rank = np.clip(((np.log(cost + 1e-9) + 21) * 1000).astype(np.int64), 0, (1 << 17) - 1)
-    order = np.argsort(gd[item] * (1 << 17) + rank, kind="stable")
+    order = stable_order(gd[item] * (1 << 17) + rank)
     item_doc = gd[item][order]
     head = np.flatnonzero(np.r_[True, item_doc[1:] != item_doc[:-1]])
     place = np.arange(len(item_doc)) - np.repeat(head, np.diff(np.r_[head, len(item_doc)]))
@@ -314,7 +348,7 @@ class Sender:
         parts = [signatures(shingles, doc, size, self.counts, self.total, self.scheme, step) for step in (0, 1)]
         sig, who, kind = (np.concatenate(x) for x in list(zip(*parts))[:3])
         sig = sig >> U(64 - self.bits)
-        order = np.argsort(sig, kind="stable")
+        order = stable_order(sig)
         sig = sig[order]
         edges = [-(-(k << self.bits) // self.ranges) for k in range(self.ranges)]
         starts = np.r_[np.searchsorted(sig, np.array(edges, dtype=np.uint64)), len(sig)]
@@ -408,7 +442,7 @@ def match_blocks(blocks: list[tuple], scheme: Scheme, chunk: int = 4_000_000) ->
     codes = [loose(b[4], np.uint16) for b in blocks]
     who = np.concatenate([(c >> 3).astype(np.int32) + s for c, s in zip(codes, start.astype(np.int32))])
     kind = np.concatenate([(c & 7).astype(np.uint8) for c in codes])
-    order = np.argsort(sig, kind="stable")
+    order = stable_order(sig)
     sig, who, kind = sig[order], who[order], kind[order]
     edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     many = np.diff(np.r_[edge, len(sig)])
